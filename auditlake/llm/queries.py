@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, ngram_join, packing, sharding
+from . import ann, bpe, exact_dedup, line_dedup, ngram_join, packing, sharding
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -58,6 +58,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+@query
+def op9_collision_counting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 ORACLE_SQL["op8_exact_dedup"] = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
