@@ -14,8 +14,9 @@ steers the allocation.
 
 Signatures are shuffled as packed arrays. Sets that meet are not all paired: each
 is verified against one hub of its signature first, and only sets that are still
-in different components then are paired with each other. All verification is on
-the sets themselves. Documents with equal sets are one node throughout.
+in different components then are paired with each other. Pairs whose parity sketches
+differ in more bits than their sets may differ in shingles are put aside, which
+is exact; all others are verified on the sets themselves. Documents with equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ WORDS, PERCENT = 5, 80
 SKETCH, SKETCH_PARTS = 1 << 18, 16
 #: Signatures for which one reduce task is planned.
 TASK_SIGNATURES = 2_500_000
+#: Members of a signature that one task pairs with as many others.
+CHUNK = 2048
 INDEXED, PROBES = 1, 2
 
 _U = np.uint64
@@ -93,6 +96,35 @@ def node_of(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return mix(total[begin[1:]] - total[begin[:-1]] + (begin[1:] - begin[:-1]).astype(np.uint64)).view(np.int64)
 
 
+def parity_sketches(sets: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """For each set the parities of its shingles over 2 to 4 bits a shingle, a power of two of them and 64 at least.
+
+    Two sketches differ, once the longer is folded to the shorter's length, in at
+    most as many bits as the sets differ in shingles.
+    """
+    n = begin[1:] - begin[:-1]
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    of = np.repeat(np.arange(len(n)), n)
+    place = base[of] + (mix(sets ^ _U(0x77777777)) & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little")
+    return [packed[a:b].tobytes() for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist())]
+
+
+def folded(bits: bytes, length: int) -> int:
+    """A parity sketch folded to `length` bytes, as one integer."""
+    value, size = int.from_bytes(bits, "little"), len(bits)
+    while size > length:
+        size //= 2
+        value = (value >> (8 * size)) ^ (value & ((1 << (8 * size)) - 1))
+    return value
+
+
+def may_link(bits_a: bytes, n_a: int, bits_b: bytes, n_b: int, percent: int) -> bool:
+    length = min(len(bits_a), len(bits_b))
+    return (folded(bits_a, length) ^ folded(bits_b, length)).bit_count() * (100 + percent) <= (n_a + n_b) * (100 - percent)
+
+
 class Subsets:
     """The segment subsets of sets under the schemes of given bands."""
 
@@ -177,9 +209,9 @@ def _binary(values: list[bytes]) -> pa.Array:
 
 
 def _survey(batches, words: int, percent: int):
-    """(kind 0) id, node, size of each text; (kind 1) the task's part of the cost sketch."""
+    """(kind 0) id, node, size and parity sketch of each text; (kind 1) the task's part of the cost sketch."""
     counts = np.zeros(SKETCH, np.int64)
-    names = ["kind", "doc_id", "node", "n", "part", "counts"]
+    names = ["kind", "doc_id", "node", "n", "part", "bytes"]
     for batch in batches:
         for part in slices(batch, "text"):
             sets, begin = shingle_sets(part.column(1), words)
@@ -192,7 +224,7 @@ def _survey(batches, words: int, percent: int):
                 counts += np.bincount(_slot(index), minlength=SKETCH)
             rows = len(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(rows, np.int32)), part.column(0), pa.array(node_of(sets, begin)), pa.array(n), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names
+                [pa.array(np.zeros(rows, np.int32)), part.column(0), pa.array(node_of(sets, begin)), pa.array(n), pa.nulls(rows, pa.int32()), _binary(parity_sketches(sets, begin))], names
             )
     own = np.minimum(counts, np.iinfo(np.uint32).max).astype("<u4").reshape(SKETCH_PARTS, -1)
     k = SKETCH_PARTS
@@ -315,6 +347,52 @@ def _verify(batches, words: int, percent: int):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _near(batches, percent: int):
+    """Of pairs with sketches those that may link."""
+    for batch in batches:
+        _, n_a, bits_a, _, n_b, bits_b = (c.to_pylist() for c in batch.columns)
+        good = [may_link(x, p, y, q, percent) for p, x, q, y in zip(n_a, bits_a, n_b, bits_b)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def _pairs(batches, percent: int):
+    """The pairs of each run (rows sorted by signature and chunks) that may link: one probes, the other is indexed, and their components differ."""
+
+    def of(run: list[tuple]):
+        i, j = run[0][1:3]
+        members = sorted((r[5], r[4], r[6], r[7], r[8], r[3]) for r in run)  # n, node, flag, root, bits, chunk
+        ints: dict[int, list[int]] = {}
+        for at, (n, node, flag, root, bits, chunk) in enumerate(members):
+            for other in range(at + 1, len(members)):
+                n2, node2, flag2, root2, bits2, chunk2 = members[other]
+                if 100 * n < percent * n2:
+                    break
+                if root == root2 or not (flag & 1 and flag2 & 2 or flag & 2 and flag2 & 1) or (i != j and chunk == chunk2):
+                    continue
+                length = len(bits)  # of the smaller set
+                x, y = ints.setdefault(length, [None] * len(members)), ints[length]
+                if x[at] is None:
+                    x[at] = folded(bits, length)
+                if y[other] is None:
+                    y[other] = folded(bits2, length)
+                if (x[at] ^ y[other]).bit_count() * (100 + percent) <= (n + n2) * (100 - percent):
+                    yield min(node, node2), max(node, node2)
+
+    run: list[tuple] = []
+    for batch in batches:
+        found: set[tuple[int, int]] = set()
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if run and row[:3] != run[0][:3]:
+                found.update(of(run))
+                run = []
+            run.append(row)
+        a, b = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    found = set(of(run)) if run else set()
+    a, b = zip(*found) if found else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def jaccard_components(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", task_signatures: int = TASK_SIGNATURES
 ) -> DataFrame:
@@ -330,10 +408,10 @@ def jaccard_components(
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     survey = written(
-        source.mapInArrow(lambda b: _survey(b, words, percent), "kind int, doc_id long, node long, n long, part int, counts binary"), "ngram-survey"
+        source.mapInArrow(lambda b: _survey(b, words, percent), "kind int, doc_id long, node long, n long, part int, bytes binary"), "ngram-survey"
     )
     thin = survey.filter("kind = 0").select("doc_id", "node", "n")
-    parts = survey.filter("kind = 1").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(_add_up, "part int, counts binary")
+    parts = survey.filter("kind = 1").select("part", F.col("bytes").alias("counts")).repartition(SKETCH_PARTS, "part").mapInArrow(_add_up, "part int, counts binary")
     counts = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.int64)
     for r in parts.collect():  # at most SKETCH counters, whatever the input
         counts[r["part"]] = np.frombuffer(bytes(r["counts"]), "<i8")
@@ -346,7 +424,11 @@ def jaccard_components(
     runs = written(packed.repartition(tasks, "task").mapInArrow(_runs, "sig long, node long, n long, flag int, hub long, hub_n long"), "ngram-runs")
 
     known = thin.filter("doc_id IS NOT NULL AND n > 0")
-    nodes = written(known.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), "ngram-nodes")
+    sketched = survey.filter("kind = 0 AND doc_id IS NOT NULL AND n > 0").groupBy("node").agg(
+        F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bytes").alias("bits")
+    )
+    with_bits = written(sketched, "ngram-nodes")
+    nodes = with_bits.select("node", "first_id", "rows")
     wanted = runs.select("node").distinct().join(nodes.hint("merge"), "node").select("node", "first_id")
     texts = written(
         source.join(wanted.hint("merge"), F.col("doc_id") == F.col("first_id")).select("node", "text").dropDuplicates(["node"]), "ngram-texts"
@@ -360,20 +442,25 @@ def jaccard_components(
 
     fits = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
     stars = runs.filter("hub <> node").filter(fits).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    near_a = stars.join(with_bits.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")).hint("merge"), "a")
+    near_b = near_a.join(with_bits.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")).hint("merge"), "b")
+    stars = written(near_b.select("a", "n_a", "bits_a", "b", "n_b", "bits_b").mapInArrow(lambda x: _near(x, percent), "a long, b long"), "ngram-near")
     linked = links(stars, "ngram-stars")
     roots = components(linked)
 
     # what the hubs did not join: pairs of a signature whose sets are in different components
-    placed = runs.join(roots.hint("merge"), "node", "left").select("sig", "node", "n", "flag", F.coalesce("root", "node").alias("root"))
+    placed = runs.join(roots.hint("merge"), "node", "left").select("sig", "node", "flag", F.coalesce("root", "node").alias("root"))
     placed = written(placed, "ngram-placed")
-    open_sigs = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("sig")
-    left = written(placed.join(open_sigs.hint("merge"), "sig", "left_semi"), "ngram-open")
-    other = left.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("flag").alias("flag2"), F.col("root").alias("root2"))
-    pairs = left.join(other.hint("merge"), "sig").filter(
-        f"root <> root2 AND node < node2 AND 100 * least(n, n2) >= {percent} * greatest(n, n2) AND ((flag & 1) * (flag2 & 2) > 0 OR (flag & 2) * (flag2 & 1) > 0)"
-    )
-    pairs = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(stars.hint("merge"), ["a", "b"], "left_anti")
-    more = links(pairs, "ngram-rest")
+    open_sigs = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x < y")
+    left = join_keyed(placed, written(open_sigs.select("sig", "size"), "ngram-open"), "sig", "size", placed.count())
+    left = left.join(with_bits.select("node", "n", "bits").hint("merge"), "node")
+    # a long run is dealt as pairs of chunks
+    chunks = F.ceil(F.col("size") / F.lit(CHUNK)).cast("int")
+    dealt = left.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n", "flag", "root", "bits")
+    pairs = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(lambda x: _pairs(x, percent), "a long, b long").distinct()
+    more = links(pairs.join(stars.hint("merge"), ["a", "b"], "left_anti"), "ngram-rest")
     roots = components(linked.unionByName(more))
 
     labelled = nodes.join(roots.hint("merge"), "node", "left").select("node", "first_id", "rows", F.coalesce("root", "node").alias("root"))
