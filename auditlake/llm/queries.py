@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup
+from . import ann, bpe, exact_dedup, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup, warc
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -80,6 +80,98 @@ def op9_collision_counting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
 
 
+def crawl(pages: DataFrame) -> DataFrame:
+    """pages as WARC files, one a page: its full response, and a not-modified revisit a day later.
+
+    The rule: every 13th page is revisited an hour before its own response, every
+    17th has another entity tag by then, every 19th has it as a weak one and every
+    23rd has a date of change only.
+    """
+    import datetime
+    import hashlib
+
+    import pyarrow as pa
+
+    from .common import slices
+
+    begin = datetime.datetime(2024, 1, 1)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "html"):
+                out = []
+                for page, url, html in zip(*(part.column(k).to_pylist() for k in range(3))):
+                    body = (html or "").encode()
+                    tag = '"' + hashlib.sha256(body).hexdigest()[:16] + '"'
+                    seen = begin + datetime.timedelta(seconds=page)
+                    again = seen + (datetime.timedelta(hours=-1) if page % 13 == 0 else datetime.timedelta(days=1))
+                    since = f"{seen:%Y-%m-%dT%H:%M:%SZ}"
+                    tag2 = '"changed"' if page % 17 == 0 else "W/" + tag if page % 19 == 0 else tag
+                    first = warc.http_block("200 OK", [("Content-Type", "text/html"), ("ETag", tag), ("Last-Modified", since), ("Age", "0"), ("Content-Length", str(len(body)))], body)
+                    validator = [("Last-Modified", since)] if page % 23 == 0 else [("ETag", tag2)]
+                    second = warc.http_block("304 Not Modified", [*validator, ("Content-Type", "text/plain"), ("Age", "5"), ("Cache-Control", f"max-age={page % 100}"), ("Content-Length", "0")])
+                    out.append(
+                        warc.record("response", f"urn:page:{page}", url, since, first)
+                        + warc.record("revisit", f"urn:again:{page}", url, f"{again:%Y-%m-%dT%H:%M:%SZ}", second, warc.NOT_MODIFIED)
+                    )
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["warc"])
+
+    return pages.filter("page_id IS NOT NULL").select("page_id", "url", "html").mapInArrow(run, "warc binary")
+
+
+@query
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = warc.resolve(warc.parse_column(crawl(pages), "warc", payloads=False))
+    number = lambda c: F.regexp_extract(c, "[0-9]+$", 0).cast("long")
+    header = lambda name: F.col("headers")[name]
+    return found.select(
+        number(F.col("record_id")).alias("page_id"), "canonical_url", "outcome", number(F.col("response_id")).alias("response_page_id"), "payload_sha256", "payload_bytes",
+        header("content-type").alias("content_type"), header("content-length").alias("content_length"), header("etag").alias("etag"),
+        header("age").alias("age"), header("cache-control").alias("cache_control"), F.size("headers").alias("n_headers"),
+    )
+
+
+ORACLE_SQL["op10_warc_revisits"] = r"""
+WITH plain AS (
+  SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages
+), pieces AS (
+  SELECT page_id, html,
+         regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*', 0)), '^.*@', ''), '^www[0-9]*[.]', ''), ':(80|443)$', '') AS host,
+         regexp_extract(u, '^[^/?]*([^?]*)', 1) AS path,
+         list_sort(list_filter(string_split(regexp_extract(u, '[?](.*)$', 1), '&'),
+                               lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|fbclid|gclid)(=.*)?$'))) AS kept
+  FROM plain
+), page AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS sha, octet_length(encode(coalesce(html, ''))) AS n,
+         host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canon
+  FROM pieces
+), again AS (
+  SELECT page_id, canon, page_id + CASE WHEN page_id % 13 = 0 THEN -3600 ELSE 86400 END AS at,
+         CASE WHEN page_id % 23 = 0 THEN NULL WHEN page_id % 17 = 0 THEN 'changed' ELSE sha[1:16] END AS tag,
+         page_id % 23 <> 0 AND page_id % 17 <> 0 AND page_id % 19 = 0 AS weak
+  FROM page
+), found AS (
+  SELECT a.*, p.page_id AS full_id, p.sha, p.n,
+         CASE WHEN p.page_id IS NULL THEN 'missing'
+              WHEN a.tag IS NOT NULL THEN CASE WHEN a.tag = p.sha[1:16] THEN 'resolved' ELSE 'mismatch' END
+              WHEN a.page_id = p.page_id THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM again a ASOF LEFT JOIN page p ON a.canon = p.canon AND a.at > p.page_id
+)
+SELECT page_id, canon AS canonical_url, outcome,
+       CASE WHEN outcome = 'resolved' THEN full_id END AS response_page_id,
+       CASE WHEN outcome = 'resolved' THEN sha END AS payload_sha256,
+       CASE WHEN outcome = 'resolved' THEN n END AS payload_bytes,
+       CASE WHEN outcome = 'resolved' THEN 'text/html' ELSE 'text/plain' END AS content_type,
+       CASE WHEN outcome = 'resolved' THEN n::VARCHAR ELSE '0' END AS content_length,
+       CASE WHEN tag IS NULL AND outcome = 'resolved' THEN '"' || sha[1:16] || '"'
+            WHEN tag IS NOT NULL THEN CASE WHEN weak THEN 'W/' ELSE '' END || '"' || tag || '"' END AS etag,
+       '5' AS age, 'max-age=' || (page_id % 100) AS cache_control,
+       CASE WHEN outcome = 'resolved' THEN 6 ELSE 5 END AS n_headers
+FROM found
+"""
+
+
 ORACLE_SQL["op8_exact_dedup"] = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
