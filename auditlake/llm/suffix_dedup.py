@@ -322,8 +322,11 @@ def repeats(source: DataFrame, least: int = LEAST, most: int = MOST_CLASSES, gra
     return out
 
 
-def suffix_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST_CLASSES, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with kept (binary: the text's bytes without repeats), n_bytes, n_removed, n_spans.
+def suffix_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST_CLASSES, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """docs with kept (the text's bytes without repeats), n_bytes, n_removed, n_spans.
+
+    kept is binary, for a cut can fall within a character; as_text makes it a string
+    from which such parts of characters are left out.
 
     Every byte is removed that a string of `least` bytes covers which also starts
     elsewhere, in the same text or another; overlapping occurrences count, matches
@@ -354,8 +357,9 @@ def suffix_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST_CLASSES,
                     n.append(len(raw))
                     removed.append(len(raw) - len(kept[-1]))
                     runs.append(len(all_spans))
-                columns = [pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
+                left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+                columns = [left, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *columns], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    schema = docs.select(*docs.columns).schema.add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+    schema = docs.select(*docs.columns).schema.add("kept", "string" if as_text else "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
     return joined.mapInArrow(cut, schema)
