@@ -280,15 +280,19 @@ class Bpe:
     def _encode_group(self, texts: list[str], group: list[int], out: list) -> None:
         parts = [texts[k].lower().split() for k in group]
         found = [list(map(self.chunks.get, p)) for p in parts]
+        gaps: list[list[int]] = []  # the places in each text of chunks not known
         new: set[str] = set()
         for p, f in zip(parts, found):
-            if None in f:
-                new.update([c for c, ids in zip(p, f) if ids is None])
+            own = [i for i, ids in enumerate(f) if ids is None]
+            new.update([p[i] for i in own])
+            gaps.append(own)
         if new:
             add = {c: ids for c in new if (ids := self.older.get(c)) is not None}
             add |= self._learn([c for c in new if c not in add])
-        for k, p, f in zip(group, parts, found):
-            out[k] = b"".join([add[c] if ids is None else ids for c, ids in zip(p, f)] if None in f else f)
+        for k, p, f, own in zip(group, parts, found, gaps):
+            for i in own:
+                f[i] = add[p[i]]
+            out[k] = b"".join(f)
         if new:
             self.chunks |= add
             if len(self.chunks) > CACHE_CHUNKS:
