@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 # -- JSON --------------------------------------------------------------------
 
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}\[\],]', re.S)
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)?|[{}\[\],]', re.S)
 
 
 def first_json_object(text: str | None) -> str | None:
@@ -305,6 +305,16 @@ def _c_names(text: str) -> list[str]:
     return [n for n in re.findall(_C_NAME, plain) if n not in _C_WORDS]
 
 
+def _closing(text: str, at: int) -> int:
+    """Where the parenthesis at `at` is closed; the end if it is not."""
+    depth = 0
+    for k in range(at, len(text)):
+        depth += (text[k] == "(") - (text[k] == ")")
+        if not depth:
+            return k
+    return len(text)
+
+
 def _c_flow(code: str) -> _Flow:
     """A statement-wise reading of C-like text."""
     flow = _Flow()
@@ -321,13 +331,14 @@ def _c_flow(code: str) -> _Flow:
     for piece in re.split(r"([;{}])", plain):
         line += piece.count("\n")
         s = piece.strip()
-        if m := re.match(r"(?:else\s+)?(if|while|for)\s*\((.*)\)\s*(.*)", s, re.S):
-            test = m[2]
+        if m := re.match(r"(?:else\s+)?(if|while|for)\s*\(", s):
+            end = _closing(s, m.end() - 1)
+            test = s[m.end() : end]
             if null := re.findall(rf"!\s*({_C_NAME})|({_C_NAME})\s*[!=]=\s*NULL", test):
                 flow.guards |= dict.fromkeys([a or b for a, b in null], "NULL_CHECK")
             if re.search(r"[<>]", re.sub(r"->|<<|>>", " ", test)):
                 flow.guards |= {n: "BOUNDS_CHECK" for n in _c_names(test) if flow.guards.get(n) != "NULL_CHECK"}
-            s = m[3]
+            s = s[end + 1 :]
         for call, args in re.findall(rf"({_C_NAME})\s*\(([^;]*)\)", s):
             if call in _SINK_CALLS:
                 flow.sink(_SINK_CALLS[call], _c_names(args), line)

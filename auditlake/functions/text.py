@@ -443,8 +443,9 @@ def request_hash(request: Column) -> Column:
 
 def effective_config(base: Column, overrides: Column, model: Column) -> Column:
     """The base map overlaid by every override whose key is part of the model's name, in key order."""
-    fitting = F.filter(F.array_sort(F.map_entries(overrides)), lambda e: F.contains(F.lower(model), F.lower(e["key"])))
-    return F.aggregate(fitting, base, lambda acc, e: F.map_concat(F.map_filter(acc, lambda k, _: ~F.array_contains(F.map_keys(e["value"]), k)), e["value"]))
+    fitting = F.filter(F.array_sort(F.map_keys(overrides)), lambda k: F.contains(F.lower(model), F.lower(k)))
+    over = lambda acc, more: F.map_concat(F.map_filter(acc, lambda k, _: ~F.array_contains(F.map_keys(more), k)), more)
+    return F.aggregate(fitting, base, lambda acc, k: over(acc, overrides[k]))
 
 
 def first_nonzero(*columns: Column) -> Column:
