@@ -133,3 +133,9 @@ PHASE_ORDER = {
 }
 FORMAT_CONVERSION = r"(%%|%[-+ #0]*[0-9]*(?:\.[0-9]*)?[hlLzjt]*[diuoxXfFeEgGaAcspn])"
 # end of fixed values --------------------------------------------------------
+
+# fixed values: acceptance bounds ----------------------------------------------
+ANCHOR_MATCH_MIN, STRICT_FAIL_MAX, PARSE_OK_MIN, TOKEN_REDUCTION_MIN, DUPLICATE_MAX = 0.80, 0.20, 0.95, 25.0, 0.20
+PARSE_COVERAGE_MIN, SIGNATURE_COVERAGE_MIN, UPTAKE_MIN, TRIAGE_GAIN_MIN = 0.65, 0.55, 0.30, 0.15
+VIABLE_SHARE, VIABLE_RATE, ADVISORY_PRECISION = 0.50, 10.0, 0.80
+# end of fixed values ----------------------------------------------------------
