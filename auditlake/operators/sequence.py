@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from .ranges import numbered
 
 
 def rolling_yield(rows: DataFrame, ok: str, order: list[str], n: int, *by: str) -> DataFrame:
@@ -42,8 +43,9 @@ def tail(rows: DataFrame, order: list[str], n: int) -> DataFrame:
 def fold_of(rows: DataFrame, group: str, label: str, k: int) -> DataFrame:
     """(group, rate, total, fold): groups by falling (rate, total, name), dealt round to k folds from 1."""
     found = rows.groupBy(group).agg(F.avg(F.col(label).cast("double")).alias("rate"), F.count("*").alias("total"))
-    place = F.row_number().over(Window.orderBy(F.desc("rate"), F.desc("total"), F.desc(group)))
-    return found.withColumn("fold", ((place - 1) % k + 1).cast("int"))
+    # the order is falling in all three, so places are counted from its end
+    up = numbered(found, "__place", "rate", "total", group).crossJoin(F.broadcast(found.agg(F.count("*").alias("__n"))))
+    return up.withColumn("fold", ((F.col("__n") - F.col("__place")) % k + 1).cast("int")).drop("__place", "__n")
 
 
 def budget_batches(units: DataFrame, size: str, order: list, max_size: int, max_units: int, by: str) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 Z975 = 1.959963984540054
 
 
@@ -225,9 +227,8 @@ def signed_rank_statistic(deltas: DataFrame, value: str, *by: str) -> DataFrame:
     """min(W+, W-) of each group's non-zero deltas, average ranks for ties; ranks come from counts of distinct values."""
     d = F.col(value)
     counted = deltas.filter(d != 0).groupBy(*by, F.abs(d).alias("a")).agg(F.count_if(d > 0).alias("up"), F.count_if(d < 0).alias("down"))
-    c = F.col("up") + F.col("down")
-    upto = Window.partitionBy(*by).orderBy("a")
-    ranked = counted.withColumn("r", F.sum(c).over(upto) - (c - 1) / 2.0)
+    c = F.col("c")
+    ranked = running(counted.withColumn("c", F.col("up") + F.col("down")), "a", ["c"], by).withColumn("r", F.col("c_upto") - (c - 1) / 2.0)
     found = ranked.groupBy(*by).agg(F.sum(c).alias("n"), F.sum(F.col("r") * F.col("up")).alias("w_plus"), F.sum(F.col("r") * F.col("down")).alias("w_minus"))
     return found.withColumn("statistic", F.least("w_plus", "w_minus"))
 

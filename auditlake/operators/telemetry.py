@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranges import running
 
 
 def stage_breakdown(events: DataFrame, stage: str = "stage", duration: str = "duration_ms", *sums: str) -> DataFrame:
@@ -22,11 +23,9 @@ def stage_breakdown(events: DataFrame, stage: str = "stage", duration: str = "du
 def nearest_rank(events: DataFrame, value: str, share: float, *by: str) -> DataFrame:
     """The element at floor(share * n), the last at most, of each group's sorted values; by counts, not by collecting groups."""
     counted = events.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    up = Window.partitionBy(*by).orderBy(value)
-    total = F.sum("c").over(Window.partitionBy(*by))
-    place = F.least(F.floor(total * share), total - 1)
-    ranked = counted.select("*", F.sum("c").over(up).alias("upto"), place.alias("place"), total.alias("n"))
-    return ranked.filter("upto > place AND upto - c <= place").select(*by, F.col(value).alias("value"), "n")
+    place = F.least(F.floor(F.col("c_all") * share), F.col("c_all") - 1)
+    ranked = running(counted, value, ["c"], by).withColumn("place", place)
+    return ranked.filter("c_upto > place AND c_upto - c <= place").select(*by, F.col(value).alias("value"), F.col("c_all").alias("n"))
 
 
 def usage_rollup(events: DataFrame, stage: str, model: str, *sums: str) -> DataFrame:
