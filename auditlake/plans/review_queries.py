@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import records
 from ..functions import text as T
 from ..operators import audit, gate, review, sequence, telemetry
 from . import adapters as A
@@ -118,3 +119,31 @@ def largest_units(spark, sf_dir):
     """The twenty units with most changed lines; a report."""
     o = A.table(spark, sf_dir, "orders")
     return sequence.top_by_group(o.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).withColumn("g", F.lit(1)), "g", [F.desc("o_totalprice"), "o_orderkey"], 20).select("o_orderkey", "o_totalprice")
+
+
+@query(
+    """WITH t AS (SELECT event_id, event_type, event_id % 4 AS c, (props->>'$.k')::BIGINT AS k FROM events)
+    SELECT event_id, CASE WHEN c = 0 AND k > 0 THEN 'provider' WHEN c = 1 THEN 'provider_fallback' WHEN length(event_type) > 4 THEN 'estimated' ELSE 'estimated' END AS usage_source,
+           CASE WHEN c = 0 AND k > 0 THEN k WHEN c = 1 THEN k + 2 ELSE greatest(1, ceil(length(event_type) / 4.0))::BIGINT END AS total_tokens FROM t"""
+)
+def usage_normalisation(spark, sf_dir):
+    """Token usage under the names of several providers, with estimates where there is none."""
+    k = F.get_json_object("props", "$.k")
+    c = F.col("event_id") % 4
+    raw = F.when(c == 0, F.concat(F.lit('{"usage": {"total_tokens": '), k, F.lit("}}"))).when(c == 1, F.concat(F.lit('{"input_tokens": '), k, F.lit(', "output_tokens": 2}'))).when(c == 2, '{"x": 1}').otherwise("not json")
+    e = A.table(spark, sf_dir, "events").select("event_id", "event_type", F.try_parse_json(raw).alias("v"))
+    u = records.usage_with_source(F.col("v"), F.col("event_type"), F.lit(""))
+    return e.select("event_id", u.alias("u")).select("event_id", "u.usage_source", "u.total_tokens")
+
+
+@query(
+    """SELECT event_id, 'Predicate: about ' || event_type || ' | Code: a b' AS text, (event_type = 'purchase')::INT AS label, 'HASH-' || substr(sha256('about ' || event_type), 1, 10) AS scenario_id
+    FROM events WHERE event_type IN ('purchase', 'error')"""
+)
+def training_rows(spark, sf_dir):
+    """Attempt records, as JSON of any shape, to labelled texts."""
+    kind = F.col("event_type")
+    decision = F.when(kind == "purchase", "accepted").when(kind == "error", "Rejected").otherwise("skipped")
+    raw = F.to_json(F.struct(decision.alias("decision"), F.struct(F.concat(F.lit("about "), kind).alias("predicate"), F.array(F.lit("a"), F.lit("b")).alias("anchors")).alias("judge_eval")))
+    e = A.table(spark, sf_dir, "events").select("event_id", records.training_row(F.try_parse_json(raw)).alias("r"))
+    return e.filter("r IS NOT NULL").select("event_id", "r.text", "r.label", "r.scenario_id")
