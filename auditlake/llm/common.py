@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 #: Keys that hold more than one row in this many count as hot; so there are at most as many hot keys.
 HOT_SHARE = 2000
 
+#: Rows of a narrow table that a file may have.
+ROWS_A_FILE = 250_000
+
 _MULT = 0x9E3779B97F4A7C15
 
 
@@ -31,10 +35,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends there, and it outlives lost executors."""
+def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: its lineage ends there, and it outlives lost executors.
+
+    rows: an upper bound of its rows where one is known, so that few rows make few files.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
+    if rows is not None:
+        df = df.coalesce(max(4, -(-rows // ROWS_A_FILE)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,6 +69,14 @@ def join_keyed(rows: DataFrame, per_key: DataFrame, key: str, size: str, n_rows:
     return near.unionByName(rest)
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n integers that a hash repartition into n parts deals to a part each."""
+    tried = spark.range(32 * n).select(F.col("id").cast("int").alias("k"))
+    rows = tried.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()
+    found = {r["p"]: r["k"] for r in rows}
+    return [found.get(p, p) for p in range(n)]
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -80,8 +97,18 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[starts[0] : starts[-1]], starts - starts[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
-    """batch in parts whose `column` has about `most` bytes; a longer single text is a part of its own."""
+#: What a worker keeps between tasks, by operator: functions that let it go.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20, keeps: str = ""):
+    """batch in parts whose `column` has about `most` bytes; a longer single text is a part of its own.
+
+    Workers serve one operator after another, so what others than `keeps` have kept is let go.
+    """
+    for owner, let_go in KEPT.items():
+        if owner != keeps:
+            let_go()
     values = batch.column(batch.schema.get_field_index(column))
     if isinstance(values.type, pa.DataType) and pa.types.is_large_string(values.type):
         kind = np.int64

@@ -13,8 +13,10 @@ signature counts over all documents, held in a sketch of fixed size that only
 steers the allocation.
 
 Signatures are shuffled as packed arrays. Sets that meet are not all paired: each
-is verified against one hub of its signature first, and only sets that are still
-in different components then are paired with each other. Pairs whose parity sketches
+is verified against one hub of its signature first. Then each is verified against
+the NEAREST sets of its signatures that are still in another component, by their
+parity sketches, again and again while that joins any; and only what is still in
+different components then is paired whole. Pairs whose parity sketches
 differ in more bits than their sets may differ in shingles are put aside, which
 is exact; all others are verified on the sets themselves. Documents with equal sets are one node throughout.
 """
@@ -26,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_keyed, mix, slices, text_buffers, words_of, written
+from .common import even_keys, join_keyed, mix, slices, text_buffers, words_of, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
 #: Counters of the cost sketch, and the parts in which it travels.
 SKETCH, SKETCH_PARTS = 1 << 18, 16
 #: Signatures for which one reduce task is planned.
-TASK_SIGNATURES = 2_500_000
+TASK_SIGNATURES = 1_500_000
 #: Members of a signature that one task pairs with as many others.
 CHUNK = 2048
+#: Nearest partners that a set is verified against before all that is still apart is paired.
+NEAREST = 3
 INDEXED, PROBES = 1, 2
 
 _U = np.uint64
@@ -111,18 +115,18 @@ def parity_sketches(sets: np.ndarray, begin: np.ndarray) -> list[bytes]:
     return [packed[a:b].tobytes() for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist())]
 
 
-def folded(bits: bytes, length: int) -> int:
-    """A parity sketch folded to `length` bytes, as one integer."""
-    value, size = int.from_bytes(bits, "little"), len(bits)
-    while size > length:
-        size //= 2
-        value = (value >> (8 * size)) ^ (value & ((1 << (8 * size)) - 1))
-    return value
+def fold(bits: bytes, words: int) -> np.ndarray:
+    """A parity sketch folded to so many 64-bit words."""
+    out = np.frombuffer(bits, "<u8")
+    while len(out) > words:
+        half = len(out) // 2
+        out = out[:half] ^ out[half:]
+    return out
 
 
 def may_link(bits_a: bytes, n_a: int, bits_b: bytes, n_b: int, percent: int) -> bool:
-    length = min(len(bits_a), len(bits_b))
-    return (folded(bits_a, length) ^ folded(bits_b, length)).bit_count() * (100 + percent) <= (n_a + n_b) * (100 - percent)
+    words = min(len(bits_a), len(bits_b)) // 8
+    return int(np.bitwise_count(fold(bits_a, words) ^ fold(bits_b, words)).sum()) * (100 + percent) <= (n_a + n_b) * (100 - percent)
 
 
 class Subsets:
@@ -242,9 +246,10 @@ def _add_up(batches):
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), _binary([counts.astype("<i8").tobytes()])], ["part", "counts"])
 
 
-def _emit(batches, words: int, percent: int, tasks: int, counts: np.ndarray):
+def _emit(batches, words: int, percent: int, keys: list[int], counts: np.ndarray):
     """Packed signatures: for each reduce task their low 48 bits, the sets they come from with flags, and those sets' nodes and sizes."""
     cost = lambda sig: counts[_slot(sig)]
+    tasks = len(keys)
     for batch in batches:
         for big in slices(batch, "text"):
             for at in range(0, len(big), 1 << 14):
@@ -273,30 +278,32 @@ def _emit(batches, words: int, percent: int, tasks: int, counts: np.ndarray):
                         used, place = np.unique(of[a:b], return_inverse=True)
                         low = sig[a:b]
                         rows.append((
-                            t, (low & _U(0xFFFFFFFF)).astype("<u4").tobytes() + ((low >> _U(32)) & _U(0xFFFF)).astype("<u2").tobytes(),
+                            keys[t], t, (low & _U(0xFFFFFFFF)).astype("<u4").tobytes() + ((low >> _U(32)) & _U(0xFFFF)).astype("<u2").tobytes(),
                             ((place << 2) | flag[a:b]).astype("<u2").tobytes(), nodes[used].tobytes() + n[used].astype("<u4").tobytes(),
                         ))
                 columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(_binary(list(c)) for c in columns[1:])], ["task", "sigs", "sets", "nodes"])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(_binary(list(c)) for c in columns[2:])], ["key", "task", "sigs", "sets", "nodes"])
 
 
 def _runs(batches):
     """(sig, node, n, flag, hub) of all signatures that two sets or more have and that one of them probes and one indexes."""
-    sigs, nodes, sizes, flags = [], [], [], []
+    sigs, refs, flags, nodes, sizes, base = [], [], [], [], [], 0
     for batch in batches:
-        for t, packed, places, held in zip(*(batch.column(k).to_pylist() for k in range(4))):
+        for t, packed, places, held in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
             count = len(places) // 2
             low, high = np.frombuffer(packed, "<u4", count), np.frombuffer(packed, "<u2", count, 4 * count)
             place = np.frombuffer(places, "<u2")
             own = len(held) // 12
-            at = place >> 2
             sigs.append((np.int64(t) << 48) | (high.astype(np.int64) << 32) | low)
-            nodes.append(np.frombuffer(held, "<i8", own)[at])
-            sizes.append(np.frombuffer(held, "<u4", own, 8 * own)[at])
+            refs.append((place >> 2).astype(np.int32) + np.int32(base))
             flags.append((place & 3).astype(np.uint8))
+            nodes.append(np.frombuffer(held, "<i8", own))
+            sizes.append(np.frombuffer(held, "<u4", own, 8 * own))
+            base += own
     if not sigs:
         return
-    sig = np.concatenate(sigs)
+    sig, ref, flag = np.concatenate(sigs), np.concatenate(refs), np.concatenate(flags)
+    del sigs, refs, flags
     order = np.argsort(sig)
     ranked = sig[order]
     same = ranked[1:] == ranked[:-1]
@@ -304,10 +311,12 @@ def _runs(batches):
     shared[1:] |= same
     shared[:-1] |= same
     pick = order[shared]
+    sig = ranked[shared]
     del ranked, order
-    sig, node, n, flag = sig[pick], np.concatenate(nodes)[pick], np.concatenate(sizes)[pick], np.concatenate(flags)[pick]
     if not len(sig):
         return
+    ref, flag = ref[pick], flag[pick]
+    node, n = np.concatenate(nodes)[ref], np.concatenate(sizes)[ref]
     order = np.lexsort((node, sig))
     sig, node, n, flag = sig[order], node[order], n[order], flag[order]
     fresh = np.ones(len(sig), bool)
@@ -355,42 +364,69 @@ def _near(batches, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _pairs(batches, percent: int):
-    """The pairs of each run (rows sorted by signature and chunks) that may link: one probes, the other is indexed, and their components differ."""
+def _met(run: list[tuple], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a run's rows (sig, i, j, chunk, node, n, flag, root, bits) the pairs (a, b) that may link, and how far apart their sketches are."""
+    apart = run[0][1] != run[0][2]
+    run = sorted(run, key=lambda r: (r[5], r[4]))
+    chunk, node, n, flag, root = (np.array([r[k] for r in run], np.int64) for k in range(3, 8))
+    words = min(len(r[8]) for r in run) // 8
+    sketch = np.array([fold(r[8], words) for r in run])
+    m = len(run)
+    step = max(8, int(((1 << 20) // words) ** 0.5))
+    found = []
+    for p in range(0, m, step):
+        a = slice(p, p + step)
+        top = int(np.searchsorted(n, n[a][-1] * 100 // percent, side="right"))  # larger sets are too large for all of these
+        for q in range(p, top, step):
+            b = slice(q, min(q + step, top))
+            far = np.bitwise_count(sketch[a, None, :] ^ sketch[None, b, :]).sum(axis=2, dtype=np.int64)
+            total = n[a, None] + n[None, b]
+            ok = (far * (100 + percent) <= total * (100 - percent)) & (root[a, None] != root[None, b]) & (100 * n[a, None] >= percent * n[None, b])
+            f, g = flag[a, None], flag[None, b]
+            ok &= ((f & INDEXED) & ((g & PROBES) >> 1) | ((f & PROBES) >> 1) & (g & INDEXED)) > 0
+            if apart:
+                ok &= chunk[a, None] != chunk[None, b]
+            x, y = np.nonzero(ok)
+            after = y + q > x + p
+            x, y = x[after], y[after]
+            found.append((x + p, y + q, far[x, y] / total[x, y]))
+    x, y, far = (np.concatenate([f[k] for f in found]) for k in range(3))
+    return np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), far
+
+
+def _pairs(batches, percent: int, nearest: int = 0):
+    """The pairs of each run (rows sorted by signature and chunks) that may link: one probes, the other is indexed, and their components differ.
+
+    With `nearest`, only those that are among so many best partners of either member.
+    """
 
-    def of(run: list[tuple]):
-        i, j = run[0][1:3]
-        members = sorted((r[5], r[4], r[6], r[7], r[8], r[3]) for r in run)  # n, node, flag, root, bits, chunk
-        ints: dict[int, list[int]] = {}
-        for at, (n, node, flag, root, bits, chunk) in enumerate(members):
-            for other in range(at + 1, len(members)):
-                n2, node2, flag2, root2, bits2, chunk2 = members[other]
-                if 100 * n < percent * n2:
-                    break
-                if root == root2 or not (flag & 1 and flag2 & 2 or flag & 2 and flag2 & 1) or (i != j and chunk == chunk2):
-                    continue
-                length = len(bits)  # of the smaller set
-                x, y = ints.setdefault(length, [None] * len(members)), ints[length]
-                if x[at] is None:
-                    x[at] = folded(bits, length)
-                if y[other] is None:
-                    y[other] = folded(bits2, length)
-                if (x[at] ^ y[other]).bit_count() * (100 + percent) <= (n + n2) * (100 - percent):
-                    yield min(node, node2), max(node, node2)
+    def of(run: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        a, b, far = _met(run, percent)
+        if nearest and len(a) > nearest:
+            member, way = np.concatenate([a, b]), np.concatenate([far, far])
+            order = np.lexsort((way, member))
+            member = member[order]
+            starts = np.flatnonzero(np.append(True, member[1:] != member[:-1]))
+            place = np.arange(len(member)) - np.repeat(starts, np.diff(np.append(starts, len(member))))
+            pick = np.unique(order[place < nearest] % len(a))
+            a, b = a[pick], b[pick]
+        return a, b
+
+    def batch_of(found: list) -> pa.RecordBatch:
+        both = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     run: list[tuple] = []
     for batch in batches:
-        found: set[tuple[int, int]] = set()
+        found = []
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if run and row[:3] != run[0][:3]:
-                found.update(of(run))
+                if len(run) > 1:
+                    found.append(of(run))
                 run = []
             run.append(row)
-        a, b = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-    found = set(of(run)) if run else set()
-    a, b = zip(*found) if found else ((), ())
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield batch_of(found)
+    yield batch_of([of(run)] if len(run) > 1 else [])
 
 
 def jaccard_components(
@@ -420,14 +456,15 @@ def jaccard_components(
     tasks = max(1, min(1 << 14, -(-int(n_shingles * 0.6) // task_signatures)))
 
     keyed = source.filter("doc_id IS NOT NULL")
-    packed = keyed.mapInArrow(lambda b: _emit(b, words, percent, tasks, shared.value), "task int, sigs binary, sets binary, nodes binary")
-    runs = written(packed.repartition(tasks, "task").mapInArrow(_runs, "sig long, node long, n long, flag int, hub long, hub_n long"), "ngram-runs")
+    keys = even_keys(spark, tasks)
+    packed = keyed.mapInArrow(lambda b: _emit(b, words, percent, keys, shared.value), "key int, task int, sigs binary, sets binary, nodes binary")
+    runs = written(packed.repartition(tasks, "key").mapInArrow(_runs, "sig long, node long, n long, flag int, hub long, hub_n long"), "ngram-runs")
 
     known = thin.filter("doc_id IS NOT NULL AND n > 0")
     sketched = survey.filter("kind = 0 AND doc_id IS NOT NULL AND n > 0").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bytes").alias("bits")
     )
-    with_bits = written(sketched, "ngram-nodes")
+    with_bits = written(sketched, "ngram-nodes", 4 * n_rows)
     nodes = with_bits.select("node", "first_id", "rows")
     wanted = runs.select("node").distinct().join(nodes.hint("merge"), "node").select("node", "first_id")
     texts = written(
@@ -445,29 +482,30 @@ def jaccard_components(
     near_a = stars.join(with_bits.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")).hint("merge"), "a")
     near_b = near_a.join(with_bits.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")).hint("merge"), "b")
     stars = written(near_b.select("a", "n_a", "bits_a", "b", "n_b", "bits_b").mapInArrow(lambda x: _near(x, percent), "a long, b long"), "ngram-near")
-    linked = links(stars, "ngram-stars")
+    linked, checked, n_runs = links(stars, "ngram-stars"), stars, runs.count()
+    for nearest in (NEAREST, 0):
+        # what is joined by now, and the signatures whose sets are in different components
+        roots = components(linked)
+        placed = runs.join(roots.hint("merge"), "node", "left").select("sig", "node", "flag", F.coalesce("root", "node").alias("root"))
+        placed = written(placed, "ngram-placed", n_runs)
+        open_sigs = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x < y")
+        left = join_keyed(placed, written(open_sigs.select("sig", "size"), "ngram-open", n_runs), "sig", "size", n_runs)
+        left = left.join(with_bits.select("node", "n", "bits").hint("merge"), "node")
+        # a long run is dealt as pairs of chunks
+        dealt = left.withColumn("chunks", F.ceil(F.col("size") / F.lit(CHUNK)).cast("int"))
+        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        dealt = dealt.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n", "flag", "root", "bits")
+        dealt = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        pairs = dealt.mapInArrow(lambda x, k=nearest: _pairs(x, percent, k), "a long, b long").distinct()
+        pairs = written(pairs.join(checked.hint("merge"), ["a", "b"], "left_anti"), "ngram-pairs")
+        linked, checked = linked.unionByName(links(pairs, "ngram-rest")), checked.unionByName(pairs)
     roots = components(linked)
 
-    # what the hubs did not join: pairs of a signature whose sets are in different components
-    placed = runs.join(roots.hint("merge"), "node", "left").select("sig", "node", "flag", F.coalesce("root", "node").alias("root"))
-    placed = written(placed, "ngram-placed")
-    open_sigs = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x < y")
-    left = join_keyed(placed, written(open_sigs.select("sig", "size"), "ngram-open"), "sig", "size", placed.count())
-    left = left.join(with_bits.select("node", "n", "bits").hint("merge"), "node")
-    # a long run is dealt as pairs of chunks
-    chunks = F.ceil(F.col("size") / F.lit(CHUNK)).cast("int")
-    dealt = left.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n", "flag", "root", "bits")
-    pairs = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(lambda x: _pairs(x, percent), "a long, b long").distinct()
-    more = links(pairs.join(stars.hint("merge"), ["a", "b"], "left_anti"), "ngram-rest")
-    roots = components(linked.unionByName(more))
-
     labelled = nodes.join(roots.hint("merge"), "node", "left").select("node", "first_id", "rows", F.coalesce("root", "node").alias("root"))
-    labelled = written(labelled, "ngram-labelled")
+    labelled = written(labelled, "ngram-labelled", n_rows)
     lowest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
-    lowest = written(lowest, "ngram-lowest")
+    lowest = written(lowest, "ngram-lowest", n_rows)
     of_node = join_keyed(labelled, lowest, "root", "members", n_rows).select("node", "rows", "component_id")
-    found = join_keyed(known, written(of_node, "ngram-of-node"), "node", "rows", n_rows).select("doc_id", "n", "component_id")
+    found = join_keyed(known, written(of_node, "ngram-of-node", n_rows), "node", "rows", n_rows).select("doc_id", "n", "component_id")
     alone = thin.filter("doc_id IS NULL OR n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

@@ -97,3 +97,32 @@ def test_large_groups(spark):
 
 def test_empty(spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_components_of_random_graphs(spark):
+    from auditlake.llm.components import components
+
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(40)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)]
+    at = {}
+
+    def find(x):
+        while at.setdefault(x, x) != x:
+            x = at[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        at[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in at if find(x) != x}
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keys_are_even(spark):
+    from auditlake.llm.common import even_keys
+
+    keys = even_keys(spark, 37)
+    parts = spark.createDataFrame([(k,) for k in keys], "k int").repartition(37, "k").select(F.spark_partition_id().alias("p"))
+    assert parts.distinct().count() == 37
