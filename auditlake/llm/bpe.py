@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import KEPT, slices
 
 #: Chunks that a worker keeps in each of two generations. A bound of memory only.
 CACHE_CHUNKS = 700_000
@@ -305,7 +305,14 @@ class Bpe:
 
 @lru_cache(maxsize=2)
 def bpe(path: str) -> Bpe:
-    return Bpe(path)
+    """The worker's model of a vocabulary, with its cache of chunks."""
+    model = Bpe(path)
+
+    def let_go() -> None:
+        model.chunks, model.older = {}, {}
+
+    KEPT["bpe " + path] = let_go
+    return model
 
 
 def map_encoded(docs: DataFrame, path: str, each, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,7 +321,7 @@ def map_encoded(docs: DataFrame, path: str, each, schema: str, id_col: str = "do
     def run(batches):
         model, kinds = bpe(path), _arrow(schema)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 2 << 20, keeps="bpe " + path):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 rows = [r for i, ids in zip(part.column(0).to_pylist(), model.encode(texts)) for r in each(i, ids, model)]
                 yield pa.RecordBatch.from_pydict({name: pa.array(list(c), kind) for (name, kind), c in zip(kinds, zip(*rows))})

@@ -219,7 +219,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy(F.col(id_col).alias("__id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("__label"))
         .orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
     )
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("__id", "__label", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("__key") == F.col("__id")).select("__id", "__label", "text")
 
     def features(batches):
         for batch in batches:
