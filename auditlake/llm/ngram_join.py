@@ -77,7 +77,7 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.n
     begin = np.concatenate([[0], np.cumsum(n)])
     rolled = np.zeros(len(hashes), np.uint64)
     for k in range(words):
-        rolled[: len(hashes) - k] += mix(hashes[k:] + _U(k)) * _POWERS[k]
+        rolled[: max(len(hashes) - k, 0)] += mix(hashes[k:] + _U(k)) * _POWERS[k]
     rolled = mix(rolled)
     out, sizes = [], []
     for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,12 @@ def test_keys_are_even(spark):
     keys = even_keys(spark, 37)
     parts = spark.createDataFrame([(k,) for k in keys], "k int").repartition(37, "k").select(F.spark_partition_id().alias("p"))
     assert parts.distinct().count() == 37
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_a_slice_of_one_short_row(spark, n):
+    text = " ".join("abcde"[:n])
+    hashes, begin = ngram_join.shingle_sets(pa.array([text]))
+    assert len(hashes) == 1 and begin.tolist() == [0, 1]
+    rows = ngram_join.jaccard_components(spark.createDataFrame([(7, text)], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in rows] == [(7, 1, 7)]
