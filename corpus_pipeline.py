@@ -32,10 +32,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similarity 0.8 or more join, the one with the smallest id stays. Rows without id stay."""
-    groups = ngram_join.jaccard_components(docs, words=5, percent=80).filter("doc_id IS NOT NULL")
-    lost = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(lost.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    """Of rows that links of similarity 0.8 or more join, the one with the smallest id stays; rows without id come last.
+
+    Where some rows repeat an id or have none, rows are labelled by a number of their own, so that each counts by its text.
+    """
+    docs = docs.select(*COLUMNS)
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        rows = docs.withColumn("row", F.col("doc_id"))
+    else:
+        rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text", "lang", "source"), "row")
+    labels = ngram_join.jaccard_components(rows, words=5, percent=80, id_col="row").select("row", "component_id")
+    first = rows.select("row", order.alias("place")).join(labels.hint("merge"), "row").groupBy("component_id").agg(F.min("place").alias("place"))
+    stay = first.select(F.col("place.row").alias("row"))
+    return rows.join(stay.hint("merge"), "row", "left_semi").select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,13 @@ def test_packing_holds_every_document(steps):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_copies_without_id_or_with_the_same_id_leave_one_row(spark):
+    words = lambda a: " ".join(f"word{k}" for k in range(a, a + 90))
+    rows = [(1, words(0)), (1, words(0)), (None, words(0)), (2, words(100)), (None, words(100)), (None, words(200)), (None, words(200)), (3, words(300)), (4, words(300)), (4, words(400)), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_repeats(spark, corpus_pipeline.drop_near_copies(spark, docs, SF), SF)
+    left = sorted(((r["doc_id"], r["text"]) for r in kept.filter("n_chars > 0").collect()), key=repr)
+    assert left == sorted([(1, words(0)), (2, words(100)), (None, words(200)), (3, words(300)), (4, words(400))], key=repr)
+    assert kept.filter("n_chars = 0").count() == 2
