@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_keyed, mix, prefix_hash, slices, span_hash, text_buffers, written
+from .common import join_keyed, mix, prefix_hash, slices, span_hash, text_buffers, words_of, written
 
 LEAST, GRAM = 400, 32
+#: Words in a gram that anchors a window of words, and the bits of the filters of what is met twice.
+WORD_GRAM, FILTER_BITS = 24, 26
 MOST_CLASSES = 20_000
 _CHUNK = 1 << 21
 _U = np.uint64
@@ -72,10 +74,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int, gram: int):
     return np.searchsorted(offsets, first, side="right") - 1, place, first, last, prefix
 
 
-def _survey(batches, least: int, gram: int):
+def _survey(batches, least: int, gram: int, part_bytes: int):
     """(gram, ctx, key, doc_id, pos, lead, tail): every anchor; its context is text[pos - lead : pos + tail]."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", part_bytes):
             data, offsets = text_buffers(part.column(2))
             of, place, first, last, prefix = anchors(data, offsets, least, gram)
             lead, tail = place - first, last + least - place
@@ -287,9 +289,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeats(source: DataFrame, least: int = LEAST, most: int = MOST_CLASSES, gram: int = GRAM) -> DataFrame:
+def repeats(source: DataFrame, least: int = LEAST, most: int = MOST_CLASSES, gram: int = GRAM, part_bytes: int = 4 << 20) -> DataFrame:
     """Of source (key, doc_id, text): (key, doc_id, start, stop), byte spans that together cover all repeats of `least` bytes."""
-    found = written(source.mapInArrow(lambda b: _survey(b, least, gram), "gram long, ctx long, key long, doc_id long, pos long, lead long, tail long"), "suffix-anchors")
+    found = written(source.mapInArrow(lambda b: _survey(b, least, gram, part_bytes), "gram long, ctx long, key long, doc_id long, pos long, lead long, tail long"), "suffix-anchors")
     place = F.min(F.struct("key", "doc_id", "pos", "lead", "tail")).alias("rep")
     classes = written(found.groupBy("ctx", "gram").agg(F.count("*").alias("n"), place), "suffix-classes")
     several = classes.filter("n > 1").select("ctx", "n")
@@ -322,7 +324,90 @@ def repeats(source: DataFrame, least: int = LEAST, most: int = MOST_CLASSES, gra
     return out
 
 
-def suffix_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST_CLASSES, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+def word_windows(data: np.ndarray, offsets: np.ndarray, words: int, gram: int):
+    """For texts lying one after another: text, start and stop of each window of so many words, its bytes' hash, and the least hash of its grams."""
+    starts, ends, of, _ = words_of(data, offsets)
+    if len(starts) < words:
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    prefix = prefix_hash(data)
+    least = span_hash(prefix, starts[: len(starts) - gram + 1], ends[gram - 1 :])
+    width, have = words - gram + 1, 1
+    while have < width:
+        step = min(have, width - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    window = np.flatnonzero(of[: len(starts) - words + 1] == of[words - 1 :])
+    start, stop = starts[window], ends[window + words - 1]
+    return of[window], start, stop, span_hash(prefix, start, stop), least[window]
+
+
+def _word_grams(batches, words: int, gram: int):
+    """(gram, many): runs of windows that have their least gram in common; many: 2 if two of them are equal."""
+    for batch in batches:
+        for part in slices(batch, "text", 1 << 20):
+            of, _, _, digest, least = word_windows(*text_buffers(part.column(2)), words, gram)
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (least[1:] != least[:-1])
+            run = np.cumsum(new) - 1
+            order = np.lexsort((digest, run))
+            digest, run = digest[order], run[order]
+            many = np.ones(np.count_nonzero(new), np.int64)
+            many[run[1:][(digest[1:] == digest[:-1]) & (run[1:] == run[:-1])]] = 2
+            yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), pa.array(many)], ["gram", "many"])
+
+
+def _held(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = (keys >> _U(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def _filter_of(keys: DataFrame, key: str, tag: str):
+    """A broadcast filter of FILTER_BITS bits, which the high bits of keys number: 8 MB, whatever the input."""
+    spark = keys.sparkSession
+    numbered = keys.select((F.shiftrightunsigned(key, 64 - FILTER_BITS) + 1).alias("bit"))
+    blocks = written(numbered.groupBy(F.bitmap_bucket_number("bit").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")), tag)
+    bits = np.zeros((1 << (FILTER_BITS - 15), 4096), np.uint8)
+    for r in blocks.collect():
+        bits[r["block"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return spark.sparkContext.broadcast(bits.reshape(-1))
+
+
+def _word_digests(batches, words: int, gram: int, bits: np.ndarray):
+    """(digest, key, doc_id, start, stop) of the windows whose least gram is in the filter."""
+    for batch in batches:
+        for part in slices(batch, "text", 1 << 20):
+            data, offsets = text_buffers(part.column(2))
+            of, start, stop, digest, least = word_windows(data, offsets, words, gram)
+            pick = np.flatnonzero(_held(least, bits))
+            take, begin = pa.array(of[pick]), offsets[of[pick]]
+            columns = [pa.array(digest[pick].view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(start[pick] - begin), pa.array(stop[pick] - begin)]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "key", "doc_id", "start", "stop"])
+
+
+def word_repeats(source: DataFrame, words: int, gram: int = WORD_GRAM) -> DataFrame:
+    """Of source (key, doc_id, text): (key, doc_id, start, stop), byte spans that together cover all repeats of so many words.
+
+    Equal windows have the same least gram, so only windows whose least gram is met
+    twice are matched, by digest. Filters of fixed size name these grams, and then
+    the digests, to all tasks; what they wrongly let pass the match clears.
+    """
+    grams = source.mapInArrow(lambda b: _word_grams(b, words, gram), "gram long, many long")
+    met = _filter_of(grams.groupBy("gram").agg(F.sum("many").alias("n")).filter("n > 1"), "gram", "words-grams")
+    columns = "digest long, key long, doc_id long, start long, stop long"
+    windows = written(source.mapInArrow(lambda b: _word_digests(b, words, gram, met.value), columns), "words-windows")
+    several = written(windows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "words-several")
+    again = _filter_of(several, "digest", "words-digests")
+
+    def likely(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_held(batch.column(0).to_numpy().view(np.uint64), again.value)))
+
+    left = windows.mapInArrow(likely, columns)
+    return join_keyed(left, several, "digest", "n", windows.count()).select("key", "doc_id", "start", "stop")
+
+
+def suffix_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST_CLASSES, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, words: int = 0) -> DataFrame:
     """docs with kept (the text's bytes without repeats), n_bytes, n_removed, n_spans.
 
     kept is binary, for a cut can fall within a character; as_text makes it a string
@@ -333,11 +418,15 @@ def suffix_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST_CLASSES,
     never cross texts, and all is judged on the input. Null texts are empty. Rows
     that repeat an id, and null ids, are texts of their own. All columns of docs are
     kept, but for such as are named like the new ones. An empty table gives no rows.
+    With `words`, the same holds for strings of so many words, whatever their bytes.
     """
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "__key", "__spans", "__key2", "__doc2")
     keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col))
     source = keyed.select(F.col("__key").alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(repeats(source, least, most, gram), "suffix-spans")
+    spans = repeats(source, least, most, gram, 1 << 20 if words else 4 << 20)
+    if words:
+        spans = spans.unionByName(word_repeats(source, words))
+    found = written(spans, "suffix-spans")
     spans = found.groupBy(F.col("key").alias("__key2"), F.col("doc_id").alias("__doc2")).agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
     same = (F.col("__key") == F.col("__key2")) & F.col(id_col).cast("long").eqNullSafe(F.col("__doc2"))
     joined = keyed.join(spans.hint("merge"), same, "left").select(*docs.columns, "__spans")

@@ -66,3 +66,15 @@ def test_copies_without_id_or_with_the_same_id_leave_one_row(spark):
     left = sorted(((r["doc_id"], r["text"]) for r in kept.filter("n_chars > 0").collect()), key=repr)
     assert left == sorted([(1, words(0)), (2, words(100)), (None, words(200)), (3, words(300)), (4, words(400))], key=repr)
     assert kept.filter("n_chars = 0").count() == 2
+
+
+def test_passages_of_over_fifty_words_go(spark):
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    fifty, more, tiny, twice = words("x", 50), words("y", 51), " ".join("ab"[k % 3 == 0] for k in range(60)), words("z", 55)
+    assert max(map(len, (fifty, more, tiny, twice))) < 400
+    texts = [f"{words('p', 90)} {fifty} {words('q', 9)} {more}", f"{more} {words('r', 90)} {fifty}", f"{tiny} {words('s', 30)}", f"{words('t', 30)} {tiny}", f"{twice} {words('u', 5)} {twice}"]
+    rows = [(k, t, "en", "web", len(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, (None, None, "en", "web", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeats(spark, docs, SF).collect()}
+    want = [f"{words('p', 90)} {fifty} {words('q', 9)} ", f" {words('r', 90)} {fifty}", f" {words('s', 30)}", f"{words('t', 30)} ", f" {words('u', 5)} "]
+    assert kept == {**dict(enumerate(want)), None: ""}
