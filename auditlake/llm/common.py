@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +18,11 @@ HOT_SHARE = 2000
 #: Rows of a narrow table that a file may have.
 ROWS_A_FILE = 250_000
 
+#: Keys up to which a set of 64-bit keys goes to all tasks: about 32 MB there.
+KEYS_SENT = 1_000_000
+
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
+
 _MULT = 0x9E3779B97F4A7C15
 
 
@@ -48,13 +55,31 @@ def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The tables that an operator writes on its way; clear() removes them once what they led to is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        path = new_path(self.spark, tag)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            remove_path(self.spark, path)
+        self.paths = []
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def join_keyed(rows: DataFrame, per_key: DataFrame, key: str, size: str, n_rows: int, how: str = "inner") -> DataFrame:
+def join_keyed(rows: DataFrame, per_key: DataFrame, key: str | list[str], size: str, n_rows: int, how: str = "inner") -> DataFrame:
     """rows joined with per_key (one row for each key) where some keys may hold a third of all rows.
 
     per_key has in `size` how many of the n_rows rows each key has. Keys with more
@@ -65,10 +90,22 @@ def join_keyed(rows: DataFrame, per_key: DataFrame, key: str, size: str, n_rows:
     hot = per_key.filter(F.col(size) > limit)
     cold = per_key.filter(F.col(size) <= limit)
     near = rows.join(F.broadcast(hot), key, "inner")
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key, how)
+    rest = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(cold.hint("merge"), key, how)
     return near.unionByName(rest)
 
 
+def parted(rows: DataFrame, key: str, keys: DataFrame, most: int = KEYS_SENT) -> tuple[DataFrame, DataFrame | None]:
+    """The rows that have one of keys (64-bit numbers), and the others, so that only the former need be shuffled.
+
+    Up to `most` keys are sent to all tasks. With more, all rows are returned as the
+    former, and None.
+    """
+    distinct = written(keys.distinct(), "parted-keys")
+    if distinct.count() > most:
+        return rows, None
+    return rows.join(F.broadcast(distinct), key, "left_semi"), rows.join(F.broadcast(distinct), key, "left_anti")
+
+
 def even_keys(spark: SparkSession, n: int) -> list[int]:
     """n integers that a hash repartition into n parts deals to a part each."""
     tried = spark.range(32 * n).select(F.col("id").cast("int").alias("k"))
@@ -97,6 +134,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[starts[0] : starts[-1]], starts - starts[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, for a worker goes on to other batches and tasks beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 #: What a worker keeps between tasks, by operator: functions that let it go.
 KEPT: dict[str, Callable[[], None]] = {}
 
@@ -123,6 +167,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20, keeps: str =
         end = min(max(end, at + 1), len(values))
         yield batch.slice(at, end - at)
         at = end
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -142,30 +187,30 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = mix(np.arange(256, dtype=np.uint64) * np.uint64(_MULT) + np.uint64(77))
-_CACHE: dict[str, np.ndarray] = {}
+#: Bases of the two rolling hashes.
+_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_BYTES = [mix(np.arange(256, dtype=np.uint64) * np.uint64(_MULT) + np.uint64(77 + k)) for k in range(2)]
+_CACHE: dict[tuple[bool, bool], np.ndarray] = {}
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of the rolling hash's base, or of its inverse, modulo 2**64."""
-    name = "inverse" if inverse else "base"
-    if name not in _CACHE or len(_CACHE[name]) < n:
-        _CACHE[name] = _powers(max(n, 1 << 16), _INVERSE if inverse else _BASE)
-    return _CACHE[name][:n]
+def powers(n: int, inverse: bool = False, second: bool = False) -> np.ndarray:
+    """The first n powers of a rolling hash's base, or of its inverse, modulo 2**64."""
+    if len(_CACHE.get((inverse, second), ())) < n:
+        base = _BASES[second]
+        _CACHE[inverse, second] = _powers(max(n, 1 << 16), pow(base, -1, 1 << 64) if inverse else base)
+    return _CACHE[inverse, second][:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, second: bool = False) -> np.ndarray:
     """H with H[e] - H[s] = base**s times the hash of data[s:e], modulo 2**64."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(len(data)), out=out[1:])
+    np.cumsum(_BYTES[second][data] * powers(len(data), False, second), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
     """64-bit hashes of data[start:end], the same for equal bytes anywhere."""
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix), True)[start] + (end - start).astype(np.uint64))
+    return mix((prefix[end] - prefix[start]) * powers(len(prefix), True, second)[start] + (end - start).astype(np.uint64))
 
 
 _SPACE = np.zeros(256, bool)

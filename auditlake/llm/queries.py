@@ -45,8 +45,9 @@ def op3_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(documents(spark, sf_dir), least=400).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    """The contract's columns, and what is left once repeated passages of 51 words and more are removed too, whatever their bytes."""
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir), least=400, words=51).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_text_removed", "n_text_spans", "n_kept_chars", "kept_text"
     )
 
 

@@ -1,99 +1,270 @@
-"""Suffix-array dedup: maximal repeats of at least `least` bytes, found in common-prefix interval trees.
-
-Two equal strings of `least` bytes have the same leftmost minimal GRAM-byte gram
-at the same place. So each document's windows are put under such anchors (about
-one in `least` / 2 bytes), and only anchors meet across documents, by the hash of
-their gram. An anchor's context is the union of its windows. Anchors with equal
-contexts are a class; the windows of a class of two or more are repeats as they
-stand. The classes of a gram that are left, one anchor for each, form a sparse
-enhanced suffix array: sorted right contexts with their common prefixes. A stack
-scan yields its interval tree; in every interval the left contexts are tested for
-diversity, which splits its suffixes into groups of maximal repeats with all their
-occurrences, each extended to the left as far as any other occurrence allows.
-
-A gram with more than `most` classes would be a large group in one task; its
-windows are matched by digest instead, spread over all tasks. Both ways find every
-repeat. Strings are compared by bytes within an interval tree, and by 64-bit
-hashes elsewhere.
+"""Suffix-array dedup: maximal repeats, found in common-prefix interval trees over anchors.
+
+A rule says which strings count as repeats: all of `least` bytes (Bytes), or all of
+so many words whatever their bytes (Words). Two equal strings have the same
+leftmost minimal gram at the same place. So each document's windows are put under
+such anchors (one in about half a window), and only anchors meet across documents,
+by the hash of their gram. An anchor's context is the union of its windows.
+
+First the grams are counted, and a bitmap of those that are met twice goes to all
+tasks (FILTER_MOST bits at most; what it wrongly lets pass the counts clear). Only
+anchors of such grams are written. Anchors with equal contexts are one suffix, of
+which the classes table keeps one representative and the number. The classes of a
+gram form a sparse enhanced suffix array: sorted right contexts with their common
+prefixes. A stack scan yields its interval tree; in every interval the left contexts
+are tested for diversity, which splits its suffixes into groups of maximal repeats,
+each extended to the left as far as any other occurrence allows. A suffix of several
+members is an interval of its own, as deep as its context. Every group goes back to
+all members of its suffixes, so that it has all occurrences and not just neighbours.
+
+A gram with more than `most` classes would be a large group in one task: the windows
+of its anchors are put under anchors again, with longer grams, until these are whole
+windows, whose contexts are equal wherever their grams are.
+
+Strings are compared byte by byte in the interval trees. Elsewhere a context stands
+for itself by two 64-bit hashes with different bases, its gram's and its own.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_keyed, mix, prefix_hash, slices, span_hash, text_buffers, words_of, written
+from .common import Scratch, join_keyed, mix, parted, prefix_hash, slices, span_hash, text_buffers, words_of, written
 
 LEAST, GRAM = 400, 32
-#: Words in a gram that anchors a window of words, and the bits of the filters of what is met twice.
-WORD_GRAM, FILTER_BITS = 24, 26
-MOST_CLASSES = 20_000
-_CHUNK = 1 << 21
+#: Words in a gram that anchors a window of words.
+WORD_GRAM = 12
+#: Classes of a gram that one task compares; those of a gram with more are anchored again with longer grams.
+MOST_CLASSES = 2_000
+#: Bits of the bitmap for each gram that is met twice, and its largest size in bits (32 MB).
+FILTER_BITS_A_GRAM, FILTER_LEAST, FILTER_MOST = 8, 1 << 20, 1 << 28
+_CHUNK = 1 << 20
 _U = np.uint64
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, least: int, gram: int):
-    """For texts lying one after another: text, anchor, first and last window of each anchor (places in data), and the prefix hash."""
-    prefix = prefix_hash(data)
-    found = []
-    last_window = len(data) - least
-    width = least - gram + 1
-    bad = np.zeros(len(data) + 1, np.int32)  # windows that run over a text's end
-    ends = offsets[1:-1] if len(offsets) > 2 else offsets[:0]
-    np.add.at(bad, np.maximum(ends - least + 1, 0), 1)
-    np.add.at(bad, ends, -1)
-    bad = np.cumsum(bad)
-    for c in range(0, last_window + 1, _CHUNK):
-        windows = min(_CHUNK, last_window + 1 - c)
-        at = np.arange(c, c + windows + width - 1)
-        key = (span_hash(prefix, at, at + gram) & _U(0xFFFFFFFFFF000000)) | (at - c).astype(np.uint64)
-        blocks = -(-len(key) // width)
-        padded = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
-        padded[: len(key)] = key
-        table = padded.reshape(blocks, width)
-        forth = np.minimum.accumulate(table, axis=1).reshape(-1)
-        back = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-        least_key = np.minimum(back[:windows], forth[width - 1 : width - 1 + windows])
-        place = (least_key & _U(0xFFFFFF)).astype(np.int64) + c
-        window = np.flatnonzero(bad[c : c + windows] == 0)
-        if not len(window):
-            continue
+@dataclass(frozen=True)
+class Bytes:
+    """Strings of `least` bytes, anchored by grams of `gram` bytes."""
+
+    least: int = LEAST
+    gram: int = GRAM
+    unit = 1
+
+    def longer(self) -> Bytes:
+        return Bytes(self.least, min(4 * self.gram, self.least))
+
+    def whole(self) -> bool:
+        return self.gram >= self.least
+
+    def anchors(self, data: np.ndarray, offsets: np.ndarray):
+        """For texts lying one after another: of each anchor its text, place, the context's first and stop (places in data), and its gram's hash."""
+        prefix = prefix_hash(data)
+        found = []
+        last_window = len(data) - self.least
+        width = self.least - self.gram + 1
+        bad = np.zeros(len(data) + 1, np.int32)  # windows that run over a text's end
+        ends = offsets[1:-1] if len(offsets) > 2 else offsets[:0]
+        np.add.at(bad, np.maximum(ends - self.least + 1, 0), 1)
+        np.add.at(bad, ends, -1)
+        bad = np.cumsum(bad, dtype=np.int32)
+        for c in range(0, last_window + 1, _CHUNK):
+            windows = min(_CHUNK, last_window + 1 - c)
+            at = np.arange(c, c + windows + width - 1)
+            key = (span_hash(prefix, at, at + self.gram) & _U(0xFFFFFFFFFF000000)) | (at - c).astype(np.uint64)
+            blocks = -(-len(key) // width)
+            padded = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
+            padded[: len(key)] = key
+            table = padded.reshape(blocks, width)
+            forth = np.minimum.accumulate(table, axis=1).reshape(-1)
+            back = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+            least_key = np.minimum(back[:windows], forth[width - 1 : width - 1 + windows])
+            place = (least_key & _U(0xFFFFFF)).astype(np.int64) + c
+            window = np.flatnonzero(bad[c : c + windows] == 0)
+            if not len(window):
+                continue
+            place = place[window]
+            window += c
+            new = np.ones(len(window), bool)
+            new[1:] = (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)
+            starts = np.flatnonzero(new)
+            stops = np.append(starts[1:], len(window)) - 1
+            found.append((place[starts], window[starts], window[stops]))
+        if not found:
+            none = np.zeros(0, np.int64)
+            return none, none, none, none, np.zeros(0, np.uint64)
+        place, first, last = (np.concatenate([x[k] for x in found]) for k in range(3))
+        # hashed once more, for least hashes have small high bits
+        return np.searchsorted(offsets, first, side="right") - 1, place, first, last + self.least, mix(span_hash(prefix, place, place + self.gram))
+
+    def sides(self, context: bytes, lead: int) -> tuple[bytes, bytes]:
+        """What is left of the anchor, from right to left, and what is right of it, in codes of `unit` bytes."""
+        return context[:lead][::-1], context[lead:]
+
+    @staticmethod
+    def length(side: bytes, codes: int) -> int:
+        """The bytes of text that the first codes of a side stand for."""
+        return codes
+
+
+@dataclass(frozen=True)
+class Words:
+    """Strings of `least` words with the white space between them, anchored by grams of `gram` words."""
+
+    least: int
+    gram: int = WORD_GRAM
+    unit = 12  # a word's hash (8 bytes) and its length with the white space towards the anchor (4 bytes)
+
+    def longer(self) -> Words:
+        return Words(self.least, min(2 * self.gram, self.least))
+
+    def whole(self) -> bool:
+        return self.gram >= self.least
+
+    def anchors(self, data: np.ndarray, offsets: np.ndarray):
+        starts, ends, of, _ = words_of(data, offsets)
+        if len(starts) < self.least:
+            none = np.zeros(0, np.int64)
+            return none, none, none, none, np.zeros(0, np.uint64)
+        prefix = prefix_hash(data)
+        grams = len(starts) - self.gram + 1
+        own = span_hash(prefix, starts[:grams], ends[self.gram - 1 :])
+        width, have = self.least - self.gram + 1, 1
+        least, place = own, np.arange(grams)
+        while have < width:
+            step = min(have, width - have)
+            right = least[step:] < least[:-step]  # of equal ones the leftmost
+            least, place = np.where(right, least[step:], least[:-step]), np.where(right, place[step:], place[:-step])
+            have += step
+        window = np.flatnonzero(of[: len(starts) - self.least + 1] == of[self.least - 1 :])
         place = place[window]
-        window += c
         new = np.ones(len(window), bool)
         new[1:] = (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)
-        starts = np.flatnonzero(new)
-        stops = np.append(starts[1:], len(window)) - 1
-        found.append((place[starts], window[starts], window[stops]))
-    if not found:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, prefix
-    place, first, last = (np.concatenate([x[k] for x in found]) for k in range(3))
-    return np.searchsorted(offsets, first, side="right") - 1, place, first, last, prefix
-
-
-def _survey(batches, least: int, gram: int, part_bytes: int):
-    """(gram, ctx, key, doc_id, pos, lead, tail): every anchor; its context is text[pos - lead : pos + tail]."""
+        head = np.flatnonzero(new)
+        if not len(head):
+            none = np.zeros(0, np.int64)
+            return none, none, none, none, np.zeros(0, np.uint64)
+        tail = np.append(head[1:], len(window)) - 1
+        return of[window[head]], starts[place[head]], starts[window[head]], ends[window[tail] + self.least - 1], mix(own[place[head]])
+
+    def sides(self, context: bytes, lead: int) -> tuple[bytes, bytes]:
+        data = np.frombuffer(context, np.uint8)
+        starts, ends, _, _ = words_of(data, np.array([0, len(data)]))
+        prefix, split = prefix_hash(data), int(np.searchsorted(starts, lead))
+        # left: words with the white space after them, right: the anchor's word, then words with the white space before them
+        left_a, left_b = starts[:split], starts[1 : split + 1]
+        right_a, right_b = np.concatenate([starts[split : split + 1], ends[split:-1]]), ends[split:]
+        return self._codes(prefix, left_a[::-1], left_b[::-1]), self._codes(prefix, right_a, right_b)
+
+    @staticmethod
+    def _codes(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
+        out = np.empty(len(a), np.dtype([("hash", ">u8"), ("length", ">u4")]))
+        out["hash"], out["length"] = span_hash(prefix, a, b), b - a
+        return out.tobytes()
+
+    @staticmethod
+    def length(side: bytes, codes: int) -> int:
+        return int(np.frombuffer(side, np.dtype([("hash", ">u8"), ("length", ">u4")]), codes)["length"].sum())
+
+
+_ANCHORS = "gram long, ctx long, key long, doc_id long, pos long, lead long, tail long"
+_NAMES = ["gram", "ctx", "key", "doc_id", "pos", "lead", "tail"]
+
+
+def _in_bitmap(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = (keys >> _U(64 - (8 * len(bits)).bit_length() + 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _grams(batches, rule):
+    """(gram, n): the grams of anchors and how many anchors of a slice have them."""
+    for batch in batches:
+        for part in slices(batch, "text", 1 << 20):
+            gram, n = np.unique(rule.anchors(*text_buffers(part.column(2)))[4], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
+
+
+def _anchor_rows(data: np.ndarray, offsets: np.ndarray, rule, bits: np.ndarray | None):
+    """Text, and the columns gram, ctx, place, lead, tail of the anchors whose gram is in the bitmap."""
+    of, place, first, stop, gram = rule.anchors(data, offsets)
+    if bits is not None:
+        pick = np.flatnonzero(_in_bitmap(gram, bits))
+        of, place, first, stop, gram = (x[pick] for x in (of, place, first, stop, gram))
+    lead, tail = place - first, stop - place
+    other = prefix_hash(data, second=True)
+    context = mix(span_hash(other, first, stop, second=True) + mix(lead.astype(np.uint64)) * _U(3))
+    return of, gram.view(np.int64), context.view(np.int64), place, lead, tail
+
+
+def _survey(batches, rule, bits: np.ndarray):
+    """(gram, ctx, key, doc_id, pos, lead, tail): the anchors whose gram is in the bitmap; a context is text[pos - lead : pos + tail]."""
     for batch in batches:
-        for part in slices(batch, "text", part_bytes):
+        for part in slices(batch, "text", 1 << 20):
             data, offsets = text_buffers(part.column(2))
-            of, place, first, last, prefix = anchors(data, offsets, least, gram)
-            lead, tail = place - first, last + least - place
-            own = span_hash(prefix, place, place + gram)
-            context = mix(span_hash(prefix, first, last + least) + mix(lead.astype(np.uint64)) * _U(3))
+            of, gram, context, place, lead, tail = _anchor_rows(data, offsets, rule, bits)
             take = pa.array(of)
-            columns = [pa.array(own.view(np.int64)), pa.array(context.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(place - offsets[of]), pa.array(lead), pa.array(tail)]
-            yield pa.RecordBatch.from_arrays(columns, ["gram", "ctx", "key", "doc_id", "pos", "lead", "tail"])
+            columns = [gram, context, part.column(0).take(take), part.column(1).take(take), place - offsets[of], lead, tail]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], _NAMES)
 
 
-def common_prefix(a: bytes, b: bytes) -> int:
+def _held_contexts(batches):
+    """(key, doc_id, the text's bytes, anchor) of each anchor that a text's list `held` has."""
+    for batch in batches:
+        for part in slices(batch, "text", 1 << 20):
+            for key, doc, text, held in zip(*(part.column(k).to_pylist() for k in range(4))):
+                raw = (text or "").encode()
+                for a in held:
+                    yield key, doc, raw, a
+
+
+def _survey_again(batches, rule):
+    """The anchors by a rule with longer grams of the windows that the anchors in `held` have."""
+    def solved(run):
+        offsets = np.concatenate([[0], np.cumsum([len(c) for *_, c in run])])
+        of, gram, context, place, lead, tail = _anchor_rows(np.frombuffer(b"".join(c for *_, c in run), np.uint8), offsets, rule, None)
+        keys, docs, begins = (np.array([r[k] if r[k] is not None else 0 for r in run], np.int64) for k in range(3))
+        no_doc = np.array([r[1] is None for r in run])
+        columns = [gram, context, keys[of], pa.array(docs[of], mask=no_doc[of]), begins[of] + place - offsets[of], lead, tail]
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], _NAMES)
+
+    run, weight = [], 0
+    for key, doc, raw, a in _held_contexts(batches):
+        begin = a["pos"] - a["lead"]
+        run.append((key, doc, begin, raw[begin : a["pos"] + a["tail"]]))
+        weight += a["lead"] + a["tail"]
+        if weight > 1 << 20:
+            yield solved(run)
+            run, weight = [], 0
+    if run:
+        yield solved(run)
+
+
+def _contexts(batches, rule):
+    """(gram, ctx, n, pos, left, right) of each anchor in `held`."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    out, weight = [], 0
+    for _, _, raw, a in _held_contexts(batches):
+        left, right = rule.sides(raw[a["pos"] - a["lead"] : a["pos"] + a["tail"]], a["lead"])
+        out.append((a["gram"], a["ctx"], a["n"], a["pos"], left, right))
+        weight += len(left) + len(right)
+        if weight > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["gram", "ctx", "n", "pos", "left", "right"])
+            out, weight = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["gram", "ctx", "n", "pos", "left", "right"])
+
+
+def common_prefix(a: bytes, b: bytes, unit: int = 1) -> int:
+    """How many codes of `unit` bytes two strings have in common from their beginnings on."""
     n = min(len(a), len(b))
     a, b = a[:n], b[:n]
     if a == b:
-        return n
-    return n - ((int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_length() + 7) // 8
+        return n // unit
+    return (n - ((int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_length() + 7) // 8) // unit
 
 
 class _RangeMin:
@@ -126,18 +297,22 @@ def intervals(prefixes: list[int]):
 
 
 def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int):
-    """(group, member, left, right) for anchors with contexts lefts[i] + rights[i].
+    """(group, member, left, right) for anchors with contexts lefts[i] + rights[i]: see suffix_groups."""
+    return suffix_groups([x[::-1] for x in lefts], rights, least)
+
+
+def suffix_groups(lefts: list[bytes], rights: list[bytes], least: int, unit: int = 1):
+    """(group, member, left, right) for anchors with contexts to both sides, the left ones from right to left, in codes of `unit` bytes.
 
     Each group is a maximal repeat with all its occurrences: its members share
-    `right` bytes from their anchors on, and each shares `left` bytes before it
-    with another member; together at least `least` bytes.
+    `right` codes from their anchors on, and each shares `left` codes before it
+    with another member; together at least `least` codes.
     """
     n = len(lefts)
     order = sorted(range(n), key=rights.__getitem__)
-    prefixes = [common_prefix(rights[a], rights[b]) for a, b in zip(order, order[1:])]
-    mirrored = [x[::-1] for x in lefts]
-    by_left = sorted(range(n), key=mirrored.__getitem__)
-    shared = np.array([common_prefix(mirrored[a], mirrored[b]) for a, b in zip(by_left, by_left[1:])], np.int64)
+    prefixes = [common_prefix(rights[a], rights[b], unit) for a, b in zip(order, order[1:])]
+    by_left = sorted(range(n), key=lefts.__getitem__)
+    shared = np.array([common_prefix(lefts[a], lefts[b], unit) for a, b in zip(by_left, by_left[1:])], np.int64)
     rank = np.empty(n, np.int64)
     rank[by_left] = np.arange(n)
     minima = _RangeMin(shared)
@@ -154,7 +329,7 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int):
         alike = common >= need
         if not alike.any():
             continue
-        # left-diverse runs of suffixes that agree on `need` bytes at least
+        # left-diverse runs of suffixes that agree on `need` codes at least
         head = np.append(True, ~alike)
         number = np.cumsum(head) - 1
         best = np.maximum(np.append(0, np.where(alike, common, 0)), np.append(np.where(alike, common, 0), 0))
@@ -164,24 +339,29 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int):
         group += int(number[-1]) + 1
 
 
-def _trees(batches, least: int):
-    """Rows (gram, solo, key, doc_id, pos, left, right) sorted by gram -> (gram, repeat, key, doc_id, start, stop) of every occurrence of a solo context."""
-    names = ["gram", "repeat", "key", "doc_id", "start", "stop"]
-    kinds = [pa.int64()] * 6
+def _trees(batches, rule, cover: bool):
+    """Rows (gram, ctx, n, left, right) sorted by gram -> (gram, ctx, n, repeat, left, right): each maximal repeat and its suffixes, with the bytes to either side.
+
+    With `cover` only what suffices to know the covered bytes: a suffix of several
+    members is covered as a whole, so only suffixes of one are put out.
+    """
+    names = ["gram", "ctx", "n", "repeat", "left", "right"]
     out: list[tuple] = []
 
     def solve(run: list[tuple]):
-        seen: dict[tuple[int, int], None] = {}
-        for group, member, left, right in maximal_repeats([r[5] for r in run], [r[6] for r in run], least):
-            _, solo, key, doc, pos, _, _ = run[member]
-            if solo and (member, left, right) not in seen:
-                seen[member, left, right] = None
-                out.append((run[0][0], group, key, doc, pos - left, pos + right))
+        seen: set[tuple[int, int, int]] = set()
+        for group, member, left, right in suffix_groups([r[3] for r in run], [r[4] for r in run], rule.least, rule.unit):
+            gram, ctx, n, own_left, own_right = run[member]
+            if cover:
+                if n > 1 or (member, left, right) in seen:
+                    continue
+                seen.add((member, left, right))
+            out.append((gram, ctx, n, group, rule.length(own_left, left), rule.length(own_right, right)))
 
     def flush():
         columns = list(zip(*out)) or [()] * 6
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     run: list[tuple] = []
     for batch in batches:
@@ -198,87 +378,6 @@ def _trees(batches, least: int):
     yield flush()
 
 
-def _contexts(batches):
-    """For each text with its anchors: (gram, solo, key, doc_id, pos, left, right)."""
-    names = ["gram", "solo", "key", "doc_id", "pos", "left", "right"]
-    for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
-            out = []
-            for key, doc, text, held in zip(*(part.column(k).to_pylist() for k in range(4))):
-                raw = (text or "").encode()
-                for a in held:
-                    pos = a["pos"]
-                    out.append((a["gram"], a["solo"], key, doc, pos, raw[pos - a["lead"] : pos], raw[pos : pos + a["tail"]]))
-            columns = list(zip(*out)) or [()] * 7
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-
-def _windows(batches, least: int, tasks: int):
-    """For each text with anchors of hot grams: the digests of their windows, packed for each reduce task, with where they are."""
-    for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
-            digests, rows, starts = [], [], []
-            keys, docs = [], []
-            for key, doc, text, held in zip(*(part.column(k).to_pylist() for k in range(4))):
-                prefix = prefix_hash(np.frombuffer((text or "").encode(), np.uint8))
-                for a in held:
-                    at = np.arange(a["pos"] - a["lead"], a["pos"] + a["tail"] - least + 1)
-                    digests.append(span_hash(prefix, at, at + least))
-                    rows.append(np.full(len(at), len(keys)))
-                    starts.append(at)
-                keys.append(key)
-                docs.append(doc)
-            if not digests:
-                continue
-            digest, row, start = np.concatenate(digests), np.concatenate(rows), np.concatenate(starts)
-            task = (((digest >> _U(32)) * _U(tasks)) >> _U(32)).astype(np.int64)
-            order = np.argsort(task, kind="stable")
-            digest, row, start, task = digest[order], row[order], start[order], task[order]
-            ends = np.searchsorted(task, np.arange(tasks + 1))
-            out = []
-            for t in range(tasks):
-                a, b = int(ends[t]), int(ends[t + 1])
-                if a < b:
-                    used, place = np.unique(row[a:b], return_inverse=True)
-                    known = [docs[u] for u in used]
-                    out.append((t, digest[a:b].tobytes(), place.astype("<u4").tobytes(), start[a:b].astype("<i8").tobytes(), [keys[u] for u in used], known))
-            columns = list(zip(*out))
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["task", "digests", "rows", "starts", "keys", "docs"])
-
-
-def _matched(batches, least: int):
-    """(key, doc_id, start, stop) of windows whose digest two places have, runs of such windows as one."""
-    digests, refs, starts, keys, docs = [], [], [], [], []
-    for batch in batches:
-        for _, packed, rows, at, own, known in zip(*(c.to_pylist() for c in batch.columns)):
-            digests.append(np.frombuffer(packed, "<u8"))
-            refs.append(np.frombuffer(rows, "<u4").astype(np.int64) + len(keys))
-            starts.append(np.frombuffer(at, "<i8"))
-            keys += own
-            docs += known
-    if not digests:
-        return
-    digest, ref, start = np.concatenate(digests), np.concatenate(refs), np.concatenate(starts)
-    order = np.argsort(digest)
-    ranked = digest[order]
-    same = ranked[1:] == ranked[:-1]
-    hit = np.append(False, same) | np.append(same, False)
-    order = order[hit]
-    ref, start = ref[order], start[order]
-    order = np.lexsort((start, ref))
-    ref, start = ref[order], start[order]
-    if not len(ref):
-        return
-    new = np.ones(len(ref), bool)
-    new[1:] = (ref[1:] != ref[:-1]) | (start[1:] > start[:-1] + least)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(ref)) - 1
-    columns = [pa.array([keys[r] for r in ref[first]], pa.int64()), pa.array([docs[r] for r in ref[first]], pa.int64()), pa.array(start[first]), pa.array(start[last] + least)]
-    yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "start", "stop"])
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -289,166 +388,158 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeats(source: DataFrame, least: int = LEAST, most: int = MOST_CLASSES, gram: int = GRAM, part_bytes: int = 4 << 20) -> DataFrame:
-    """Of source (key, doc_id, text): (key, doc_id, start, stop), byte spans that together cover all repeats of `least` bytes."""
-    found = written(source.mapInArrow(lambda b: _survey(b, least, gram, part_bytes), "gram long, ctx long, key long, doc_id long, pos long, lead long, tail long"), "suffix-anchors")
-    place = F.min(F.struct("key", "doc_id", "pos", "lead", "tail")).alias("rep")
-    classes = written(found.groupBy("ctx", "gram").agg(F.count("*").alias("n"), place), "suffix-classes")
-    several = classes.filter("n > 1").select("ctx", "n")
-    whole = join_keyed(found, several, "ctx", "n", found.count()).selectExpr("key", "doc_id", "pos - lead AS start", "pos + tail AS stop")
-
-    grams = classes.groupBy("gram").agg(F.count("*").alias("classes"), F.min("n").alias("fewest")).filter("classes > 1 AND fewest = 1")
-    grams = written(grams.select("gram", "classes"), "suffix-grams")
-    open_classes = join_keyed(classes.select("gram", "rep", (F.col("n") == 1).alias("solo")), grams, "gram", "classes", classes.count())
-    held = F.collect_list(F.struct("gram", "solo", "pos", "lead", "tail")).alias("held")
-    flat = written(open_classes.select("gram", "solo", (F.col("classes") > most).alias("hot"), "rep.*"), "suffix-open")
-    spans = [whole]
-    for hot in (False, True):
-        some = flat.filter(F.col("hot") if hot else ~F.col("hot"))
-        n_some = some.count()
-        if not n_some:
-            continue
-        lists = some.groupBy("key", "doc_id").agg(held).withColumnRenamed("doc_id", "doc2").withColumnRenamed("key", "key2")
-        joined = source.join(lists.hint("merge"), (F.col("key") == F.col("key2")) & F.col("doc_id").eqNullSafe(F.col("doc2"))).select("key", "doc_id", "text", "held")
-        if hot:
-            tasks = max(1, min(1 << 14, -(-n_some * least // 2 // 4_000_000)))
-            packed = joined.mapInArrow(lambda b: _windows(b, least, tasks), "task int, digests binary, rows binary, starts binary, keys array<long>, docs array<long>")
-            spans.append(packed.repartition(tasks, "task").mapInArrow(lambda b: _matched(b, least), "key long, doc_id long, start long, stop long"))
-        else:
-            contexts = joined.mapInArrow(_contexts, "gram long, solo boolean, key long, doc_id long, pos long, left binary, right binary")
-            trees = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(lambda b: _trees(b, least), "gram long, repeat long, key long, doc_id long, start long, stop long")
-            spans.append(trees.select("key", "doc_id", "start", "stop"))
+def _bitmap(grams: DataFrame, scratch: Scratch) -> np.ndarray:
+    """A bitmap, by their high bits, of the 64-bit keys in `gram`; of bounded size, whatever their number."""
+    bits = FILTER_LEAST
+    while bits < min(FILTER_MOST, FILTER_BITS_A_GRAM * grams.count()):
+        bits *= 2
+    numbered = grams.select((F.shiftrightunsigned("gram", 64 - bits.bit_length() + 1) + 1).alias("bit"))
+    blocks = scratch.written(numbered.groupBy(F.bitmap_bucket_number("bit").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")), "suffix-bitmap")
+    out = np.zeros((bits >> 15, 4096), np.uint8)
+    for r in blocks.collect():  # at most FILTER_MOST bits
+        out[r["block"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.reshape(-1)
+
+
+def repeats(source: DataFrame, rule, scratch: Scratch, most: int = MOST_CLASSES, cover: bool = True) -> DataFrame:
+    """Of source (key, doc_id, text): (gram, repeat, key, doc_id, start, stop), the maximal repeats with all their occurrences in bytes.
+
+    A repeat is named by gram and number; of anchors with equal contexts all
+    occurrences are in a repeat of their own, named by a null number. With `cover`
+    such repeats are left out as cover no further bytes.
+    """
+    spark = source.sparkSession
+    counted = source.mapInArrow(lambda b: _grams(b, rule), "gram long, n long")
+    met = scratch.written(counted.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram"), "suffix-met")
+    bits = spark.sparkContext.broadcast(_bitmap(met, scratch))
+    found = scratch.written(source.mapInArrow(lambda b, r=rule: _survey(b, r, bits.value), _ANCHORS), "suffix-anchors")
+    suffix = ["gram", "ctx"]
+    spans = []
+    while True:
+        n_found = found.count()
+        rep = F.min(F.struct("key", "doc_id", "pos", "lead", "tail")).alias("rep")
+        classes = scratch.written(found.groupBy(*suffix).agg(F.count("*").alias("n"), rep), "suffix-classes")
+        several = classes.filter("n > 1").select(*suffix, "n")
+        whole = join_keyed(found, several, suffix, "n", n_found)
+        spans.append(whole.selectExpr("gram", "CAST(NULL AS long) AS repeat", "key", "doc_id", "pos - lead AS start", "pos + tail AS stop"))
+        of_gram = classes.groupBy("gram").agg(F.count("*").alias("classes"), F.min("n").alias("fewest")).filter("classes > 1")
+        of_gram = scratch.written(of_gram.filter("fewest = 1" if cover else "true").select("gram", "classes"), "suffix-grams")
+        several_classes = scratch.written(join_keyed(classes, of_gram, "gram", "classes", classes.count()).select("gram", "ctx", "n", "classes", "rep.*"), "suffix-open")
+        held = F.collect_list(F.struct("gram", "ctx", "n", "pos", "lead", "tail")).alias("held")
+
+        def with_texts(some: DataFrame) -> DataFrame:
+            lists = some.groupBy("key", "doc_id").agg(held).withColumnRenamed("doc_id", "doc2").withColumnRenamed("key", "key2")
+            texts, _ = parted(source, "key", some.select("key"))
+            same = (F.col("key") == F.col("key2")) & F.col("doc_id").eqNullSafe(F.col("doc2"))
+            return texts.join(lists.hint("merge"), same).select("key", "doc_id", "text", "held")
+
+        contexts = with_texts(several_classes.filter(F.col("classes") <= most)).mapInArrow(lambda b, r=rule: _contexts(b, r), "gram long, ctx long, n long, pos long, left binary, right binary")
+        rows = contexts.select("gram", "ctx", "n", "left", "right").repartition("gram").sortWithinPartitions("gram")
+        trees = rows.mapInArrow(lambda b, r=rule: _trees(b, r, cover), "gram long, ctx long, n long, repeat long, left long, right long")
+        trees = scratch.written(trees, "suffix-trees")
+        if cover:  # of suffixes of one the representative is the only member
+            members = several_classes.filter("n = 1").select(*suffix, "key", "doc_id", "pos")
+            back = trees.drop("n").join(members.hint("merge"), suffix)
+        else:  # a suffix has several repeats, each of which has all its members
+            sized = trees.groupBy(*suffix).agg(F.first("n").alias("n"), F.collect_list(F.struct("repeat", "left", "right")).alias("own"))
+            back = join_keyed(found, sized, suffix, "n", n_found).withColumn("one", F.explode("own")).select("*", "one.*")
+        spans.append(back.selectExpr("gram", "repeat", "key", "doc_id", "pos - left AS start", "pos + right AS stop"))
+        hot = several_classes.filter(F.col("classes") > most)
+        if rule.whole() or hot.isEmpty():
+            break
+        rule = rule.longer()
+        if not cover:
+            hot = join_keyed(found, hot.select(*suffix, "n"), suffix, "n", n_found)
+        found = scratch.written(with_texts(hot).mapInArrow(lambda b, r=rule: _survey_again(b, r), _ANCHORS), "suffix-anchors")
     out = spans[0]
     for more in spans[1:]:
         out = out.unionByName(more)
     return out
 
 
-def word_windows(data: np.ndarray, offsets: np.ndarray, words: int, gram: int):
-    """For texts lying one after another: text, start and stop of each window of so many words, its bytes' hash, and the least hash of its grams."""
-    starts, ends, of, _ = words_of(data, offsets)
-    if len(starts) < words:
-        none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    prefix = prefix_hash(data)
-    least = span_hash(prefix, starts[: len(starts) - gram + 1], ends[gram - 1 :])
-    width, have = words - gram + 1, 1
-    while have < width:
-        step = min(have, width - have)
-        least = np.minimum(least[:-step], least[step:])
-        have += step
-    window = np.flatnonzero(of[: len(starts) - words + 1] == of[words - 1 :])
-    start, stop = starts[window], ends[window + words - 1]
-    return of[window], start, stop, span_hash(prefix, start, stop), least[window]
-
-
-def _word_grams(batches, words: int, gram: int):
-    """(gram, many): runs of windows that have their least gram in common; many: 2 if two of them are equal."""
-    for batch in batches:
-        for part in slices(batch, "text", 1 << 20):
-            of, _, _, digest, least = word_windows(*text_buffers(part.column(2)), words, gram)
-            new = np.ones(len(of), bool)
-            new[1:] = (of[1:] != of[:-1]) | (least[1:] != least[:-1])
-            run = np.cumsum(new) - 1
-            order = np.lexsort((digest, run))
-            digest, run = digest[order], run[order]
-            many = np.ones(np.count_nonzero(new), np.int64)
-            many[run[1:][(digest[1:] == digest[:-1]) & (run[1:] == run[:-1])]] = 2
-            yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), pa.array(many)], ["gram", "many"])
-
-
-def _held(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = (keys >> _U(64 - FILTER_BITS)).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7) & 1).astype(bool)
-
-
-def _filter_of(keys: DataFrame, key: str, tag: str):
-    """A broadcast filter of FILTER_BITS bits, which the high bits of keys number: 8 MB, whatever the input."""
-    spark = keys.sparkSession
-    numbered = keys.select((F.shiftrightunsigned(key, 64 - FILTER_BITS) + 1).alias("bit"))
-    blocks = written(numbered.groupBy(F.bitmap_bucket_number("bit").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")), tag)
-    bits = np.zeros((1 << (FILTER_BITS - 15), 4096), np.uint8)
-    for r in blocks.collect():
-        bits[r["block"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return spark.sparkContext.broadcast(bits.reshape(-1))
-
-
-def _word_digests(batches, words: int, gram: int, bits: np.ndarray):
-    """(digest, key, doc_id, start, stop) of the windows whose least gram is in the filter."""
-    for batch in batches:
-        for part in slices(batch, "text", 1 << 20):
-            data, offsets = text_buffers(part.column(2))
-            of, start, stop, digest, least = word_windows(data, offsets, words, gram)
-            pick = np.flatnonzero(_held(least, bits))
-            take, begin = pa.array(of[pick]), offsets[of[pick]]
-            columns = [pa.array(digest[pick].view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(start[pick] - begin), pa.array(stop[pick] - begin)]
-            yield pa.RecordBatch.from_arrays(columns, ["digest", "key", "doc_id", "start", "stop"])
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col))
+    return keyed, keyed.select(F.col("__key").alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def word_repeats(source: DataFrame, words: int, gram: int = WORD_GRAM) -> DataFrame:
-    """Of source (key, doc_id, text): (key, doc_id, start, stop), byte spans that together cover all repeats of so many words.
+def repeat_groups(docs: DataFrame, rule=None, most: int = MOST_CLASSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(gram, repeat, doc_id, start, stop): the maximal repeats of docs by a rule (Bytes() if none is given), each with all its occurrences.
 
-    Equal windows have the same least gram, so only windows whose least gram is met
-    twice are matched, by digest. Filters of fixed size name these grams, and then
-    the digests, to all tasks; what they wrongly let pass the match clears.
+    Occurrences are byte spans. Null texts are empty; an empty table gives no rows.
+    Rows that repeat an id are texts of their own; equal rows give equal spans.
     """
-    grams = source.mapInArrow(lambda b: _word_grams(b, words, gram), "gram long, many long")
-    met = _filter_of(grams.groupBy("gram").agg(F.sum("many").alias("n")).filter("n > 1"), "gram", "words-grams")
-    columns = "digest long, key long, doc_id long, start long, stop long"
-    windows = written(source.mapInArrow(lambda b: _word_digests(b, words, gram, met.value), columns), "words-windows")
-    several = written(windows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "words-several")
-    again = _filter_of(several, "digest", "words-digests")
-
-    def likely(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_held(batch.column(0).to_numpy().view(np.uint64), again.value)))
+    scratch = Scratch(docs.sparkSession)
+    source = _keyed(docs, id_col, text_col)[1]
+    found = written(repeats(source, rule or Bytes(), scratch, most, cover=False).select("gram", "repeat", "doc_id", "start", "stop").distinct(), "suffix-groups")
+    scratch.clear()
+    return found
 
-    left = windows.mapInArrow(likely, columns)
-    return join_keyed(left, several, "digest", "n", windows.count()).select("key", "doc_id", "start", "stop")
 
+_NEW = ("kept", "n_bytes", "n_removed", "n_spans", "kept_text", "n_kept_chars", "n_text_removed", "n_text_spans")
 
-def suffix_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST_CLASSES, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, words: int = 0) -> DataFrame:
-    """docs with kept (the text's bytes without repeats), n_bytes, n_removed, n_spans.
 
-    kept is binary, for a cut can fall within a character; as_text makes it a string
-    from which such parts of characters are left out.
+def suffix_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST_CLASSES, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
+    """docs with kept (the text's bytes without repeats), n_bytes, n_removed, n_spans; with `words` also kept_text, n_kept_chars, n_text_removed, n_text_spans.
 
     Every byte is removed that a string of `least` bytes covers which also starts
     elsewhere, in the same text or another; overlapping occurrences count, matches
-    never cross texts, and all is judged on the input. Null texts are empty. Rows
-    that repeat an id, and null ids, are texts of their own. All columns of docs are
-    kept, but for such as are named like the new ones. An empty table gives no rows.
-    With `words`, the same holds for strings of so many words, whatever their bytes.
+    never cross texts, and all is judged on the input. kept is binary, for a cut can
+    fall within a character.
+
+    kept_text is what is left once strings of so many `words`, whatever their bytes,
+    are removed as well, as a string: a character that a cut parts goes whole.
+    n_text_removed and n_text_spans count its removed bytes and runs.
+
+    Null texts are empty. Rows that repeat an id, and null ids, are texts of their
+    own. All columns of docs are kept, but for such as are named like the new ones.
+    An empty table gives no rows.
     """
-    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "__key", "__spans", "__key2", "__doc2")
-    keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col))
-    source = keyed.select(F.col("__key").alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = repeats(source, least, most, gram, 1 << 20 if words else 4 << 20)
+    scratch = Scratch(docs.sparkSession)
+    docs = docs.drop(*_NEW, "__key", "__spans", "__key2", "__doc2")
+    keyed, source = _keyed(docs, id_col, text_col)
+    columns = ("key", "doc_id", "start", "stop")
+    spans = repeats(source, Bytes(least, gram), scratch, most).select(*columns, F.lit(False).alias("by_words"))
     if words:
-        spans = spans.unionByName(word_repeats(source, words))
-    found = written(spans, "suffix-spans")
-    spans = found.groupBy(F.col("key").alias("__key2"), F.col("doc_id").alias("__doc2")).agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
+        spans = spans.unionByName(repeats(source, Words(words), scratch, most).select(*columns, F.lit(True).alias("by_words")))
+    found = written(spans.groupBy("key", "doc_id").agg(F.collect_set(F.struct("start", "stop", "by_words")).alias("spans")), "suffix-spans")
+    scratch.clear()
+    hit, rest = parted(keyed, "__key", found.select(F.col("key").alias("__key")))
     same = (F.col("__key") == F.col("__key2")) & F.col(id_col).cast("long").eqNullSafe(F.col("__doc2"))
-    joined = keyed.join(spans.hint("merge"), same, "left").select(*docs.columns, "__spans")
+    spans = found.select(F.col("key").alias("__key2"), F.col("doc_id").alias("__doc2"), F.col("spans").alias("__spans"))
+    joined = hit.join(spans.hint("merge"), same, "left").select(*docs.columns, "__spans")
+    if rest is not None:
+        joined = joined.unionByName(rest.select(*docs.columns, F.lit(None).cast(found.schema["spans"].dataType).alias("__spans")))
     names, at = docs.columns, docs.columns.index(text_col)
+    added = [("kept", pa.binary(), "binary"), *((c, pa.int64(), "long") for c in _NEW[1:4])]
+    if words:
+        added += [("kept_text", pa.string(), "string"), *((c, pa.int64(), "long") for c in _NEW[5:])]
+
+    def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+        pieces, last = [], 0
+        for a, b in spans:
+            pieces.append(raw[last:a])
+            last = b
+        return b"".join([*pieces, raw[last:]])
 
     def cut(batches):
         for batch in batches:
-            for part in slices(batch, text_col, 8 << 20):
-                kept, n, removed, runs = [], [], [], []
+            for part in slices(batch, text_col, 4 << 20):
+                rows = []
                 for text, held in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist()):
-                    raw, last, pieces = (text or "").encode(), 0, []
-                    all_spans = merged([(x["start"], x["stop"]) for x in held or ()])
-                    for a, b in all_spans:
-                        pieces.append(raw[last:a])
-                        last = b
-                    kept.append(b"".join([*pieces, raw[last:]]))
-                    n.append(len(raw))
-                    removed.append(len(raw) - len(kept[-1]))
-                    runs.append(len(all_spans))
-                left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-                columns = [left, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *columns], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
-
-    schema = docs.select(*docs.columns).schema.add("kept", "string" if as_text else "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+                    raw, held = (text or "").encode(), held or ()
+                    own = merged([(x["start"], x["stop"]) for x in held if not x["by_words"]])
+                    kept = without(raw, own) if own else raw
+                    row = [kept, len(raw), len(raw) - len(kept), len(own)]
+                    if words:
+                        both = merged([(x["start"], x["stop"]) for x in held])
+                        left = without(raw, both) if both else raw
+                        as_text = left.decode("utf-8", "ignore")
+                        row += [as_text, len(as_text), len(raw) - len(left), len(both)]
+                    rows.append(row)
+                new = [pa.array(c, kind) for c, (_, kind, _) in zip(zip(*rows), added)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *new], names=[*names, *(a[0] for a in added)])
+
+    schema = docs.select(*docs.columns).schema
+    for name, _, kind in added:
+        schema = schema.add(name, kind)
     return joined.mapInArrow(cut, schema)
