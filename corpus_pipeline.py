@@ -50,8 +50,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by a string of 400 bytes or of 51 words that starts elsewhere too go; a character cut in two goes whole."""
-    found = suffix_dedup.suffix_dedup(docs.select(*COLUMNS), least=400, as_text=True, words=51)
-    return _with_text(found.withColumn("text", F.col("kept")))
+    found = suffix_dedup.suffix_dedup(docs.select(*COLUMNS), least=400, words=51)
+    return _with_text(found.withColumn("text", F.col("kept_text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
