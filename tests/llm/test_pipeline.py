@@ -46,8 +46,8 @@ def test_stages_as_brute_force(steps):
     before = _texts(steps[2])
     stay = {d for d, _, c in test_ngram_join.brute(before) if d == c}
     assert _texts(steps[3]) == [x for x in before if x[0] in stay]
-    cut = test_suffix_dedup.brute(_texts(steps[3]), 400)
-    assert _texts(steps[4]) == sorted((d, kept.decode("utf-8", "ignore")) for d, kept, *_ in cut)
+    cut = test_suffix_dedup.brute_text(_texts(steps[3]), 400, 51)
+    assert _texts(steps[4]) == sorted((d, kept) for d, kept, _ in cut)
 
 
 def test_packing_holds_every_document(steps):
