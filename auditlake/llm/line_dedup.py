@@ -7,11 +7,14 @@ parts made by map tasks are merged block by block. Only lines whose bits are all
 in the second filter, the suspected repeats, are shuffled, for an exact count of
 the documents that hold them and the choice of the smallest id.
 
-A filter has BITS_A_LINE bits for each line, so it grows with the input. Up to
-BROADCAST_BYTES the second filter goes to all tasks whole. A larger one stays in
-its blocks, and hashes with row numbers go to them instead. The result is the
-same: a filter never misses a repeat, and what it wrongly suspects the exact count
-clears.
+A filter has BITS_A_LINE bits for each line, so it grows with the input. The second
+filter goes to all tasks in ranges of blocks of BROADCAST_BYTES at most, one range a
+pass over the lines (a single pass up to about 67 million lines); so a larger limit,
+where executors have the memory, means fewer passes. A filter never misses a repeat,
+and what it wrongly suspects the exact count clears.
+
+Building the filters shuffles two 4-byte bit numbers for each distinct line of a map
+task; the suspects' digests are 16 bytes each.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_keyed, slices, written
+from .common import join_keyed, parted, slices, written
 
 BITS_A_LINE = 8
 BLOCK_BYTES = 1 << 17
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 64 << 20
 #: Keys of fewer code points stay wherever they are.
 LEAST_CHARS = 10
 
@@ -115,23 +118,9 @@ def _suspects(digest: np.ndarray, blocks: int, span: int, filters: dict[int, np.
     return out
 
 
-def line_dedup(
-    docs: DataFrame, least: int = LEAST_CHARS, broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """docs with its text freed of repeated lines, and n_lines, n_dropped.
-
-    A line's key is the line stripped of ASCII white space, A-Z lowered. Keys of at
-    least `least` code points found in two documents or more lose all their lines
-    except in the document with the smallest id. Null and empty texts are one empty
-    line and come back as the empty text. Rows that share an id count as one
-    document. Rows without id neither lose lines nor make others lose theirs. All
-    columns of docs are kept, but for such as are named like the new ones. An empty
-    table gives no rows.
-    """
-    spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped", "__id", "__drop")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
+def suspects(source: DataFrame, least: int = LEAST_CHARS, broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Of source (doc_id, text): (doc_id, digest) of the lines that the second filter has, once a document; every repeat is among them."""
+    spark = source.sparkSession
     breaks = F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))), F.lit(0))
     n_lines = source.agg(F.sum(breaks + 1)).first()[0] or 0
     span = 8 * block_bytes
@@ -140,7 +129,7 @@ def line_dedup(
     def batches_of(batches):
         """(ids, the distinct digests of each document) in slices."""
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 ids = part.column(0).to_pylist()
                 yield ids, [list(dict.fromkeys(d for d in digests(keys_of(t, least)) if d is not None)) for t in part.column(1).to_pylist()]
 
@@ -155,60 +144,62 @@ def line_dedup(
     parts = source.mapInArrow(set_bits, "block long, once binary, again binary")
     twice = written(parts.repartition("block").mapInArrow(lambda batches: _merge(batches, span), "block long, bits binary"), "lines-twice")
 
-    def emit(ids, found, hit):
-        rows = [(i, d) for i, one in zip(ids, found) for d in one]
-        return pa.RecordBatch.from_pydict(
-            {"doc_id": pa.array([r[0] for r, h in zip(rows, hit) if h], pa.int64()), "digest": pa.array([r[1] for r, h in zip(rows, hit) if h], pa.binary())}
-        )
-
-    if blocks * block_bytes <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast({r["block"]: bytes(r["bits"]) for r in twice.collect()})
-
-        def probe(batches):
+    def probe(shared):
+        def run(batches):
             filters = {b: np.frombuffer(bits, np.uint8) for b, bits in shared.value.items()}
             for ids, found in batches_of(batches):
-                if flat := [d for one in found for d in one]:
-                    yield emit(ids, found, _suspects(_column(flat), blocks, span, filters).tolist())
+                rows = [(i, d) for i, one in zip(ids, found) for d in one]
+                if rows:
+                    hit = np.flatnonzero(_suspects(_column([d for _, d in rows]), blocks, span, filters))
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([rows[k][0] for k in hit], pa.int64()), "digest": pa.array([rows[k][1] for k in hit], pa.binary())})
 
-        suspects = source.mapInArrow(probe, "doc_id long, digest binary")
-    else:
-        # the filter is too large to send about: hashes go to its blocks
-        def all_lines(batches):
-            for ids, found in batches_of(batches):
-                flat = [d for one in found for d in one]
-                if flat:
-                    block = _bits(_column(flat), blocks, span)[0]
-                    yield emit(ids, found, [True] * len(flat)).append_column("block", pa.array(block))
-
-        def probe_block(key, left, right):
-            bits = right.column("bits").combine_chunks()
-            found = left.column("digest").to_pylist()
-            if len(bits) and found:
-                filters = {key[0].as_py(): np.frombuffer(bits[0].as_py(), np.uint8)}
-                return left.select(["doc_id", "digest"]).filter(pa.array(_suspects(_column(found), blocks, span, filters)))
-            return left.select(["doc_id", "digest"]).slice(0, 0)
-
-        lines = source.mapInArrow(all_lines, "doc_id long, digest binary, block long")
-        # a digest that many documents share would make one block hot: the map side sends it once with its smallest and largest id
-        ends = lines.groupBy("digest", "block").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-        some = ends.select("block", "digest", F.explode(F.array_distinct(F.array("a", "b"))).alias("doc_id")).select("doc_id", "digest", "block")
-        keys = some.groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(probe_block, "doc_id long, digest binary").select("digest").distinct()
-        suspects = lines.select("doc_id", "digest").join(keys.hint("merge"), "digest", "left_semi")
-
-    suspects = written(suspects, "lines-suspects")
-    n_suspects = suspects.count()
+        return run
+
+    found = None
+    step = max(1, broadcast_bytes // block_bytes)
+    for first in range(0, blocks, step):
+        # a range of the filter, at most broadcast_bytes
+        held = {r["block"]: bytes(r["bits"]) for r in twice.filter(F.col("block").between(first, first + step - 1)).collect()}
+        shared = spark.sparkContext.broadcast(held)
+        some = written(source.mapInArrow(probe(shared), "doc_id long, digest binary"), "lines-suspects")
+        found = some if found is None else found.unionByName(some)
+        shared.unpersist()
+    return found
+
+
+def line_dedup(
+    docs: DataFrame, least: int = LEAST_CHARS, broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """docs with its text freed of repeated lines, and n_lines, n_dropped.
+
+    A line's key is the line stripped of ASCII white space, A-Z lowered. Keys of at
+    least `least` code points found in two documents or more lose all their lines
+    except in the document with the smallest id. Null and empty texts are one empty
+    line and come back as the empty text. Rows that share an id count as one
+    document. Rows without id neither lose lines nor make others lose theirs. All
+    columns of docs are kept, but for such as are named like the new ones. An empty
+    table gives no rows.
+    """
+    docs = docs.drop("n_lines", "n_dropped", "__id", "__drop")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
+    found = suspects(source, least, broadcast_bytes, block_bytes)
+    n_suspects = found.count()
     repeated = written(
-        suspects.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("keep_id < last"),
+        found.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("keep_id < last"),
         "lines-repeated",
     )
-    drops = join_keyed(suspects, repeated, "digest", "n", n_suspects).filter("doc_id <> keep_id")
-    drops = drops.groupBy("doc_id").agg(F.collect_set("digest").alias("__drop")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(drops.hint("merge"), F.col(id_col) == F.col("__id"), "left").drop("__id")
+    drops = join_keyed(found, repeated, "digest", "n", n_suspects).filter("doc_id <> keep_id")
+    drops = written(drops.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("digest").alias("__drop")), "lines-drops")
+    hit, rest = parted(docs.withColumn("__id", F.col(id_col).cast("long")), "__id", drops.select("__id"))
+    joined = hit.join(drops.hint("merge"), "__id", "left").select(*docs.columns, "__drop")
+    if rest is not None:
+        joined = joined.unionByName(rest.select(*docs.columns, F.lit(None).cast("array<binary>").alias("__drop")))
     names, at = docs.columns, docs.columns.index(text_col)
 
     def strip(batches):
         for batch in batches:
-            for part in slices(batch, text_col, 16 << 20):
+            for part in slices(batch, text_col, 4 << 20):
                 texts, n, dropped = [], [], []
                 for text, drop in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist()):
                     lines = (text or "").split("\n")

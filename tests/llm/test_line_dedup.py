@@ -49,3 +49,12 @@ def test_hot_line(spark):
 
 def test_empty(spark):
     assert line_dedup.line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 24, 4096])
+def test_only_suspects_are_shuffled(spark, most):
+    """However many passes the filter takes, nearly only lines that repeat become suspects, and every repeat does."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("line of block "), (F.col("id") % 50).cast("string"), F.lit("\n"), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    found = line_dedup.suspects(docs, broadcast_bytes=most, block_bytes=1024)
+    assert 4000 <= found.count() < 4000 + 0.1 * 4000
+    assert found.select("digest").distinct().count() >= 50
