@@ -4,8 +4,9 @@ Pieces are dealt to buckets of about BUCKET_PIECES, each packed by best-fit
 decreasing in one task. Lower bounds from three families of dual feasible
 functions certify a bucket whose number of bins they reach. A bucket with a gap
 gives up all its bins that are not nearly full, a certified one only its emptiest;
-what is given up is exchanged between buckets and packed again, until one bucket
-holds it all or an exchange gains nothing.
+what is given up is exchanged between buckets and packed again, until all bins
+together are within one in GAP_SHARE of the bound, one bucket holds all that was
+given up, or an exchange gives nearly all of it back.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import written
 BUCKET_PIECES = 20_000
 #: A bin of a bucket with a gap is given up if more than this share of it is empty.
 LOOSE = 0.01
+#: Exchanges end once the bins exceed the sum bound by no more than one in so many.
+GAP_SHARE = 10_000
 END_ID = 1
 
 
@@ -95,17 +98,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, bucket_pieces: int = BU
     out_type = pieces.schema.simpleString()[len("struct<") : -1].replace(":", " ")
     columns = pieces.columns
 
-    def pack(last: bool, stage: int):
+    def pack(stage: int):
         def run(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(["row_no", "piece"], kind="stable").reset_index(drop=True)
             lengths = frame["length"].to_numpy(np.int64)
             bins, offsets, fill = best_fit_decreasing(lengths, capacity)
             bound = lower_bound(lengths, capacity)
-            loose = np.zeros(len(fill), bool)
-            if not last:
-                if len(fill) > bound:
-                    loose = fill < capacity * (1 - LOOSE)
-                loose[fill.argmin()] = True
+            loose = fill < capacity * (1 - LOOSE) if len(fill) > bound else np.zeros(len(fill), bool)
+            loose[fill.argmin()] = True
             bucket = int(frame["bucket"].iloc[0])
             return frame[columns].assign(
                 sequence_id=(np.int64(stage) << 52) + (np.int64(bucket) << 24) + bins, offset=offsets, again=loose[bins],
@@ -115,19 +115,23 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, bucket_pieces: int = BU
         return run
 
     schema = f"{out_type}, sequence_id long, offset long, again boolean, bucket_bins long, bucket_bound long, certified boolean"
-    pool, done, stage, before = pieces, None, 0, None
-    n = pieces.count()
+    pool, done, stage, closed = pieces, None, 0, 0
+    n, tokens = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    bound = -(-tokens // capacity)
     while True:
         buckets = max(1, -(-n // bucket_pieces))
-        last = buckets == 1 or (before is not None and n > 0.8 * before)
         dealt = pool.withColumn("bucket", F.pmod(F.xxhash64("row_no", "piece", F.lit(stage)), F.lit(buckets)))
-        packed = written(dealt.groupBy("bucket").applyInPandas(pack(last, stage), schema), f"pack-{stage}")
-        kept = packed.filter(~F.col("again"))
-        done = kept if done is None else done.unionByName(kept)
-        if last:
-            return done.drop("again")
+        packed = written(dealt.groupBy("bucket").applyInPandas(pack(stage), schema), f"pack-{stage}")
+        bins = {r["again"]: r["count"] for r in packed.select("sequence_id", "again").distinct().groupBy("again").count().collect()}
+        closed += bins.get(False, 0)
+        gap, before = closed + bins.get(True, 0) - bound, n
         pool = packed.filter("again").select(*columns)
-        before, n, stage = n, pool.count(), stage + 1
+        n = pool.count()
+        # ends when hardly a bin is left to win, when all met in one bucket, or when the same pieces come back
+        if gap <= max(1, bound // GAP_SHARE) or buckets == 1 or n > 0.98 * before:
+            return (packed if done is None else done.unionByName(packed)).drop("again")
+        kept = packed.filter(~F.col("again"))
+        done, stage = kept if done is None else done.unionByName(kept), stage + 1
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
