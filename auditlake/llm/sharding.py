@@ -1,16 +1,21 @@
-"""Sharding by a minimax contiguous partition of ordered atomic groups.
+"""Sharding by a minimax contiguous partition of ordered atomic group sizes.
 
 Groups (here: equal texts) are ordered by the SHA-256 of their text and never cut
-apart. The smallest capacity with which `shards` contiguous runs of groups can
-hold everything is found by binary search, each capacity being checked greedily;
-the runs are cut under that capacity, each as near to its even share as it goes.
-
-The order is never collected. The driver knows sums over digest ranges, at most
-RANGES at first. A capacity is bounded from below by treating ranges as divisible
-and from above by treating them as atoms; only the ranges in which a cut can lie
-are split further, until these are single groups. A group as large as an even
-share or larger is a shard of its own (there are fewer such than shards), and the
-rest is shared out among the other shards.
+apart. A capacity is checked greedily: each of `shards` contiguous runs takes groups
+as long as they fit; a group that is larger than the capacity is a run by itself.
+The smallest capacity with which the runs hold everything is found by binary search,
+and the runs are cut there. No contiguous partition has a smaller largest run: with
+the least largest run of any partition as the capacity, that partition's runs are
+feasible, so the capacity found is no larger, and a run beyond it is a single group,
+which every partition has to hold. Letting such groups stand alone keeps the other
+runs even where one group is as large as many shards.
+
+The order is never collected. The driver knows sums over digest ranges: 65,536, and
+256 for each that is split, a few for each shard. Ranges too large to lie within a run are split until they are small or single
+groups. Then the least capacity with divisible ranges and the least with whole ranges
+bound the true one, and greedy fills with these two bound the place of every cut from
+both sides; only the ranges in which a cut can lie are split further, until none of
+them holds more than one group. So the result is that of the whole order.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from .common import text_or_empty, written
 
 #: Digest prefixes, in hex digits, of the first ranges and of each finer split.
 FIRST_DIGITS, MORE_DIGITS = 4, 2
+#: A range of several groups with more than this part of an even share is split before any capacity is tried.
+HEAVY = 64
 DIGEST_DIGITS = 64
 #: Slots are numbered in parallel within so many parts of a shard.
 SLOT_PARTS = 512
@@ -32,106 +39,111 @@ SLOT_PARTS = 512
 
 @dataclass(frozen=True)
 class Plan:
-    """capacity: the largest shard; alone: digests of groups with a shard of their own; cuts: the first digests of the later runs."""
+    """capacity: the largest run that is no single group beyond it; cuts: the first digests of the later runs."""
 
     capacity: int
-    alone: tuple[str, ...]
     cuts: tuple[str, ...]
 
 
-def _feasible(sums: np.ndarray, shards: int, capacity: int, fluid: bool) -> bool:
-    """Whether a greedy fill of `shards` runs holds all; sums: running totals, from 0."""
-    if fluid:
-        return capacity * shards >= sums[-1]
-    at = 0
-    for _ in range(shards):
-        at = int(np.searchsorted(sums, sums[at] + capacity, side="right")) - 1
-        if at == len(sums) - 1:
-            return True
-    return False
+def _sums(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
-def smallest_capacity(sizes: np.ndarray, shards: int, fluid: bool = False) -> int:
+def smallest_capacity(sizes: np.ndarray, shards: int) -> int:
     """The least largest run over all ways to cut sizes into at most `shards` contiguous runs."""
-    sums = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    low, high = int(-(-sums[-1] // shards)), int(sums[-1])
+    sums = _sums(sizes)
+    return max(_least(sums[-1], len(sums) - 1, lambda c: _fill(sums, shards, c)), int(np.max(sizes, initial=0)))
+
+
+def _fill(sums: np.ndarray, shards: int, capacity: int) -> list[int]:
+    """Where a greedy fill ends its runs (indices into sums); what is larger than the capacity is a run by itself."""
+    at, out = 0, []
+    while len(out) < shards and at < len(sums) - 1:
+        at = max(at + 1, int(np.searchsorted(sums, sums[at] + capacity, side="right")) - 1)
+        out.append(at)
+    return out
+
+
+def _pour(sums: np.ndarray, atoms: np.ndarray, shards: int, capacity: int) -> list[int]:
+    """Where a greedy fill ends its runs (as totals) if all but the atoms larger than the capacity can be divided."""
+    large = np.flatnonzero(atoms & (np.diff(sums) > capacity))
+    starts, stops = sums[large], sums[large + 1]
+    at, out = 0, []
+    while len(out) < shards and at < sums[-1]:
+        k = int(np.searchsorted(starts, at, side="left"))
+        if k < len(starts) and starts[k] == at:
+            at = int(stops[k])
+        else:
+            at = min(at + capacity, int(sums[-1]), int(starts[k]) if k < len(starts) else int(sums[-1]))
+        out.append(at)
+    return out
+
+
+def _least(total: int, end: int, fill) -> int:
+    """The least capacity up to `total` with which fill's last run ends at `end`."""
+    low, high = 0, int(total)
     while low < high:
         mid = (low + high) // 2
-        low, high = (low, mid) if _feasible(sums, shards, mid, fluid) else (mid + 1, high)
+        low, high = (low, mid) if (fill(mid) or [0])[-1] == end else (mid + 1, high)
     return low
 
 
 def cut(sizes: np.ndarray, shards: int, capacity: int) -> list[int]:
-    """Where runs 1, 2, ... begin: each cut as near to its even share as `capacity` lets it."""
-    sums = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    last, out, at = len(sums) - 1, [], 0
-    least = [last]  # from the back: the earliest beginning from which the later runs hold the rest
-    for _ in range(shards - 1):
-        least.append(int(np.searchsorted(sums, sums[least[-1]] - capacity, side="left")))
-    for k in range(1, shards):
-        reach = int(np.searchsorted(sums, sums[at] + capacity, side="right")) - 1
-        even = sums[at] + (sums[-1] - sums[at]) / (shards - k + 1)
-        near = int(np.searchsorted(sums, even, side="left"))
-        if near > at + 1 and even - sums[near - 1] < sums[min(near, last)] - even:
-            near -= 1
-        at = min(max(near, least[shards - k], at), reach)
-        out.append(at)
-    return out
+    """Where runs 1, 2, ... begin in a greedy fill with the smallest capacity that is feasible, at most the one given."""
+    sums = _sums(sizes)
+    ends = _fill(sums, shards, min(capacity, _least(sums[-1], len(sums) - 1, lambda c: _fill(sums, shards, c))))
+    return (ends + [len(sums) - 1] * shards)[: shards - 1]
 
 
 def plan_shards(groups: DataFrame, shards: int) -> Plan:
     """The plan for groups (digest string, size long), which should be a written table. It is read a few times."""
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    top = [(r["digest"], int(r["size"])) for r in groups.orderBy(F.desc("size"), "digest").limit(shards).collect()]
-    alone: list[tuple[str, int]] = []
-    for digest, size in top:
-        if shards - len(alone) > 1 and size * (shards - len(alone)) >= total - sum(s for _, s in alone):
-            alone.append((digest, size))
-        else:
-            break
-    runs = shards - len(alone)
-    rest = groups.filter(~F.col("digest").isin([d for d, _ in alone])) if alone else groups
 
-    def sums(frame: DataFrame, digits: int) -> list[tuple[str, int, int]]:
+    def sums_of(frame: DataFrame, digits: int) -> list[tuple[str, int, int]]:
         prefix = F.substring("digest", 1, digits)
         found = frame.groupBy(prefix.alias("prefix")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
         return [(r["prefix"], int(r["size"]), int(r["n"])) for r in found.collect()]
 
-    # a range of one group is an atom already, whatever the length of its prefix
-    items = sorted(sums(rest, FIRST_DIGITS))
-    digits = FIRST_DIGITS
-    while True:
-        sizes = np.array([s for _, s, _ in items] or [0], np.int64)
-        high = smallest_capacity(sizes, runs)
-        ends = np.cumsum(sizes)
-        total_rest = int(ends[-1])
-        in_window = np.zeros(len(sizes), bool)
-        for k in range(1, runs):
-            low_at, high_at = total_rest - (runs - k) * high, k * high
-            in_window |= (ends - sizes < high_at + 1) & (ends > low_at - 1)
-        split = [p for (p, _, n), hit in zip(items, in_window) if hit and n > 1]
-        if not split or digits >= DIGEST_DIGITS:
-            break
-        digits = min(DIGEST_DIGITS, max(digits, max(map(len, split))) + MORE_DIGITS)
-        spark = groups.sparkSession
-        wanted = F.broadcast(spark.createDataFrame([(p,) for p in split], "range string"))
+    def split_into(items: list[tuple[str, int, int]], split: list[str]) -> list[tuple[str, int, int]]:
+        """items with the ranges in split divided by MORE_DIGITS more digits."""
+        wanted = F.broadcast(groups.sparkSession.createDataFrame([(p,) for p in split], "range string"))
         finer: list[tuple[str, int, int]] = []
         for length in sorted({len(p) for p in split}):
-            some = rest.join(wanted.filter(F.length("range") == length), F.substring("digest", 1, length) == F.col("range"), "left_semi")
-            finer += sums(some, digits)
+            some = groups.join(wanted.filter(F.length("range") == length), F.substring("digest", 1, length) == F.col("range"), "left_semi")
+            finer += sums_of(some, min(DIGEST_DIGITS, length + MORE_DIGITS))
         gone = set(split)
-        items = sorted([x for x in items if x[0] not in gone] + finer)
-    starts = [items[at][0] if at < len(items) else "g" for at in cut(sizes, runs, high)] if items else ["g"] * (runs - 1)
-    return Plan(max([high, *(s for _, s in alone)]), tuple(d for d, _ in alone), tuple(starts))
+        return sorted([x for x in items if x[0] not in gone] + finer)
+
+    # a range of one group is an atom already, whatever the length of its prefix
+    items = sorted(sums_of(groups, FIRST_DIGITS))
+    total = sum(s for _, s, _ in items)
+    while heavy := [p for p, s, n in items if n > 1 and s * shards * HEAVY > total and len(p) < DIGEST_DIGITS]:
+        items = split_into(items, heavy)
+    while items:
+        sums = _sums(np.array([s for _, s, _ in items], np.int64))
+        atoms = np.array([n == 1 for _, _, n in items])
+        low = _least(sums[-1], sums[-1], lambda c: _pour(sums, atoms, shards, c))
+        high = _least(sums[-1], len(sums) - 1, lambda c: _fill(sums, shards, c))
+        # the k-th cut lies between the two fills' k-th ends
+        early = [int(sums[e]) for e in _fill(sums, shards, low)]
+        late = _pour(sums, atoms, shards, high)
+        late += [int(sums[-1])] * (len(early) - len(late))
+        open_ranges = np.zeros(len(items), bool)
+        for a, b in zip(early, late):
+            open_ranges |= (sums[:-1] < b) & (sums[1:] > a)
+        split = [p for (p, _, n), hit in zip(items, open_ranges) if hit and n > 1 and len(p) < DIGEST_DIGITS]
+        if not split:
+            ends = _fill(sums, shards, high)
+            starts = [items[e][0] if e < len(items) else "g" for e in ends[: shards - 1]]
+            return Plan(high, tuple(starts + ["g"] * (shards - 1 - len(starts))))
+        items = split_into(items, split)
+    return Plan(0, ("g",) * (shards - 1))
 
 
 def shard_of(digest: F.Column, plan: Plan) -> F.Column:
-    """The shard of a digest: a shard of its own, or else the run, found among at most 23 cuts without a join."""
-    run = F.lit(len(plan.alone))
+    """The run of a digest, found among the cuts without a join."""
+    run = F.lit(0)
     for start in plan.cuts:
         run = run + (digest >= F.lit(start)).cast("int")
-    for k, own in enumerate(plan.alone):
-        run = F.when(digest == F.lit(own), F.lit(k)).otherwise(run)
     return run.cast("int")
 
 
