@@ -1,14 +1,16 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer numpy network with calibrated probabilities.
 
-Every word has two tokens, one of CONTENT hash buckets of its lower-cased bytes
-and one of SHAPES forms (its case, its last byte's class, its length, whether it
-repeats a word just before). A token has a sparse ternary index vector, drawn from
-its number. Its context vector sums the index vectors of the forms up to SPAN words
-away over all documents; map tasks add up counts and send one fixed-size matrix
-each. A token's vector is its index vector and its mean context. Documents are
-pooled by the mean over words of either kind and of their square roots' spread in
-forms, and scored by a network with one hidden layer. A temperature fitted on
-labelled rows that training did not see calibrates the probabilities.
+Every word, lower-cased, has a sparse ternary index vector of its own, drawn from its
+64-bit hash. A word's vector is its index vector and the mean, over all places where
+it stands in any document, of the sum of the index vectors of the words up to SPAN
+places away. Sums are kept for CONTENT rows, in which words with the same low hash
+bits share a mean; so a map task sends one matrix of fixed size, and what the driver
+gets does not grow with the vocabulary. Besides, a word has one of SHAPES forms (its
+case, its last byte's class, its length, whether it repeats a word just before),
+which have index vectors only. Documents are pooled by the mean of their words'
+vectors, of their forms' and of the square roots of form shares, and scored by a
+network with one hidden layer. A temperature fitted on labelled rows that training
+did not see calibrates the probabilities.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, slices, text_buffers, words_of, written
 
-CONTENT, SHAPES, DIM, NONZERO, SPAN = 4096, 256, 64, 8, 2
+CONTENT, SHAPES, DIM, NONZERO, SPAN = 1 << 15, 256, 64, 8, 2
 #: The network is fitted on at most so many labelled rows, those with the smallest hash of their id.
 TRAIN_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 60, 256, 3e-3, 1e-4, 5
@@ -31,13 +33,13 @@ PARTS = 16
 THRESHOLD = 0.3
 
 
-def index_vectors() -> np.ndarray:
-    """The sparse ternary index vectors of all tokens, a rule of their numbers."""
-    n = CONTENT + SHAPES
-    out = np.zeros((n, DIM), np.int64)
-    for k in range(NONZERO):
-        h = mix(np.arange(n, dtype=np.uint64) * np.uint64(NONZERO) + np.uint64(k + 1))
-        out[np.arange(n), (h % np.uint64(DIM)).astype(np.int64)] = np.where(h >> np.uint64(63), 1, -1)
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """The sparse ternary index vectors of 64-bit hashes: NONZERO places, each with a sign, from 7 bits apiece."""
+    out = np.zeros((len(hashes), DIM), np.int8)
+    bits, rows = mix(hashes + np.uint64(1)), np.arange(len(hashes))
+    for _ in range(NONZERO):
+        out[rows, (bits & np.uint64(DIM - 1)).astype(np.int64)] += np.where(bits & np.uint64(DIM), 1, -1).astype(np.int8)
+        bits >>= np.uint64(7)
     return out
 
 
@@ -53,13 +55,13 @@ def _last_class() -> np.ndarray:
 _LAST = _last_class()
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word of the texts: its text, its content bucket and its form."""
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of the texts: its text, its hash and its form."""
     data, offsets = text_buffers(column)
     starts, ends, of, hashes = words_of(data, offsets)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, np.zeros(0, np.uint64), none
     upper = (data >= 65) & (data <= 90)
     after_c3 = np.zeros(len(data), bool)
     after_c3[1:] = data[:-1] == 0xC3
@@ -73,25 +75,45 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again = np.zeros(len(starts), np.int64)
     for back in (1, 2):
         again[back:] |= (hashes[back:] == hashes[:-back]) & (of[back:] == of[:-back])
-    form = ((_LAST[data[ends - 1]] * 3 + case) * 3 + long) * 2 + again
+    return of, hashes, ((_LAST[data[ends - 1]] * 3 + case) * 3 + long) * 2 + again
+
+
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of the texts: its text, its row among CONTENT and its form."""
+    of, hashes, form = words(column)
     return of, (hashes % np.uint64(CONTENT)).astype(np.int64), form
 
 
+def with_context(of: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each word its index vector and those of the words up to SPAN places away in its text, summed."""
+    own = index_vectors(hashes)
+    total = own.astype(np.int16)
+    for step in range(1, SPAN + 1):
+        near = (of[step:] == of[:-step])[:, None]
+        total[:-step] += own[step:] * near
+        total[step:] += own[:-step] * near
+    return total
+
+
 def _context_sums(batches):
-    """The task's sums of context index vectors and counts of all tokens, in parts."""
-    pairs = np.zeros((CONTENT + SHAPES) * SHAPES, np.int64)
-    counts = np.zeros(CONTENT + SHAPES, np.int64)
+    """The task's counts and sums of with_context for each row of CONTENT, in parts."""
+    table = np.zeros((CONTENT, DIM + 1), np.int64)
     for batch in batches:
-        for part in slices(batch, "text"):
-            of, content, form = tokens(part.column(0))
-            for token in (content, form + CONTENT):
-                counts += np.bincount(token, minlength=len(counts))
-                for step in range(1, SPAN + 1):
-                    near = of[step:] == of[:-step]
-                    pairs += np.bincount((token[:-step] * SHAPES + form[step:])[near], minlength=len(pairs))
-                    pairs += np.bincount((token[step:] * SHAPES + form[:-step])[near], minlength=len(pairs))
-    sums = pairs.reshape(-1, SHAPES) @ index_vectors()[CONTENT:]
-    table = np.concatenate([counts[:, None], sums], axis=1)
+        for part in slices(batch, "text", 1 << 20):
+            of, hashes, _ = words(part.column(0))
+            row = (hashes % np.uint64(CONTENT)).astype(np.int64)
+            for a in range(0, len(row), 1 << 17):  # a bounded piece of the matrix at a time, with its neighbours
+                first, b = max(0, a - SPAN), min(len(row), a + (1 << 17))
+                sums = with_context(of[first : b + SPAN], hashes[first : b + SPAN])[a - first : b - first]
+                order = np.argsort(row[a:b], kind="stable")
+                ranked = row[a:b][order]
+                edge = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+                table[ranked[edge], 0] += np.diff(np.append(edge, len(ranked)))
+                table[ranked[edge], 1:] += np.add.reduceat(sums[order].astype(np.int32), edge, axis=0)
+    yield from _parts(table)
+
+
+def _parts(table: np.ndarray):
     for k, rows in enumerate(np.array_split(table, PARTS)):
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(rows.astype("<i8").tobytes(), 1)], pa.binary())], ["part", "sums"])
 
@@ -106,14 +128,16 @@ def _add_up(batches):
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The vectors of all tokens: one matrix of fixed size, from counts over all of docs."""
+    """The vectors of all words, by row, and of all forms: one matrix of fixed size, from counts over all of docs."""
     sums = docs.select(F.col(text_col).alias("text")).mapInArrow(_context_sums, "part int, sums binary")
     found = sums.repartition(PARTS, "part").mapInArrow(_add_up, "part int, sums binary").collect()
     rows = {r["part"]: np.frombuffer(zlib.decompress(bytes(r["sums"])), "<i8").reshape(-1, DIM + 1) for r in found}
-    table = np.concatenate([rows[k] for k in sorted(rows)]) if rows else np.zeros((CONTENT + SHAPES, DIM + 1), np.int64)
+    table = np.concatenate([rows[k] for k in sorted(rows)]) if rows else np.zeros((CONTENT, DIM + 1), np.int64)
     context = table[:, 1:] / np.maximum(table[:, :1], 1)
-    context -= context.mean(axis=0)
-    return (index_vectors() + context).astype(np.float32)
+    known = table[:, 0] > 0
+    if known.any():
+        context[known] -= context[known].mean(axis=0)
+    return np.concatenate([context, index_vectors(mix(np.arange(SHAPES, dtype=np.uint64)))]).astype(np.float32)
 
 
 def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
@@ -124,17 +148,17 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     out = np.zeros((n, 3 * DIM + 1), np.float32)
     has = np.flatnonzero(words)
     starts = np.concatenate([[0], np.cumsum(words[has])])
-    for k in range(0, len(has), 512):  # a bounded piece of the word matrix at a time
-        some = has[k : k + 512]
-        a, b = starts[k], starts[min(k + 512, len(has))]
+    for k in range(0, len(has), 256):  # a bounded piece of the word matrix at a time
+        some = has[k : k + 256]
+        a, b = starts[k], starts[min(k + 256, len(has))]
         shares = np.bincount((np.repeat(np.arange(len(some)), words[some]) * SHAPES + form[a:b]), minlength=len(some) * SHAPES)
         shares = shares.reshape(len(some), SHAPES) / words[some][:, None]
-        sums = np.zeros((len(some), DIM), np.float32)
+        sums = np.zeros((len(some), DIM))
         for c in range(a, b, 1 << 16):
             d = min(b, c + (1 << 16))
             own = of[c:d]
             edge = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            sums[np.searchsorted(some, own[edge])] += np.add.reduceat(vectors[content[c:d]], edge, axis=0)
+            sums[np.searchsorted(some, own[edge])] += np.add.reduceat(vectors[content[c:d]], edge, axis=0, dtype=np.float64)
         out[some, :DIM] = sums / words[some][:, None]
         out[some, DIM : 2 * DIM] = shares @ vectors[CONTENT:]
         out[some, 2 * DIM : 3 * DIM] = np.sqrt(shares) @ vectors[CONTENT:]
@@ -208,7 +232,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Learns from at most train_rows labelled rows whose id is not held out; labels,
     and all columns but the text, are no input of a score. Null labels and labels of
     unknown ids are ignored; of several labels of an id the mean counts, from a half
-    up as 1. Null texts are empty. All rows and columns of docs are kept, but for one
+    up as 1. With fewer than ten usable labels, or labels of one class only, every
+    score is their smoothed share of ones. Null texts are empty. All rows and columns of docs are kept, but for one
     named score. Without usable labels the score is one half for all.
     """
     spark = docs.sparkSession
@@ -224,7 +249,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def features(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 values = pooled(part.column(2), vectors.value)
                 flat = pa.array([row.tobytes() for row in values], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), flat], ["id", "label", "features"])
@@ -238,7 +263,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def judge(batches):
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, 1 << 20):
                 scores = net.value.scores(pooled(part.column(at), vectors.value))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*names, "score"])
 

@@ -34,7 +34,7 @@ def test_pooling_as_word_by_word():
     for k in range(len(texts)):
         mine = of == k
         if mine.any():
-            assert got[k, : quality.DIM] == pytest.approx(vectors[content[mine]].mean(axis=0), abs=1e-4)
+            assert got[k, : quality.DIM] == pytest.approx(vectors[content[mine]].mean(axis=0, dtype=np.float64), abs=1e-4)
             assert got[k, quality.DIM : 2 * quality.DIM] == pytest.approx(vectors[quality.CONTENT + form[mine]].mean(axis=0), abs=1e-4)
         else:
             assert not got[k].any()
@@ -49,3 +49,23 @@ def test_temperature_calibrates():
     for low in (0.1, 0.3, 0.5, 0.7):
         some = (s >= low) & (s < low + 0.2)
         assert abs(s[some].mean() - y[some].mean()) < 0.08
+
+
+def test_word_vectors_as_word_by_word(spark):
+    """A row's vector: the mean over its words' places of their index vectors and their neighbours', less the mean of all rows."""
+    texts = ["one two three two", None, "", "Two ONE\tfour five six seven", "one"]
+    got = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
+    sums, counts = {}, {}
+    for t in texts:
+        _, hashes, _ = quality.words(pa.array([t]))
+        own = quality.index_vectors(hashes).astype(int)
+        for k, h in enumerate(hashes):
+            row = int(h % np.uint64(quality.CONTENT))
+            near = own[max(0, k - quality.SPAN) : k + quality.SPAN + 1].sum(axis=0)
+            sums[row], counts[row] = sums.get(row, 0) + near, counts.get(row, 0) + 1
+    mean = {row: sums[row] / counts[row] for row in sums}
+    centre = np.mean(list(mean.values()), axis=0)
+    assert got.shape == (quality.CONTENT + quality.SHAPES, quality.DIM)
+    for row, vector in mean.items():
+        assert got[row] == pytest.approx(vector - centre, abs=1e-5)
+    assert np.abs(quality.index_vectors(np.arange(50, dtype=np.uint64))).sum(axis=1).max() <= quality.NONZERO
