@@ -4,13 +4,17 @@ Vectors are cut into blocks. A block keeps, for each of PROJECTIONS random
 directions, its projections as one sorted array. A query's window is centred at
 its own projection and grows by virtual rehashing: with the radius R it spans R
 times the first half-width to either side. A vector that lies in the windows of
-more than `threshold` projections is verified by its exact cosine. A query ends in
-a block when its k-th best is nearer than what vectors outside the windows can be
-expected to reach, or when the windows span the block.
+at least COLLISIONS of the projections is verified by its exact cosine. Windows grow
+in each block until a few vectors collide; the k-th best of all blocks then bounds how
+far they have to reach for whatever is nearer, and in a second pass they are set to
+that. So on vectors with near neighbours few are verified; where the nearest are
+hardly nearer than the others, as among random directions, a good part is.
 
 Directions are normalised vectors' cosines in Euclidean terms: for unit vectors,
-distance^2 = 2 - 2 cos. Each block answers every query on its own, and the best
-of all blocks are the result; so blocks hold any number of equal vectors.
+distance^2 = 2 - 2 cos. A block holds any number of equal vectors. Blocks stream: a
+task builds a block from its vectors, then takes its queries batch by batch. No vector
+is copied; a query goes to each block in either pass, which is the cost that grows
+with queries times rows: larger blocks make it smaller.
 """
 
 from __future__ import annotations
@@ -22,18 +26,29 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-PROJECTIONS = 48
+PROJECTIONS = 64
 #: Share of the projections in which a vector has to collide to be verified.
-COLLISIONS = 0.5
+COLLISIONS = 0.58
 #: First half-width of the windows (unit vectors' projections have deviation 1) and their growth.
-WIDTH, GROWTH = 0.27, 1.6
+WIDTH, GROWTH = 0.2, 1.25
 #: |z| that a standard normal stays within for well over half of the projections, whatever the draw: a vector at
 #: distance d then collides in enough windows of half-width REACH * d.
 REACH = 0.95
-BLOCK_ROWS, QUERY_ROWS = 16384, 4096
+#: Vectors of a block, and the fewest for which a small table is cut further so that all cores have a block.
+BLOCK_ROWS, LEAST_ROWS = 32768, 2048
 SEED = 20_11
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """rows, each by a power of two where its squares could overflow or vanish, which changes no cosine."""
+    most = np.abs(rows).max(axis=1, initial=0)
+    odd = (most > 1e150) | ((most < 1e-140) & (most > 0))
+    if odd.any():
+        rows = rows.copy()
+        rows[odd] = np.ldexp(rows[odd], -np.frexp(most[odd])[1][:, None])
+    return rows
+
+
 def cosine(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosines in double precision; the same for equal vectors wherever they stand."""
     return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
@@ -48,7 +63,7 @@ def usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     taken = column.take(pa.array(fit)).flatten()
     rows = taken.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)  # null components become NaN
     good = np.isfinite(rows).all(axis=1) & rows.any(axis=1)
-    return fit[good], rows[good]
+    return fit[good], scaled(rows[good])
 
 
 class Block:
@@ -56,98 +71,126 @@ class Block:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, directions: np.ndarray):
         order = np.argsort(ids, kind="stable")
+        if len(np.unique(ids)) < len(ids):  # the same places on every run
+            order = np.lexsort((*rows.T[::-1], ids))
         self.ids, self.rows = ids[order], rows[order]
         self.unit = self.rows / np.sqrt((self.rows * self.rows).sum(axis=1))[:, None]
         self.directions = directions
         values = self.unit @ directions.T
-        self.order = np.argsort(values, axis=0, kind="stable").T.copy()
+        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
         self.sorted = np.take_along_axis(values.T, self.order, axis=1)
-
-    def nearest(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The k nearest found: by score, then id; all of a smaller block."""
-        unit = query / np.sqrt((query * query).sum())
-        at = self.directions @ unit
+        self.verified = 0
+
+    def _verify(self, query: np.ndarray, new: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        """(place in the block, id, score) of the k best: by score, then id."""
+        self.verified += len(new)
+        score = cosine(query, self.rows[new])
+        if len(new) > k:
+            good = score >= np.partition(score, len(score) - k)[len(score) - k]
+            new, score = new[good], score[good]
+        best = np.lexsort((new, self.ids[new], -score))[:k]
+        return list(zip(new[best].tolist(), self.ids[new[best]].tolist(), score[best].tolist()))
+
+    def first(self, query_id: int, query: np.ndarray, least: int, k: int) -> list[tuple[int, int, float]]:
+        """The best of the vectors that collide first while the windows grow, `least` or more; of all of a smaller block."""
+        at = self.directions @ (query / np.sqrt((query * query).sum()))
         m, n = len(at), len(self.ids)
         need = max(1, int(np.ceil(COLLISIONS * m)))
         counts = np.zeros(n, np.int16)
         low = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at)])
         high = low.copy()
-        checked = np.zeros(n, bool)
-        ids: list[np.ndarray] = []
-        scores: list[np.ndarray] = []
-        width = WIDTH
         own = self.ids == query_id
-        checked |= own
+        width = WIDTH
         while True:
             for j in range(m):
                 a, b = np.searchsorted(self.sorted[j], at[j] - width), np.searchsorted(self.sorted[j], at[j] + width, side="right")
-                if a < low[j]:
-                    counts[self.order[j, a : low[j]]] += 1
-                    low[j] = a
-                if b > high[j]:
-                    counts[self.order[j, high[j] : b]] += 1
-                    high[j] = b
-            new = np.flatnonzero((counts >= need) & ~checked)
-            if len(new):
-                checked[new] = True
-                ids.append(self.ids[new])
-                scores.append(cosine(query, self.rows[new]))
-            found = sum(map(len, ids))
-            whole = (low == 0).all() and (high == n).all()
-            if found >= k or whole:
-                score = np.concatenate(scores) if scores else np.zeros(0)
-                if whole:
-                    break
-                # whatever is as near as the k-th best would have collided by now
-                kth = np.partition(score, len(score) - k)[len(score) - k]
-                if np.sqrt(max(0.0, 2 - 2 * kth)) * REACH <= width:
-                    break
+                counts[self.order[j, a : low[j]]] += 1
+                counts[self.order[j, high[j] : b]] += 1
+                low[j], high[j] = a, b
+            met = np.flatnonzero((counts >= need) & ~own)
+            if len(met) >= least or ((low == 0).all() and (high == n).all()):
+                return self._verify(query, met, k)
             width *= GROWTH
-        if not ids:
-            return []
-        ids, score = np.concatenate(ids), np.concatenate(scores)
-        best = np.lexsort((ids, -score))[:k]
-        return list(zip(ids[best].tolist(), score[best].tolist()))
+
+    def within(self, query_id: int, query: np.ndarray, width: float, k: int) -> list[tuple[int, int, float]]:
+        """The best of the vectors that collide often enough in windows of this half-width."""
+        at = self.directions @ (query / np.sqrt((query * query).sum()))
+        counts = np.zeros(len(self.ids), np.int16)
+        for j in range(len(at)):
+            a, b = np.searchsorted(self.sorted[j], at[j] - width), np.searchsorted(self.sorted[j], at[j] + width, side="right")
+            counts[self.order[j, a:b]] += 1
+        return self._verify(query, np.flatnonzero((counts >= max(1, int(np.ceil(COLLISIONS * len(at))))) & (self.ids != query_id)), k)
+
+
+def reach(kth: float) -> float:
+    """The half-width in which a vector collides enough that is as near as a score says."""
+    return REACH * float(np.sqrt(max(0.0, 2 - 2 * kth))) + 1e-9
+
+
+def _answers(batches, k: int, least: int, projections: int, dim: int):
+    """Rows (block, asks, id, v, kth) sorted by block, vectors before queries -> (query_id, block, place, vec_id, score): a block's nearest to each query.
+
+    With kth, the windows reach as far as something nearer could be; without, until `least` vectors collide.
+    """
+    directions = np.random.default_rng(SEED).standard_normal((projections, dim))
+    number, ids, rows, block = None, [], [], None
+    for batch in batches:
+        at = 0
+        blocks, asks = np.asarray(batch.column(0)), np.asarray(batch.column(1).cast(pa.int8()))
+        while at < len(blocks):
+            end = at + int(np.argmax(np.append((blocks[at:] != blocks[at]) | (asks[at:] != asks[at]), True)))
+            part = batch.slice(at, end - at)
+            if blocks[at] != number:
+                number, ids, rows, block = blocks[at], [], [], None
+            fit, found = usable(part.column(3), dim)
+            own = np.asarray(part.column(2))[fit]
+            if not asks[at]:
+                ids.append(own)
+                rows.append(found)
+            elif sum(map(len, ids)):
+                if block is None:
+                    block, rows = Block(np.concatenate(ids), np.concatenate(rows), directions), []
+                out = []
+                for q, v, kth in zip(own.tolist(), found, part.column(4).take(pa.array(fit)).to_pylist()):
+                    best = block.first(q, v, least, k) if kth is None else block.within(q, v, reach(kth), k)
+                    out += [(q, int(number), *b) for b in best]
+                columns = list(zip(*out)) or [()] * 5
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "block", "place", "vec_id", "score"])
+            at = end
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int = PROJECTIONS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS,
-    id_col: str = "vec_id", vector_col: str = "embedding",
+    vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int = PROJECTIONS, block_rows: int = BLOCK_ROWS, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found to each row of queries among all vectors but itself.
 
     Ties go to the smaller id. With fewer candidates all are returned. Vectors that
     are null, empty, zero or hold null or non-finite components, rows without id,
-    and vectors whose length is not that of most take no part. Rows that repeat an
-    id are candidates each; of queries that repeat an id the least vector is asked.
-    Other columns are ignored. An empty table gives no rows.
+    and vectors whose length is not that of most take no part. Vectors so large that
+    their squares overflow count like any other. Rows that repeat an id are
+    candidates each; of queries that repeat an id the least vector is asked. Other
+    columns are ignored. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     ready = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    data, asked = written(ready(vectors), "ann-vectors"), written(ready(queries), "ann-queries")
+    data, asked = written(ready(vectors), "ann-vectors"), written(ready(queries).groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
     dims = data.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = dims["d"] if dims else 1
-    n, n_asked = data.count(), asked.count()
-    blocks, groups = max(1, -(-n // block_rows)), max(1, -(-n_asked // query_rows))
-    dealt = data.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    asked = asked.groupBy("id").agg(F.min("v").alias("v")).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int"))
-
-    def answer(key, left, right):
-        rng = np.random.default_rng(SEED)
-        directions = rng.standard_normal((projections, dim))
-        out: list[tuple[int, int, float]] = []
-        keep, rows = usable(left.column("v"), dim)
-        if len(keep) and right.num_rows:
-            block = Block(np.asarray(left.column("id"))[keep], rows, directions)
-            mine, vectors = usable(right.column("v"), dim)
-            for q, v in zip(np.asarray(right.column("id"))[mine].tolist(), vectors):
-                out += [(q, i, s) for i, s in block.nearest(q, v, k)]
-        a, b, c = zip(*out) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
-
-    # every group of queries meets every block once: rows are copied by block and group numbers, no pairs of rows are made
-    left = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).groupBy("block", "part")
-    right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("block", "part")
-    found = left.cogroup(right).applyInArrow(answer, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    dim, n = dims["d"] if dims else 1, data.count()
+    blocks = max(1, -(-n // block_rows), min(spark.sparkContext.defaultParallelism, n // LEAST_ROWS))
+    dealt = data.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "v", F.lit(None).cast("double").alias("kth"))
+
+    def answers(some: DataFrame) -> DataFrame:
+        """The nearest of each block to queries (id, v, kth)."""
+        sent = some.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "id", "v", "kth")
+        rows = dealt.unionByName(sent).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+        return rows.mapInArrow(lambda b: _answers(b, k, k + 1, projections, dim), "query_id long, block int, place long, vec_id long, score double")
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "block", "place")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    near = written(ranked(answers(asked.withColumn("kth", F.lit(None).cast("double")))), "ann-first")
+    kth = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    # queries with fewer than k candidates have them all by now
+    again = answers(asked.join(kth.hint("merge"), "id"))
+    found = near.drop("rank").unionByName(again).dropDuplicates(["query_id", "block", "place"])
+    return ranked(found).select("query_id", "rank", "vec_id", "score")
