@@ -15,6 +15,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
 import zlib
 
 import pyarrow as pa
@@ -66,23 +67,32 @@ def _fields(head: bytes) -> dict[str, str]:
     return out
 
 
+def _length(value: str | None) -> int | None:
+    """A Content-Length, or None where it is missing, negative or no number."""
+    return int(value) if value is not None and re.fullmatch("[0-9]{1,18}", value) else None
+
+
 def parse(raw: bytes, payloads: bool = True):
-    """Each response and revisit record of a WARC file, plain or gzip: a tuple of RECORDS. A cut-off last record is left out."""
+    """Each response and revisit record of a WARC file, plain or gzip: a tuple of RECORDS.
+
+    A cut-off last record is left out. So is a record without a legible length; the
+    next line that begins a record is looked for from its header on. Other bytes
+    between records are passed over. A status that is no number is null.
+    """
     stream: io.BufferedIOBase = io.BytesIO(raw)
     if raw[:2] == b"\x1f\x8b":
         stream = gzip.GzipFile(fileobj=stream)
     try:
-        while True:
-            line = stream.readline()
-            while line in (b"\r\n", b"\n"):
-                line = stream.readline()
+        while line := stream.readline():
             if not line.startswith(b"WARC/"):
-                return
+                continue
             head = []
             while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
                 head.append(line)
             fields = _fields(b"".join(head))
-            size = int(fields.get("content-length", "0"))
+            size = _length(fields.get("content-length"))
+            if size is None:
+                continue
             block = stream.read(size)
             if len(block) < size:
                 return
@@ -92,7 +102,7 @@ def parse(raw: bytes, payloads: bool = True):
             top, _, body = block.partition(b"\r\n\r\n")
             status_line, _, rest = top.partition(b"\r\n")
             parts = status_line.split(None, 2)
-            status = int(parts[1]) if len(parts) > 1 and parts[1].isdigit() else None
+            status = int(parts[1]) if len(parts) > 1 and re.fullmatch(b"[0-9]{1,9}", parts[1]) else None
             yield (
                 fields.get("warc-record-id", "").strip("<>"), kind, fields.get("warc-target-uri"), fields.get("warc-date"), fields.get("warc-profile"),
                 status, list(_fields(rest).items()), hashlib.sha256(body).hexdigest(), len(body), body if payloads else None,

@@ -67,3 +67,13 @@ def test_one_url_over_many_ranges(spark):
             rows.append((f"v{k}", "revisit", "http://hot/", date, warc.NOT_MODIFIED, 304, {"etag": f'"{k - k % 50}"'}, "n", 0, "c", 1))
     got = warc.resolve(spark.createDataFrame(rows, SCHEMA), ranges=16).collect()
     assert len(got) == 588 and all(r["outcome"] == "resolved" and r["response_id"] == f"r{int(r['record_id'][1:]) // 50 * 50}" for r in got)
+
+
+@pytest.mark.parametrize("length", ["x", "-5", "", "1e3", "\u0661", None])
+def test_a_record_without_a_legible_length_is_left_out(length):
+    good = warc.record("response", "urn:1", "http://a/", "2024-01-01T00:00:00Z", warc.http_block("200 OK", [], b"body"))
+    head = [b"WARC/1.1", b"WARC-Type: response", b"WARC-Record-ID: <urn:bad>", *([] if length is None else [f"Content-Length: {length}".encode()])]
+    bad = b"\r\n".join([*head, b"", b""]) + b"HTTP/1.1 200 OK\r\n\r\nbody\r\n\r\n"
+    after = warc.record("response", "urn:2", "http://b/", "2024-01-01T00:00:00Z", warc.http_block("abc OK", [("Content-Length", "-1")], b"more"))
+    assert [(r[0], r[5]) for r in warc.parse(good + bad + after)] == [("urn:1", 200), ("urn:2", None)]
+    assert [r[0] for r in warc.parse(gzip.compress(bad + after))] == ["urn:2"]
