@@ -73,10 +73,19 @@ class Scratch:
         self.paths = []
 
 
+def _at(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _at(spark, path)
+    files.delete(target, True)
+
+
+def make_path(spark: SparkSession, path: str) -> None:
+    files, target = _at(spark, path)
+    files.mkdirs(target)
 
 
 def join_keyed(rows: DataFrame, per_key: DataFrame, key: str | list[str], size: str, n_rows: int, how: str = "inner") -> DataFrame:

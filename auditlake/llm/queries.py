@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, exact_dedup, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup, warc
+from .common import new_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,7 +73,11 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(documents(spark, sf_dir))
+    """All documents in batches of falling id through one index, so that of equal texts the row with the largest id is met first."""
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "digest-index"))
+    found = exact_dedup.dedup_batches(exact_dedup.falling_batches(documents(spark, sf_dir)), index)
+    index.close()
+    return found
 
 
 @query

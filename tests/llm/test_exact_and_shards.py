@@ -37,6 +37,35 @@ def test_index_remembers(spark, tmp_path):
     assert second[4]["kept"] and again.rows().count() == 3
 
 
+def test_batches_of_one_text_and_a_retry(spark, tmp_path):
+    """Three batches of one text count 1, 2 and 3; a batch that runs again under its name changes nothing; the index keeps its buckets."""
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
+    one = lambda i, text="a": spark.createDataFrame([(i, text)], "doc_id long, text string")
+    got = lambda df: [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in df.collect()]
+    assert got(exact_dedup.exact_dedup(one(5), index, "x")) == [(5, 5, 1, True)]
+    assert got(exact_dedup.exact_dedup(one(6), index, "y")) == [(6, 5, 2, False)]
+    for _ in range(2):
+        assert got(exact_dedup.exact_dedup(one(7), index, "z")) == [(7, 5, 3, False)]
+    index.close()
+    again = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 9)
+    assert again.buckets == 4 and [(r["keep_id"], r["seen"]) for r in again.rows().collect()] == [(5, 3)]
+    assert got(exact_dedup.exact_dedup(one(8, "b"), again)) == [(8, 8, 1, True)]
+
+
+def test_batches_equal_one_pass(spark, tmp_path):
+    rows = [(i, f"t{i % 23}") for i in range(400)] + [(None, "t3"), (None, "own"), (None, None), (7, "t7"), (7, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 3)
+    parts = exact_dedup.falling_batches(docs, 3)
+    assert len(parts) == 3 and sum(p.count() for p in parts.values()) == len(rows)
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert key(exact_dedup.dedup_batches(parts, index)) == key(exact_dedup.exact_dedup(docs))
+    plan = index.rows()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(digest" not in plan
+    empty = docs.limit(0)
+    assert exact_dedup.dedup_batches(exact_dedup.falling_batches(empty), exact_dedup.DigestIndex(spark, str(tmp_path / "none"), 2)).count() == 0
+
+
 def test_hot_keys_are_joined_whole(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
     got = exact_dedup.exact_dedup(docs)
@@ -87,6 +116,37 @@ def test_shards(spark):
     assert want <= {(r["doc_id"], r["text_crc32"]) for r in got}
 
 
+def test_runs_are_contiguous_and_even_beside_a_large_group():
+    rng = np.random.default_rng(4)
+    for trial in range(200):
+        sizes = rng.integers(1, 30, int(rng.integers(1, 60)))
+        if trial % 2:
+            sizes[rng.integers(0, len(sizes))] = int(rng.integers(200, 900))
+        k = int(rng.integers(1, 8))
+        best = sharding.smallest_capacity(sizes, k)
+        at = [0, *sharding.cut(sizes, k, best), len(sizes)]
+        runs = [sizes[a:b] for a, b in zip(at, at[1:])]
+        assert at == sorted(at) and max(r.sum() for r in runs) <= best
+        # no capacity lets the runs that are no single group be smaller
+        most = max((int(r.sum()) for r in runs if len(r) > 1), default=0)
+        assert not most or len(sharding._fill(sharding._sums(sizes), k, most - 1)) == 0 or sharding._fill(sharding._sums(sizes), k, most - 1)[-1] < len(sizes)
+    assert sharding.cut(np.array([1] * 16 + [8]), 24, 8)[:17] == list(range(1, 18))
+
+
+def test_plan_of_ranges_is_that_of_the_whole_order(spark):
+    """Refined ranges give the cuts that all single groups give."""
+    rng = np.random.default_rng(6)
+    for large in (0, 1, 3):
+        sizes = rng.integers(8, 500, 3000)
+        sizes[rng.integers(0, 3000, large)] = 200_000
+        groups = sorted((hashlib.sha256(str(i).encode()).hexdigest(), int(s)) for i, s in enumerate(sizes))
+        plan = sharding.plan_shards(spark.createDataFrame(groups, "digest string, size long"), 11)
+        ordered = np.array([s for _, s in groups])
+        at = sharding.cut(ordered, 11, sharding.smallest_capacity(ordered, 11))
+        starts = [groups[a][0] if a < len(groups) else "g" for a in at]
+        assert [sum(d >= c for c in plan.cuts) for d, _ in groups] == [sum(d >= c for c in starts) for d, _ in groups]
+
+
 def test_shards_refine_to_single_groups(spark):
     rows = [(i, str(i)) for i in range(5000)]
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 7).collect()
