@@ -213,9 +213,9 @@ def _binary(values: list[bytes]) -> pa.Array:
 
 
 def _survey(batches, words: int, percent: int):
-    """(kind 0) id, node, size and parity sketch of each text; (kind 1) the task's part of the cost sketch."""
+    """(kind 0) id, mark, node, size and parity sketch of each text; (kind 1) the task's part of the cost sketch."""
     counts = np.zeros(SKETCH, np.int64)
-    names = ["kind", "doc_id", "node", "n", "part", "bytes"]
+    names = ["kind", "doc_id", "mark", "node", "n", "part", "bytes"]
     for batch in batches:
         for part in slices(batch, "text"):
             sets, begin = shingle_sets(part.column(1), words)
@@ -228,12 +228,12 @@ def _survey(batches, words: int, percent: int):
                 counts += np.bincount(_slot(index), minlength=SKETCH)
             rows = len(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(rows, np.int32)), part.column(0), pa.array(node_of(sets, begin)), pa.array(n), pa.nulls(rows, pa.int32()), _binary(parity_sketches(sets, begin))], names
+                [pa.array(np.zeros(rows, np.int32)), part.column(0), part.column(2), pa.array(node_of(sets, begin)), pa.array(n), pa.nulls(rows, pa.int32()), _binary(parity_sketches(sets, begin))], names
             )
     own = np.minimum(counts, np.iinfo(np.uint32).max).astype("<u4").reshape(SKETCH_PARTS, -1)
     k = SKETCH_PARTS
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.arange(k, dtype=np.int32)), _binary([x.tobytes() for x in own])], names
+        [pa.array(np.ones(k, np.int32)), *(pa.nulls(k, pa.int64()) for _ in range(4)), pa.array(np.arange(k, dtype=np.int32)), _binary([x.tobytes() for x in own])], names
     )
 
 
@@ -443,8 +443,10 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # the mark tells apart the texts of an id that is repeated
+    marked = source.withColumn("mark", F.xxhash64("text"))
     survey = written(
-        source.mapInArrow(lambda b: _survey(b, words, percent), "kind int, doc_id long, node long, n long, part int, bytes binary"), "ngram-survey"
+        marked.mapInArrow(lambda b: _survey(b, words, percent), "kind int, doc_id long, mark long, node long, n long, part int, bytes binary"), "ngram-survey"
     )
     thin = survey.filter("kind = 0").select("doc_id", "node", "n")
     parts = survey.filter("kind = 1").select("part", F.col("bytes").alias("counts")).repartition(SKETCH_PARTS, "part").mapInArrow(_add_up, "part int, counts binary")
@@ -462,14 +464,13 @@ def jaccard_components(
 
     known = thin.filter("doc_id IS NOT NULL AND n > 0")
     sketched = survey.filter("kind = 0 AND doc_id IS NOT NULL AND n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bytes").alias("bits")
+        F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bytes").alias("bits")
     )
-    with_bits = written(sketched, "ngram-nodes", 4 * n_rows)
+    with_bits = written(sketched.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), "rows", "n", "bits"), "ngram-nodes", 4 * n_rows)
     nodes = with_bits.select("node", "first_id", "rows")
-    wanted = runs.select("node").distinct().join(nodes.hint("merge"), "node").select("node", "first_id")
-    texts = written(
-        source.join(wanted.hint("merge"), F.col("doc_id") == F.col("first_id")).select("node", "text").dropDuplicates(["node"]), "ngram-texts"
-    )
+    wanted = runs.select("node").distinct().join(with_bits.hint("merge"), "node").select("node", "first_id", "first_mark")
+    own = (F.col("doc_id") == F.col("first_id")) & (F.xxhash64("text") == F.col("first_mark"))
+    texts = written(source.join(wanted.hint("merge"), own).select("node", "text").dropDuplicates(["node"]), "ngram-texts")
 
     def links(pairs: DataFrame, tag: str) -> DataFrame:
         """Of pairs (a, b) those that link."""

@@ -136,3 +136,15 @@ def test_a_slice_of_one_short_row(spark, n):
     assert len(hashes) == 1 and begin.tolist() == [0, 1]
     rows = ngram_join.jaccard_components(spark.createDataFrame([(7, text)], "doc_id long, text string")).collect()
     assert [tuple(r) for r in rows] == [(7, 1, 7)]
+
+
+def test_an_id_with_two_texts(spark):
+    """Each text of a repeated id links by itself, whichever of the texts is met first."""
+    b = [f"b{k}" for k in range(30)]
+    a = [f"a{k}" for k in range(30)]
+    rows = [(5, " ".join(b)), (5, " ".join(a)), (6, " ".join(a[:29])), (7, " ".join(b[:29]))]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string")
+        got = ngram_join.jaccard_components(docs).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(5, 5), (5, 5), (6, 5), (7, 5)]
+        assert sorted((tuple(r) for r in got), key=repr) == brute(order)
