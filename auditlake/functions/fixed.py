@@ -35,9 +35,16 @@ CODE_OPERATORS = r"==|!=|<=|>=|->|=>|=|\+|-|\*|/"
 CODE_PUNCTUATION = "{}();[]<>"
 
 GENERIC_ANCHOR = [
-    "missing", r"no\b.*\bvalidation", r"bounds\s*check(?:ing)?", r"memory\s+safety", r"logic\s+errors?", r"vulnerab(?:le|ility)", "unsafe",
-    "exploit", "attack(?:er)?",
-]
+    r"\bmissing\b",
+    r"\bno\b.*\bvalidation\b",
+    r"\bbounds\s*check(ing)?\b",
+    r"\bmemory\s+safety\b",
+    r"\blogic\s+error(s)?\b",
+    r"\bvulnerab(le|ility)\b",
+    r"\bunsafe\b",
+    r"\bexploit\b",
+    r"\battack(er)?\b",
+]
 
 GUARD_TERMS = ["guard", "invariant", "bounds check", "null check", "validation", "lock"]
 MECHANISM_LABELS = ["source anchor:", "sink anchor:", "missing guard anchor:"]

@@ -141,8 +141,7 @@ def anchor_stats(anchors: Column | str, text: Column | str) -> Column:
 
 def is_generic_anchor(x: Column | str) -> Column:
     """Whether an anchor names no code: blank, or one of the generic phrases."""
-    pattern = "|".join(f"(^|[^A-Za-z0-9_]){p}([^A-Za-z0-9_]|$)" for p in fixed.GENERIC_ANCHOR)
-    return ~filled(x) | F.coalesce(F.lower(_c(x)).rlike(pattern), F.lit(False))
+    return ~filled(x) | F.coalesce(F.lower(_c(x)).rlike("|".join(fixed.GENERIC_ANCHOR)), F.lit(False))
 
 
 def anchor_matches(anchor: Column, text: Column, ignore_case: bool = True) -> Column:

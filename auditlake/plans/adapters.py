@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,14 +24,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when(F.col("doc_id") % 13 == 0, "unsafe").otherwise(word(1))
     level = F.when(F.col("toxic") == 1, "unsupported").when(F.col("quality") == 0, "inconclusive").when(F.col("doc_id") % 17 == 0, F.lit(None)).otherwise("supported")
     return labelled(spark, sf_dir).select(
-        "doc_id", "lang", F.col("text").alias("input"), F.substring("text", 1, 200).alias("predicate"), F.col("lang").alias("counterfactual"), F.col("source").alias("verifier_report"),
+        "doc_id", "lang", F.col("text").alias("input"), F.col("text").alias("predicate"), F.col("lang").alias("counterfactual"), F.col("source").alias("verifier_report"),
         level.alias("support_level"), F.when(F.col("doc_id") % 7 == 0, F.array(first)).otherwise(F.array(first, second)).alias("anchors"),
     )
 
 
-CORPUS_SQL = """
+_GENERIC = "|".join(fixed.GENERIC_ANCHOR)
+CORPUS_SQL = f"""
 corpus AS (
-  SELECT d.doc_id, d.lang, d.text AS input, substr(d.text, 1, 200) AS predicate, d.source AS verifier_report,
+  SELECT d.doc_id, d.lang, d.text AS input, d.text AS predicate, d.source AS verifier_report,
          CASE WHEN toxic = 1 THEN 'unsupported' WHEN quality = 0 THEN 'inconclusive' WHEN d.doc_id % 17 = 0 THEN NULL ELSE 'supported' END AS support_level,
          CASE WHEN d.doc_id % 7 = 0 THEN [a1] ELSE [a1, a2] END AS anchors
   FROM (SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'unsafe' ELSE split_part(text, ' ', 1) END AS a1,
@@ -38,7 +41,7 @@ corpus AS (
 ), judged AS (
   SELECT *, support_level IS NOT NULL AND trim(predicate) <> '' AS accepted,
          list_filter(anchors, lambda a: trim(a) <> '' AND contains(lower(input), lower(a))) AS hits,
-         list_filter(anchors, lambda a: trim(a) = '' OR regexp_matches(lower(a), '(^|[^A-Za-z0-9_])(missing|no\\b.*\\bvalidation|bounds\\s*check(?:ing)?|memory\\s+safety|logic\\s+errors?|vulnerab(?:le|ility)|unsafe|exploit|attack(?:er)?)([^A-Za-z0-9_]|$)')) AS generic
+         list_filter(anchors, lambda a: trim(a) = '' OR regexp_matches(lower(a), '{_GENERIC}')) AS generic
   FROM corpus
 ), rowed AS (
   SELECT *, accepted AND len(anchors) >= 2 AND len(hits) > 0 AS matched,

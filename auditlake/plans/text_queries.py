@@ -67,19 +67,27 @@ def predicate_quality(spark, sf_dir):
 _MARKS = " + ".join(f"contains(lower(t), '{m}')::INT" for m in fixed.CODE_MARKERS)
 
 
-@query(
-    rf"""WITH p AS (SELECT page_id, regexp_replace(html, '^\s+|\s+$', '', 'g') AS t FROM pages), c AS (SELECT page_id, length(t) AS n_chars, {_MARKS} AS markers, length(t) - length(replace(t, chr(10), '')) AS newlines,
-        len(regexp_extract_all(t, '[{{}}();\[\]<>]')) AS punctuation, len(regexp_extract_all(lower(t), '\b(?:{fixed.CODE_KEYWORDS})\b')) AS keywords_ascii, len(regexp_extract_all(t, '==|!=|<=|>=|->|=>|=|\+|-|\*|/')) AS operators FROM p)
-    SELECT page_id, n_chars, markers, newlines, punctuation, operators FROM c"""
-)
+_SIGNALS_SQL = rf"""p AS (SELECT page_id, regexp_replace(html, '^\s+|\s+$', '', 'g') AS t FROM pages), c AS (SELECT page_id, length(t) AS n_chars, {_MARKS} AS markers,
+        length(t) - length(replace(t, chr(10), '')) AS newlines, len(regexp_extract_all(t, '[{{}}();\[\]<>]')) AS punctuation, len(regexp_extract_all(lower(t), '\b(?:{fixed.CODE_KEYWORDS})\b')) AS keywords,
+        len(regexp_extract_all(t, '==|!=|<=|>=|->|=>|=|\+|-|\*|/')) AS operators, len(regexp_extract_all(t, '\b[A-Za-z_][A-Za-z0-9_]*\s*\(')) AS calls FROM p)"""
+
+
+@query(f"WITH {_SIGNALS_SQL} SELECT * FROM c")
 def code_like_signals(spark, sf_dir):
     s = T.code_signals("html")
-    return A.table(spark, sf_dir, "pages").select("page_id", *(s[k].alias(k) for k in ("n_chars", "markers", "newlines", "punctuation", "operators")))
+    return A.table(spark, sf_dir, "pages").select("page_id", *(c.alias(k) for k, c in s.items()))
 
 
-@query()
+@query(
+    f"""WITH {_SIGNALS_SQL} SELECT page_id, n_chars >= 40 AND (markers >= 2)::INT + (newlines >= 2 AND punctuation >= 4)::INT + (keywords >= 3)::INT + (operators >= 3)::INT + (calls >= 2)::INT >= 3 AS code_like FROM c
+    UNION ALL SELECT page_id + 1000000, n_chars >= 40 AND (markers >= 2)::INT + (newlines >= 2 AND punctuation >= 4)::INT + (keywords >= 3)::INT + (operators >= 3)::INT + (calls >= 2)::INT >= 3
+    FROM (WITH pages AS (SELECT page_id, regexp_replace(html, '[^A-Za-z0-9 ]', '', 'g') AS html FROM pages), {_SIGNALS_SQL} SELECT * FROM c)"""
+)
 def code_like_pages(spark, sf_dir):
-    return A.table(spark, sf_dir, "pages").select("page_id", T.is_code_like("html").alias("code_like"))
+    """Pages as they are, and stripped of all signs."""
+    p = A.table(spark, sf_dir, "pages").select("page_id", "html")
+    plain = p.select((F.col("page_id") + 1000000).alias("page_id"), F.regexp_replace("html", "[^A-Za-z0-9 ]", "").alias("html"))
+    return p.unionByName(plain).select("page_id", T.is_code_like("html").alias("code_like"))
 
 
 @query(f"WITH {A.CORPUS_SQL} SELECT lang, sum(len(generic)) / sum(len(anchors))::DOUBLE AS generic_fraction, count(*) AS docs FROM judged GROUP BY lang")
@@ -95,19 +103,19 @@ def anchor_match_stats(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN ' cve-2021-' || (1000 + doc_id) || ' ' WHEN doc_id % 9 = 1 THEN ' ' END AS cve, CASE WHEN doc_id % 4 = 0 THEN 'seen as Cve-2020-' || (12345 + doc_id) || ' in ' ELSE '' END || substr(text, 1, 300) AS p FROM documents)
+    """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN ' cve-2021-' || (1000 + doc_id) || ' ' WHEN doc_id % 9 = 1 THEN ' ' END AS cve, CASE WHEN doc_id % 4 = 0 THEN 'seen as Cve-2020-' || (12345 + doc_id) || ' in ' ELSE '' END || text AS p FROM documents)
     SELECT doc_id, coalesce(nullif(upper(trim(cve)), ''), nullif(upper(regexp_extract(p, '[Cc][Vv][Ee]-[0-9]{4}-[0-9]{4,7}', 0)), ''), 'HASH-' || substr(sha256(p), 1, 10)) AS scenario_id FROM t"""
 )
 def scenario_id_resolution(spark, sf_dir):
     d = A.table(spark, sf_dir, "documents")
     cve = F.when(d.doc_id % 9 == 0, F.concat(F.lit(" cve-2021-"), 1000 + d.doc_id, F.lit(" "))).when(d.doc_id % 9 == 1, " ")
-    p = F.concat(F.when(d.doc_id % 4 == 0, F.concat(F.lit("seen as Cve-2020-"), 12345 + d.doc_id, F.lit(" in "))).otherwise(""), F.substring("text", 1, 300))
+    p = F.concat(F.when(d.doc_id % 4 == 0, F.concat(F.lit("seen as Cve-2020-"), 12345 + d.doc_id, F.lit(" in "))).otherwise(""), F.col("text"))
     return d.select("doc_id", T.scenario_id(cve, p).alias("scenario_id"))
 
 
 _TOKEN, _POS = T.words(fixed.CODE_TOKEN), T.words(fixed.HEURISTIC_POSITIVE)
-_SEED = "CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN 'too short' WHEN doc_id % 5 = 2 THEN 'a buffer overflow here' ELSE substr(text, 1, 80) END"
-_BODY = "CASE WHEN doc_id % 2 = 0 THEN 'int ' || substr(text, 1, 60) ELSE substr(text, 1, 60) END"
+_SEED = "CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN 'too short' WHEN doc_id % 5 = 2 THEN 'a buffer overflow here' ELSE text END"
+_BODY = "CASE WHEN doc_id % 2 = 0 THEN 'int ' || text ELSE text END"
 _RULE = rf"""CASE WHEN NOT regexp_matches(p, '\S') OR (NOT contains(p, chr(10)) AND length(p) < 15) THEN 0.01 WHEN c <> '' AND NOT regexp_matches(c, '{_TOKEN}') THEN 0.01 WHEN regexp_matches(p, '{_POS}') THEN 0.99 END"""
 _RULED = rf"WITH t AS (SELECT doc_id, regexp_replace({_SEED}, '^\s+|\s+$', '', 'g') AS p, regexp_replace({_BODY}, '^\s+|\s+$', '', 'g') AS c FROM documents), r AS (SELECT doc_id, ({_RULE})::DOUBLE AS rule FROM t)"
 
@@ -130,7 +138,7 @@ def cascade_decision(spark, sf_dir):
 
 
 _TAX = " ".join(f"WHEN regexp_matches(lower(p), '{T.any_of(words)}') THEN '{bucket}'" for bucket, words in fixed.TAXONOMY.items())
-_TOPIC = "concat(CASE WHEN doc_id % 6 = 0 THEN 'Heap overflow' WHEN doc_id % 6 = 1 THEN 'unsigned wrap' WHEN doc_id % 6 = 2 THEN 'TOCTOU race' WHEN doc_id % 6 = 3 THEN 'SQL injection' ELSE '' END, ' ', substr(text, 1, 200))"
+_TOPIC = "concat(CASE WHEN doc_id % 6 = 0 THEN 'Heap overflow' WHEN doc_id % 6 = 1 THEN 'unsigned wrap' WHEN doc_id % 6 = 2 THEN 'TOCTOU race' WHEN doc_id % 6 = 3 THEN 'SQL injection' ELSE '' END, ' ', text)"
 
 
 @query(f"WITH t AS (SELECT *, {_TOPIC} AS p FROM documents) SELECT doc_id, CASE {_TAX} ELSE 'input_validation' END AS bucket FROM t")
@@ -161,9 +169,16 @@ def line_prune(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", F.sha2(p, 256).alias("pruned_sha"), T.token_estimate(p).alias("tokens"))
 
 
-@query("SELECT doc_id, greatest(1, ceil(length(text) / 4.0))::BIGINT AS tokens, floor(length(text) / 4.0)::BIGINT + 100 AS unit_tokens FROM documents WHERE len(string_split(text, chr(10))) <= 100")
+def _pruned_sql(most: int) -> str:
+    """p: documents with `pruned`, the text cut to a head and a tail of most // 2 lines where it has more than `most`."""
+    keep = most // 2
+    return f"""t AS (SELECT doc_id, regexp_replace(text, '\\r?\\n$', '') AS s, text FROM documents), l AS (SELECT *, regexp_split_to_array(s, '\\r?\\n') AS lines FROM t), p AS (
+      SELECT doc_id, text, CASE WHEN len(lines) > {most} THEN array_to_string(lines[1:{keep}], chr(10)) || chr(10) || '... [' || (len(lines) - {2 * keep}) || ' lines truncated for context efficiency] ...' || chr(10) || array_to_string(lines[len(lines) - {keep - 1}:], chr(10)) ELSE text END AS pruned FROM l)"""
+
+
+@query(f"WITH {_pruned_sql(100)} SELECT doc_id, greatest(1, ceil(length(text) / 4.0))::BIGINT AS tokens, floor(length(pruned) / 4.0)::BIGINT + 100 AS unit_tokens FROM p")
 def token_estimate(spark, sf_dir):
-    d = A.table(spark, sf_dir, "documents").filter(F.size(F.split("text", "\n")) <= 100)
+    d = A.table(spark, sf_dir, "documents")
     return d.select("doc_id", T.token_estimate("text").alias("tokens"), T.unit_token_estimate("text").alias("unit_tokens"))
 
 
@@ -230,16 +245,27 @@ def transcript_last_turn(spark, sf_dir):
 
 
 
-@query()
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE (props->>'$.k')::BIGINT END AS k FROM events")
 def json_first_object(spark, sf_dir):
-    e = A.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("answer: ```json\n"), "props", F.lit("\n``` thanks {")).alias("raw"))
-    return e.select("event_id", parsing.first_json_object_col("raw").alias("object"))
+    """The first whole object of answers in fences, after stray braces, inside prose, and of answers without any."""
+    c, props = F.col("event_id") % 4, F.col("props")
+    raw = (
+        F.when(c == 0, F.concat(F.lit("answer: ```json\n"), props, F.lit("\n``` thanks {"))).when(c == 1, F.concat(F.lit("so "), props, F.lit(' and {"k": 0}')))
+        .when(c == 2, F.concat(F.lit('{"s": "a } b", '), F.expr("substring(props, 2, length(props) - 1)"))).otherwise(F.concat(F.lit("none { "), F.col("event_type")))
+    )
+    e = A.table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+    return e.select("event_id", F.get_json_object(parsing.first_json_object_col("raw"), "$.k").cast("long").alias("k"))
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def json_repair(spark, sf_dir):
-    """Answers with a trailing comma and without their closing brace."""
-    e = A.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"a": [1, 2,], '), F.expr("substring(props, 2, length(props) - 2)")).alias("raw"))
+    """Answers with a trailing comma, without their closing braces, cut within a list, and with both."""
+    c, inner = F.col("event_id") % 4, F.expr("substring(props, 2, length(props) - 2)")
+    raw = (
+        F.when(c == 0, F.concat(F.lit('{"a": [1, 2,], '), inner)).when(c == 1, F.concat(F.lit("{"), inner, F.lit(",}"))).when(c == 2, F.concat(F.lit("{"), inner, F.lit(', "b": [1, 2')))
+        .otherwise(F.concat(F.lit('{"o": {"x": 1,}, '), inner, F.lit(', "p": {"y": [')))
+    )
+    e = A.table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
     return e.select("event_id", F.get_json_object(parsing.repaired_json_col("raw"), "$.k").cast("long").alias("k"))
 
 
