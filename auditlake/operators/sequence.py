@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from ..functions import fixed
 from ..functions import text as T
@@ -40,6 +43,18 @@ def tail(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     return rows.orderBy(*(F.desc(c) for c in order)).limit(n).orderBy(*order)
 
 
+def first_n(rows: DataFrame, order: list, n: int) -> DataFrame:
+    """The first n rows in order: the seeds of a bounded run."""
+    return rows.orderBy(*order).limit(n)
+
+
+def keyed_tail(traces: DataFrame, key: dict[str, str], order: list[str], n: int) -> DataFrame:
+    """The last n traces that have these values, in order."""
+    for name, value in key.items():
+        traces = traces.filter(F.col(name) == value)
+    return tail(traces, order, n)
+
+
 def fold_of(rows: DataFrame, group: str, label: str, k: int) -> DataFrame:
     """(group, rate, total, fold): groups by falling (rate, total, name), dealt round to k folds from 1."""
     found = rows.groupBy(group).agg(F.avg(F.col(label).cast("double")).alias("rate"), F.count("*").alias("total"))
@@ -48,37 +63,65 @@ def fold_of(rows: DataFrame, group: str, label: str, k: int) -> DataFrame:
     return up.withColumn("fold", ((F.col("__n") - F.col("__place")) % k + 1).cast("int")).drop("__place", "__n")
 
 
+def _in_order(units: DataFrame, size: str, order: list, by: str, rule: Callable, numbered_as: str | None = None) -> DataFrame:
+    """units by a rule that goes over each group in order: rule() makes a function of sizes, which gives a number, or None for a row that goes.
+
+    Sequential within a group by its nature, so a group is one task; but it streams
+    in sorted batches and holds no more than the rule's own state.
+    """
+    key, weight = units.columns.index(by), units.columns.index(size)
+
+    def run(batches):
+        last, own = None, None
+        for batch in batches:
+            found = []
+            for k, n in zip(batch.column(key).to_pylist(), batch.column(weight).to_pylist()):
+                if own is None or k != last:
+                    last, own = k, rule()
+                found.append(own(n))
+            kept = [i for i, x in enumerate(found) if x is not None]
+            part = batch.take(pa.array(kept, pa.int64()))
+            numbers = [pa.array([found[i] for i in kept], pa.int32())] if numbered_as else []
+            yield pa.RecordBatch.from_arrays([*part.columns, *numbers], names=[*batch.schema.names, *([numbered_as] if numbered_as else [])])
+
+    schema = StructType([*units.schema.fields])
+    return units.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema.add(numbered_as, IntegerType()) if numbered_as else schema)
+
+
 def budget_batches(units: DataFrame, size: str, order: list, max_size: int, max_units: int, by: str) -> DataFrame:
-    """units with batch: next-fit in order under both budgets; a unit above the size budget stands alone. Sequential within a group."""
+    """units with batch: next-fit in order under both budgets; a unit above the size budget stands alone."""
+
+    def rule():
+        batch, count, total = 0, 0, 0
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        numbers, batch, count, total = [], 0, 0, 0
-        for n in frame[size]:
+        def number(n):
+            nonlocal batch, count, total
             if count and (count >= max_units or total + n > max_size):
                 batch, count, total = batch + 1, 0, 0
-            numbers.append(batch)
             count, total = count + 1, total + n
-        return frame.assign(batch=pd.array(numbers, "Int32"))
+            return batch
 
-    return units.groupBy(by).applyInPandas(run, units.schema.simpleString()[7:-1].replace(":", " ") + ", batch int")
+        return number
+
+    return _in_order(units, size, order, by, rule, "batch")
 
 
 def budget_selection(units: DataFrame, size: str, order: list, max_size: int, max_units: int, by: str) -> DataFrame:
     """The units that a greedy pass in order takes: those that do not fit are passed over, but for the first of all."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        taken, total = [], 0
-        for k, n in enumerate(frame[size]):
-            if len(taken) >= max_units:
-                break
-            if total + n <= max_size or not taken:
-                taken.append(k)
-                total += n
-        return frame.iloc[taken]
+    def rule():
+        count, total = 0, 0
+
+        def take(n):
+            nonlocal count, total
+            if count < max_units and (total + n <= max_size or not count):
+                count, total = count + 1, total + n
+                return 1
+            return None
+
+        return take
 
-    return units.groupBy(by).applyInPandas(run, units.schema)
+    return _in_order(units, size, order, by, rule)
 
 
 def hashed_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -104,7 +147,8 @@ def frontier(scores: DataFrame, bucket: str, variant: str) -> DataFrame:
 
 
 def frontier_lookup(requests: DataFrame, best: DataFrame, bucket: str, variant: str, default: str = "baseline_v0") -> DataFrame:
-    return requests.join(F.broadcast(best), bucket, "left").withColumn(variant, F.coalesce(variant, F.lit(default)))
+    """requests with their bucket's variant or the default; best has one row a bucket, and Spark broadcasts it where it is small."""
+    return requests.join(best, bucket, "left").withColumn(variant, F.coalesce(variant, F.lit(default)))
 
 
 def dead_ends(traces: DataFrame, order: list, *by: str) -> DataFrame:

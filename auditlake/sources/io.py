@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 import tomllib
+import uuid
 from pathlib import Path, PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
 
 CORRUPT = "_corrupt"
+_LOG = logging.getLogger(__name__)
 
 
 class PathError(ValueError):
@@ -43,6 +46,24 @@ def jsonl_strict(spark: SparkSession, path: str, schema: StructType | str) -> Da
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files with their numbers from 1; blocks are numbered apart and put together by their line counts."""
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin")]
+    lines = spark.read.text(path).select("value", *block, F.monotonically_increasing_id().alias("place"))
+    within = Window.partitionBy("file", "begin").orderBy("place")
+    before = Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("file", "begin").agg(F.count("*").alias("n")).select("file", "begin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.withColumn("k", F.row_number().over(within)).join(sizes, ["file", "begin"]).select("file", (F.col("before") + F.col("k")).alias("line"), "value")
+
+
+def jsonl_strict_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, v): every line as a variant; one that is not JSON fails the query with its number. Blank lines are skipped."""
+    lines = numbered_lines(spark, path).filter(T.filled("value"))
+    wrong = F.raise_error(F.concat(F.lit("Invalid JSON on line "), F.col("line")))
+    v = F.try_parse_json("value")
+    return lines.select("file", "line", F.when(v.isNotNull(), v).otherwise(wrong.cast("variant")).alias("v"))
+
+
 def jsonl_lenient(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Lines that are not JSON are left out."""
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED", pathGlobFilter="*.jsonl" if not PurePosixPath(path).suffix else None)
@@ -168,18 +189,79 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Puts back the table that a replacement had put aside when it was broken off."""
+    fs, target = _hadoop(spark, path)
+    _, aside = _hadoop(spark, path.rstrip("/") + ".old")
+    if not fs.exists(target) and fs.exists(aside):
+        fs.rename(aside, target)
+
+
+def _replaced(spark: SparkSession, path: str, write) -> None:
+    """What write(new path) makes, in place of the table at path: written whole beside it, then swapped by renames; the old one goes last."""
+    path = path.rstrip("/")
+    recover(spark, path)
+    new = f"{path}.new-{uuid.uuid4().hex}"
+    write(new)
+    fs, target = _hadoop(spark, path)
+    aside, fresh = _hadoop(spark, path + ".old")[1], _hadoop(spark, new)[1]
+    fs.delete(aside, True)
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"cannot put aside {path}")
+    if not fs.rename(fresh, target):
+        raise OSError(f"cannot put {new} in place")
+    fs.delete(aside, True)
+
+
 def replace_json(rows: DataFrame, path: str) -> None:
-    """A document or small table in place of the one before; readers see the old files until the commit."""
-    rows.coalesce(1).write.mode("overwrite").json(path)
+    """A document or small table in one file, in place of the one before, which stays until the new one is whole."""
+    _replaced(rows.sparkSession, path, lambda to: rows.coalesce(1).write.json(to))
 
 
 def checkpoint(payload: DataFrame, path: str, version: int, now: str) -> None:
-    """A versioned checkpoint table."""
-    payload.withColumn("schema_version", F.lit(version)).withColumn("updated_at", F.lit(now).cast("timestamp")).write.mode("overwrite").parquet(path)
+    """A versioned checkpoint table; a crash leaves the one before, which load_checkpoint finds."""
+    full = payload.withColumn("schema_version", F.lit(version)).withColumn("updated_at", F.lit(now).cast("timestamp"))
+    _replaced(payload.sparkSession, path, full.write.parquet)
+
+
+def export_spans(spans: DataFrame, path: str) -> bool:
+    """Adds spans to a folder of JSON lines. A sink that fails never fails its caller, which is told by False."""
+    try:
+        append_jsonl(spans, path)
+    except Exception as error:  # whatever it is: tracing must not stop the work
+        _LOG.warning("spans were not exported: %s", error)
+        return False
+    return True
+
+
+def write_manifest(spark: SparkSession, folder: str, to: str, facts: dict[str, str | int]) -> None:
+    """A manifest of a folder's files (name, sha256, size) with the run's facts, as one JSON row."""
+    files = digests(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256", "size")
+    listed = files.agg(F.array_sort(F.collect_list(F.struct("name", "sha256", "size"))).alias("artifacts"))
+    replace_json(listed.select(*(F.lit(v).alias(k) for k, v in facts.items()), "artifacts"), to)
+
+
+def start_expansion(baseline: DataFrame, path: str) -> None:
+    """A seed file that begins with the baseline seeds; append_jsonl adds to it."""
+    baseline.write.mode("overwrite").json(path)
+
+
+def union_logs(*logs: DataFrame) -> DataFrame:
+    """All rows of logs whose columns differ; what a log lacks is null."""
+    out = logs[0]
+    for more in logs[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
 
 
 def load_checkpoint(spark: SparkSession, path: str, version: int) -> DataFrame:
     """The checkpoint, or an error where it is of another version."""
+    recover(spark, path)
     found = spark.read.parquet(path)
     wrong = F.raise_error(F.concat(F.lit("checkpoint of version "), F.col("schema_version")))
     return found.withColumn("schema_version", F.when(F.col("schema_version") == version, F.col("schema_version")).otherwise(wrong.cast("int")))
@@ -205,8 +287,12 @@ def synthetic_floor(rows: DataFrame, spare: DataFrame, least: int = 4) -> DataFr
     return rows.unionByName(spare.crossJoin(F.broadcast(few)).filter("few").drop("few"))
 
 
-def markdown(title: str, rows: DataFrame, most: int = 1000) -> str:
-    """A report table, on the driver; its rows are a summary's, so few."""
+def markdown(title: str, rows: DataFrame, most: int | None = None) -> str:
+    """A report table, on the driver; its rows are a summary's, so few. With `most` it ends there and says how many rows more there are."""
     lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
-    cells = rows.select(*(F.coalesce(T.html_cell(F.col(c).cast("string")), F.lit("")).alias(c) for c in rows.columns)).limit(most).collect()
-    return "\n".join([*lines, *("| " + " | ".join(r) + " |" for r in cells)]) + "\n"
+    cells = rows.select(*(F.coalesce(T.html_cell(F.col(c).cast("string")), F.lit("")).alias(c) for c in rows.columns))
+    shown = cells if most is None else cells.limit(most)
+    lines += ["| " + " | ".join(r) + " |" for r in shown.toLocalIterator()]
+    if most is not None and (more := cells.count() - most) > 0:
+        lines += ["", f"{more} rows more"]
+    return "\n".join(lines) + "\n"

@@ -35,40 +35,45 @@ def first_seen(rows: DataFrame, identity: str, time: str, late: str = "1 day") -
 
 
 def accepted_once(rows: DataFrame, key: str, identity: str, accepted: str) -> DataFrame:
-    """For each row whether it repeats an *accepted* identity of its key; only accepted rows enter the state."""
-    kind = rows.schema[key].dataType.simpleString()
+    """For each row whether it repeats an *accepted* identity of its key; the state is one flag for each key and identity."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, identity)}
 
     def run(k, frames: Iterator[pd.DataFrame], state: GroupState):
-        seen = set(state.get[0]) if state.exists else set()
+        seen = state.get[0] if state.exists else False
         for frame in frames:
             repeats = []
-            for name, ok in zip(frame[identity], frame[accepted]):
-                repeats.append(name in seen)
-                if ok and name not in seen:
-                    seen.add(name)
-            yield pd.DataFrame({key: [k[0]] * len(frame), identity: frame[identity], "duplicate": repeats})
-        state.update((sorted(seen),))
-
-    return rows.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, {identity} string, duplicate boolean", "seen array<string>", "append", GroupStateTimeout.NoTimeout
+            for ok in frame[accepted]:
+                repeats.append(seen)
+                seen = seen or bool(ok)
+            yield pd.DataFrame({key: [k[0]] * len(frame), identity: [k[1]] * len(frame), "duplicate": repeats})
+        state.update((seen,))
+
+    return rows.groupBy(key, identity).applyInPandasWithState(
+        run, f"{key} {kinds[key]}, {identity} {kinds[identity]}, duplicate boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout
     )
 
 
-def stop_rule_state(rows: DataFrame, key: str, target: int, max_calls: int, max_tokens: int, window: int, least_yield: float) -> DataFrame:
-    """rows (ok boolean, tokens long) counted for each key until a stop rule fires; emits the running state a batch."""
+def stop_rule_state(rows: DataFrame, key: str, target: int, max_calls: int, max_tokens: int, window: int, least_yield: float, order: list[str] | None = None) -> DataFrame:
+    """rows (ok boolean, tokens long) counted for each key until a stop rule fires; emits the running state a batch.
+
+    With `order`, a key's rows of a batch are taken in that order.
+    """
     kind = rows.schema[key].dataType.simpleString()
 
     def run(k, frames: Iterator[pd.DataFrame], state: GroupState):
         calls, accepted, tokens, last, rule = state.get if state.exists else (0, 0, 0, [], None)
         last = list(last)
-        for frame in frames:
+        for frame in [pd.concat(list(frames)).sort_values(order, kind="stable")] if order else frames:
             for ok, n in zip(frame["ok"], frame["tokens"]):
                 if rule:
                     break
                 calls, accepted, tokens = calls + 1, accepted + int(ok), tokens + int(n)
                 last = [*last, int(ok)][-window:]
                 low = len(last) == window and sum(last) / window < least_yield
-                checks = ((accepted >= target, "target_total_reached"), (calls >= max_calls, "max_calls_budget_reached"), (tokens >= max_tokens, "max_tokens_budget_reached"), (low, "marginal_yield_decay_threshold_reached"))
+                checks = (
+                    (accepted >= target, "target_total_reached"), (calls >= max_calls, "max_calls_budget_reached"),
+                    (tokens >= max_tokens, "max_tokens_budget_reached"), (low, "marginal_yield_decay_threshold_reached"),
+                )
                 rule = next((name for hit, name in checks if hit), None)
         state.update((calls, accepted, tokens, last, rule))
         yield pd.DataFrame({key: [k[0]], "calls": [calls], "accepted": [accepted], "tokens": [tokens], "rule": [rule]})
@@ -78,35 +83,48 @@ def stop_rule_state(rows: DataFrame, key: str, target: int, max_calls: int, max_
     )
 
 
+def _missing(error: Exception) -> bool:
+    return "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error)
+
+
 def append_new(spark: SparkSession, out: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that leaves out keys already written, so that a batch that runs again adds nothing."""
+    """A foreachBatch sink that leaves out keys already written. A batch is a partition of its own, so one that runs again replaces itself.
 
-    def write(batch: DataFrame, _: int) -> None:
+    Each batch reads the key column of what is there; where keys come again only
+    within some time, `first_seen` keeps them in the stream's state instead.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
         fresh = batch.dropDuplicates([key])
         try:
-            fresh = fresh.join(batch.sparkSession.read.parquet(out).select(key), key, "left_anti")
+            known = batch.sparkSession.read.parquet(out).filter(F.col("epoch") != epoch).select(key)
+            fresh = fresh.join(known, key, "left_anti")
         except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            if not _missing(error):
                 raise
-        fresh.write.mode("append").parquet(out)
+        fresh.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return write
 
 
 def latest_status(out: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink of status upserts: each batch writes a new version of the table, the latest row a key."""
+    """A foreachBatch sink of status upserts: a batch writes the latest row of each of its keys as a version; `statuses` reads them together."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark, before = batch.sparkSession, f"{out}/v={epoch - 1}"
-        rows = batch
-        if epoch:
-            rows = batch.unionByName(spark.read.parquet(before))
-        best = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
-        best.write.mode("overwrite").parquet(f"{out}/v={epoch}")
+        _latest(batch, key, order).write.mode("overwrite").parquet(f"{out}/v={epoch}")
 
     return write
 
 
+def _latest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
+
+
+def statuses(spark: SparkSession, out: str, key: str, order: str) -> DataFrame:
+    """The latest row of each key over all versions that latest_status has written."""
+    return _latest(spark.read.parquet(out), key, order).drop("v")
+
+
 def started(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """The stream into a memory table, over what is there now."""
     return stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()

@@ -109,3 +109,78 @@ def test_streams(spark, tmp_path):
 
     jobs.started(jobs.stage_windows(tail(), "ts", "k", "tokens"), "windows", str(tmp_path / "c5")).awaitTermination(90)
     assert spark.table("windows").count() >= 5
+
+
+def test_numbered_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n' + "".join(f'{{"a": {k}}}\n' for k in range(500)))
+    got = io.numbered_lines(spark, str(tmp_path / "a.jsonl")).orderBy("line").collect()
+    assert [r["line"] for r in got] == list(range(1, 504)) and got[2]["value"] == '{"a": 2}'
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # several blocks a file
+    try:
+        cut = io.numbered_lines(spark, str(tmp_path / "a.jsonl")).orderBy("line").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["line"], r["value"]) for r in cut] == [(r["line"], r["value"]) for r in got]
+    assert io.jsonl_strict_numbered(spark, str(tmp_path / "a.jsonl")).count() == 502
+    (tmp_path / "b.jsonl").write_text('{"a": 1}\nbad\n')
+    with pytest.raises(Exception, match="Invalid JSON on line 2"):
+        io.jsonl_strict_numbered(spark, str(tmp_path / "b.jsonl")).collect()
+
+
+def test_replacements_survive_a_break(spark, tmp_path):
+    path = str(tmp_path / "state")
+    one, two = spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(2,)], "a int")
+    io.checkpoint(one, path, 1, "2024-01-01")
+    io.checkpoint(two, path, 1, "2024-01-02")
+    assert io.load_checkpoint(spark, path, 1).first()["a"] == 2
+    (tmp_path / "state").rename(tmp_path / "state.old")  # broken off between the two renames
+    assert io.load_checkpoint(spark, path, 1).first()["a"] == 2
+
+    bad = one.select(F.raise_error(F.lit("broken")).cast("int").alias("a"))
+    with pytest.raises(Exception, match="broken"):
+        io.checkpoint(bad, path, 1, "2024-01-03")
+    assert io.load_checkpoint(spark, path, 1).first()["a"] == 2
+    io.replace_json(one, str(tmp_path / "doc"))
+    io.replace_json(two, str(tmp_path / "doc"))
+    assert spark.read.json(str(tmp_path / "doc")).first()["a"] == 2
+
+
+def test_markdown_shows_all_rows_or_says_what_it_leaves_out(spark):
+    rows = spark.range(1500)
+    assert io.markdown("t", rows).count("\n| ") == 1502  # with its two head lines
+    assert io.markdown("t", rows, most=3).endswith("1497 rows more\n")
+
+
+def test_batches_that_run_again(spark, tmp_path):
+    batch = lambda *rows: spark.createDataFrame(rows, "name string, id int")
+    write = jobs.append_new(spark, str(tmp_path / "out"), "name")
+    for epoch, rows in [(0, [("a", 1), ("b", 1)]), (1, [("a", 2), ("c", 2)]), (1, [("a", 2), ("c", 2)])]:
+        write(batch(*rows), epoch)
+    assert sorted(r["name"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+    status = jobs.latest_status(str(tmp_path / "status"), "name", "id")
+    for epoch, rows in [(0, [("a", 1), ("b", 3)]), (1, [("a", 2), ("a", 4)]), (1, [("a", 2), ("a", 4)])]:
+        status(batch(*rows), epoch)
+    assert {r["name"]: r["id"] for r in jobs.statuses(spark, str(tmp_path / "status"), "name", "id").collect()} == {"a": 4, "b": 3}
+
+
+def test_logs_spans_and_manifests(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "x")], "a int, b string"), spark.createDataFrame([(2, 0.5)], "a int, c double")
+    assert [tuple(r) for r in io.union_logs(a, b).orderBy("a").collect()] == [(1, "x", None), (2, None, 0.5)]
+
+    assert io.export_spans(a, str(tmp_path / "spans")) and io.export_spans(a, str(tmp_path / "spans"))
+    assert spark.read.json(str(tmp_path / "spans")).count() == 2
+    assert not io.export_spans(a.select(F.raise_error(F.lit("no")).cast("int").alias("a")), str(tmp_path / "spans"))
+    (tmp_path / "taken").write_text("a file")
+    assert not io.export_spans(a, str(tmp_path / "taken"))
+
+    io.start_expansion(a, str(tmp_path / "seeds"))
+    io.append_jsonl(a.withColumn("a", F.lit(9)), str(tmp_path / "seeds"))
+    assert sorted(r["a"] for r in spark.read.json(str(tmp_path / "seeds")).collect()) == [1, 9]
+
+    (tmp_path / "model").mkdir()
+    (tmp_path / "model" / "w.bin").write_bytes(b"abc")
+    io.write_manifest(spark, str(tmp_path / "model"), str(tmp_path / "manifest"), {"sample_count": 3, "kind": "gbt"})
+    got = spark.read.json(str(tmp_path / "manifest")).first()
+    assert (got["sample_count"], got["kind"]) == (3, "gbt") and [(x["name"], x["size"]) for x in got["artifacts"]] == [("w.bin", 3)]
+    declared = spark.createDataFrame([("w.bin", got["artifacts"][0]["sha256"]), ("gone", "0")], "name string, sha256 string")
+    assert {r["name"]: r["state"] for r in io.verified_manifest(declared, io.digests(spark, str(tmp_path / "model"))).collect()} == {"w.bin": "ok", "gone": "missing"}
