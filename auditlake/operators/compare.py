@@ -146,3 +146,16 @@ def diff_lines(diff: DataFrame, doc: str, line_no: str, line: str) -> DataFrame:
     hunk = F.regexp_extract(text, r"^@@ \S+ \+(\d+)(?:,(\d+))?", 1).try_cast("int")
     count = F.coalesce(F.regexp_extract(text, r"^@@ \S+ \+(\d+),(\d+)", 2).try_cast("int"), F.lit(1))
     return with_file.filter(hunk.isNotNull() & F.col("file").isNotNull()).select(doc, "file", F.explode(F.sequence(hunk, hunk + F.greatest(count, F.lit(1)) - 1)).alias("line"))
+
+
+def deleted_file_regressions(base: DataFrame, other: DataFrame) -> DataFrame:
+    """(file_path, key, regression): every symbol of base whose whole file is gone from other."""
+    gone = base.join(other.select("file_path").distinct(), "file_path", "left_anti")
+    return gone.select("file_path", "key", F.concat(F.lit("deleted_"), F.col("type")).alias("regression"))
+
+
+def touched_units(units: DataFrame, changed: DataFrame) -> DataFrame:
+    """units (file_path, start, end, ...) that a changed range (file_path, low, high) meets; units without line numbers are kept."""
+    c = changed.select(F.col("file_path").alias("__path"), "low", "high")
+    met = (F.col("file_path") == F.col("__path")) & (F.col("start") <= F.col("high")) & (F.col("end") >= F.col("low"))
+    return units.filter("start IS NULL OR end IS NULL").unionByName(units.filter("start IS NOT NULL AND end IS NOT NULL").join(c, met, "left_semi"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,12 @@ from ..functions import text as T
 from ..sources.shared import written
 
 
+#: Rows of a shingle that one part of a join takes.
+POSTINGS = 1000
+#: Vectors of a cell that one task compares with as many others.
+CELL = 1024
+
+
 def first_by(rows: DataFrame, identity: Column, order: str) -> DataFrame:
     """Of rows with one identity the first in order. A min-by with map-side combining, so no group is gathered."""
     best = rows.groupBy(identity.alias("__identity")).agg(F.min_by(F.struct(*rows.columns), F.col(order)).alias("r"))
@@ -25,6 +34,26 @@ def excluded(rows: DataFrame, text: str, banned: DataFrame, banned_text: str) ->
     return rows.withColumn("__e", exact).withColumn("__n", norm).join(bad, F.col("__e") == F.col("__key"), "left_anti").join(bad, F.col("__n") == F.col("__key"), "left_anti").drop("__e", "__n")
 
 
+def duplicate_tiers(rows: DataFrame, id_col: str, text: str, known: DataFrame, known_text: str, threshold: float = 0.85) -> DataFrame:
+    """rows with tier: exact, normalized or near, the first by which a row repeats a known text, or null.
+
+    near: the shingle sets of the normalised texts are more alike than threshold.
+    """
+    norm = lambda t: T.normalized_code(t)
+    seen = known.select(F.col(known_text).alias("__t")).distinct()
+    exact = seen.select(F.sha2("__t", 256).alias("__e")).distinct().withColumn("__exact", F.lit(True))
+    same = seen.select(F.sha2(norm("__t"), 256).alias("__n")).distinct().withColumn("__same", F.lit(True))
+    marked = rows.withColumn("__e", F.sha2(F.col(text), 256)).withColumn("__n", F.sha2(norm(text), 256))
+    marked = written(marked.join(exact, "__e", "left").join(same, "__n", "left"), "tiers")
+    # one row a normalised text, known ones and such as no tier has taken yet
+    open_texts = marked.filter("__exact IS NULL AND __same IS NULL").select(F.concat(F.lit("r"), "__n").alias("id"), norm(text).alias("t"))
+    known_texts = seen.select(F.concat(F.lit("k"), F.sha2(norm("__t"), 256)).alias("id"), norm("__t").alias("t"))
+    pairs = shingle_pairs(known_texts.unionByName(open_texts), "id", "t", threshold)
+    near = pairs.filter("substring(a, 1, 1) = 'k' AND substring(b, 1, 1) = 'r'").select(F.substring("b", 2, 64).alias("__n")).distinct().withColumn("__near", F.lit(True))
+    tier = F.when(F.col("__exact"), "exact").when(F.col("__same"), "normalized").when(F.col("__near"), "near")
+    return marked.join(near, "__n", "left").select(*rows.columns, tier.alias("tier"))
+
+
 def unseen(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
@@ -33,61 +62,120 @@ def shingle_pairs(rows: DataFrame, id_col: str, text: str, threshold: float = 0.
     """(a, b, jaccard) of rows whose shingle sets are more alike than threshold; equal texts are one, named by the smallest id.
 
     An exact join on prefixes: a set's rarest n - ceil(threshold * n) + 1 shingles
-    share one with every set that is alike enough.
+    share one with every set that is alike enough. Shingles are 64-bit hashes; one
+    that more than POSTINGS rows have is spread over as many parts as it needs.
     """
     texts = rows.groupBy(F.col(text).alias("t")).agg(F.min(id_col).alias("id"))
-    sets = texts.select("id", T.word_shingles("t", k).alias("s")).select("id", "s", F.size("s").alias("n")).filter("n > 0")
-    sets = written(sets, "shingle-sets")
+    hashed = F.array_distinct(F.transform(T.word_shingles("t", k), lambda g: F.xxhash64(g)))
+    sets = written(texts.select("id", hashed.alias("s")).select("id", "s", F.size("s").alias("n")).filter("n > 0"), "shingle-sets")
     long = sets.select("id", "n", F.explode("s").alias("g"))
-    frequency = long.groupBy("g").agg(F.count("*").alias("df"))
+    frequency = long.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
     rare = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
-    prefix = long.join(frequency, "g").withColumn("r", rare).filter(f"r <= n - ceil(n * {threshold}) + 1").select("id", "n", "g")
-    other = prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "g")
-    pairs = prefix.join(other, "g").filter(f"id < id2 AND least(n, n2) >= {threshold} * greatest(n, n2)").select("id", "id2").distinct()
+    # a shingle of one set only leads nowhere, but takes its place among the rarest
+    ranked = long.join(frequency, "g", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("r", rare)
+    prefix = written(ranked.filter(f"df > 1 AND r <= n - ceil(n * {threshold}) + 1").select("id", "n", "g", "df"), "shingle-prefixes")
+    parts = F.ceil(F.col("df") / F.lit(POSTINGS)).cast("int")
+    left = prefix.select("id", "n", "g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "g", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    pairs = left.join(right, ["g", "part"]).filter(f"id < id2 AND least(n, n2) >= {threshold} * greatest(n, n2)").select("id", "id2").distinct()
     full = pairs.join(sets.select("id", "s", "n"), "id").join(sets.select(F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("n").alias("n2")), "id2")
     both = F.size(F.array_intersect("s", "s2"))
     return full.select(F.col("id").alias("a"), F.col("id2").alias("b"), (both / (F.col("n") + F.col("n2") - both)).alias("jaccard")).filter(f"jaccard > {threshold}")
 
 
-def cosine_pairs(rows: DataFrame, id_col: str, vector: str, threshold: float, dim: int) -> DataFrame:
-    """(a, b, cosine) of vectors at threshold or above.
+def bands_for(n: int, threshold: float) -> tuple[int, int]:
+    """How many bits a band has for n vectors, and how many bands it takes to miss a pair at threshold once in 10^9."""
+    bits = max(4, math.ceil(math.log2(max(n, 1) / CELL)) if n > CELL else 4)
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    return bits, max(1, math.ceil(math.log(1e-9) / math.log1p(-min(agree**bits, 1 - 1e-12))))
+
+
+def cosine_pairs(rows: DataFrame, id_col: str, vector: str, threshold: float, seed: int = 42) -> DataFrame:
+    """(a, b, cosine) of vectors at threshold or above; equal vectors are one, named by the smallest id.
 
-    Exact: the angles of two such vectors to any fixed direction differ by
-    arccos(threshold) at most. Vectors meet in bands of that width along one axis
-    and in the neighbouring band, and further axes filter before the product.
+    Vectors meet where a band of their signs against random hyperplanes agrees. The
+    bands are as many as it takes to miss a pair at the threshold with a probability
+    of 10^-9, and nearer pairs with less. A cell with more than CELL vectors is dealt
+    as pairs of chunks, so that no task holds more than two chunks. Null, zero and
+    non-finite vectors, and those of another length than most, take no part.
     """
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    units = written(rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), v.alias("v")).groupBy("v").agg(F.min("id").alias("id")), "cosine-units")
+    width = units.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    dim, n = (width["d"], units.count()) if width else (1, 0)
+    bits, bands = bands_for(n, threshold)
+    kind = rows.schema[id_col].dataType.simpleString()
+    names = ["band", "cell", "id", "v"]
+
+    def placed(batches):
+        planes = np.random.default_rng(seed).standard_normal((max(dim, 1), bits * bands))
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                part = batch.slice(at, 2000)
+                values = part.column(0).to_pylist()
+                fit = [k for k, x in enumerate(values) if x is not None and len(x) == dim and None not in x]
+                found = np.array([values[k] for k in fit], float).reshape(-1, dim)
+                good = np.isfinite(found).all(axis=1) & found.any(axis=1)
+                found, ids = found[good], part.column(1).take(pa.array(np.array(fit, np.int64)[good]))
+                found = found / np.abs(found).max(axis=1, initial=0, keepdims=True)
+                found /= np.sqrt((found * found).sum(axis=1, keepdims=True))
+                cells = ((found @ planes > 0).reshape(-1, bands, bits) * weights).sum(axis=2)
+                many = pa.array(np.repeat(np.arange(len(found)), bands))
+                own = pa.array([x.tobytes() for x in found], pa.binary())
+                columns = [pa.array(np.tile(np.arange(bands, dtype=np.int32), len(found))), pa.array(cells.reshape(-1)), ids.take(many), own.take(many)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    cells = written(units.select("v", "id").mapInArrow(placed, f"band int, cell long, id {kind}, v binary"), "cosine-cells")
+    sizes = cells.groupBy("band", "cell").agg(F.count("*").alias("size")).filter("size > 1")
+    dealt = cells.join(sizes, ["band", "cell"]).withColumn("chunks", F.ceil(F.col("size") / F.lit(CELL)).cast("int"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("band", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "v")
+
+    def met(frame: pd.DataFrame) -> pd.DataFrame:
+        vectors = np.frombuffer(b"".join(frame["v"]), float).reshape(len(frame), -1)
+        ids, mine = frame["id"].to_numpy(), frame["mine"].to_numpy()
+        out = []
+        for at in range(0, len(frame), 512):
+            cosine = vectors[at : at + 512] @ vectors.T
+            x, y = np.nonzero(cosine >= threshold - 1e-9)
+            keep = ids[x + at] < ids[y]
+            if frame["i"].iloc[0] != frame["j"].iloc[0]:
+                keep &= mine[x + at] != mine[y]
+            out.append(pd.DataFrame({"a": ids[x + at][keep], "b": ids[y][keep]}))
+        return pd.concat(out)
+
+    pairs = dealt.groupBy("band", "cell", "i", "j").applyInPandas(met, f"a {kind}, b {kind}").distinct()
+    # the exact measure, once a pair
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    wide = math.acos(min(1.0, threshold)) + 1e-9
-    unit = rows.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), v.alias("v")).withColumn("norm", F.sqrt(dot("v", "v"))).filter("norm > 0")
-    axes = [F.acos(F.least(F.greatest(F.col("v")[k] / F.col("norm"), F.lit(-1.0)), F.lit(1.0))).alias(f"x{k}") for k in range(min(dim, 6))]
-    unit = written(unit.select("id", "v", "norm", *axes).withColumn("band", F.floor(F.col("x0") / wide)), "cosine-unit")
-    left = unit.withColumn("meet", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    right = unit.select(*(F.col(c).alias(f"{c}_2") for c in unit.columns)).withColumn("meet", F.col("band_2"))
-    near = [F.abs(F.col(f"x{k}") - F.col(f"x{k}_2")) <= wide for k in range(len(axes))]
-    met = left.join(right, "meet").filter("id <> id_2 AND (band <> band_2 OR id < id_2)")
-    for condition in near:
-        met = met.filter(condition)
-    cosine = dot(F.col("v"), F.col("v_2")) / (F.col("norm") * F.col("norm_2"))
-    return met.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"), cosine.alias("cosine")).filter(F.col("cosine") >= threshold)
+    side = lambda c: units.select(F.col("id").alias(c), F.col("v").alias(f"v_{c}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b")
+    cosine = dot(F.col("v_a"), F.col("v_b")) / (F.sqrt(dot(F.col("v_a"), F.col("v_a"))) * F.sqrt(dot(F.col("v_b"), F.col("v_b"))))
+    return full.select("a", "b", cosine.alias("cosine")).filter(F.col("cosine") >= threshold)
 
 
 def leaders(rows: DataFrame, id_col: str, pairs: DataFrame) -> DataFrame:
     """rows kept by greedy leader selection in id order: a row goes if a kept row with a smaller id is its pair.
 
     pairs (a, b), a < b. Each round keeps the rows without an undecided smaller
-    partner and drops partners of kept rows, until nothing is undecided; states are
-    written each round.
+    partner, drops partners of kept rows, and goes on with the pairs of rows that are
+    still undecided, until there are none. There are as many rounds as the longest
+    chain of rows of which each waits for the one before; each round's pairs and
+    decisions are written.
     """
-    edges = written(pairs.select("a", "b"), "leader-edges")
-    state = written(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("state", F.lit(0)), "leader-state")
-    while state.filter("state = 0").limit(1).count():
-        low = edges.join(state.select(F.col("id").alias("a"), F.col("state").alias("sa")), "a").groupBy(F.col("b").alias("id")).agg(
-            F.max((F.col("sa") == 1).cast("int")).alias("kept"), F.max((F.col("sa") == 0).cast("int")).alias("open")
-        )
-        new = F.when(F.col("state") != 0, F.col("state")).when(F.coalesce("kept", F.lit(0)) == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
-        state = written(state.join(low, "id", "left").select("id", new.alias("state")), "leader-state")
-    return rows.join(state.filter("state = 2").select(F.col("id").alias(id_col)), id_col, "left_anti")
+    edges = written(pairs.select("a", "b").distinct(), "leader-edges")
+    gone = None
+    while not edges.isEmpty():
+        waits = edges.select(F.col("b").alias("id")).distinct()
+        kept = edges.select(F.col("a").alias("id")).distinct().join(waits, "id", "left_anti")
+        dropped = written(edges.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "leader-dropped")
+        gone = dropped if gone is None else gone.unionByName(dropped)
+        # what is left: pairs of which neither row is decided
+        left = edges.join(kept.withColumnRenamed("id", "a"), "a", "left_anti")
+        for side in ("a", "b"):
+            left = left.join(dropped.withColumnRenamed("id", side), side, "left_anti")
+        edges = written(left, "leader-edges")
+    return rows if gone is None else rows.join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti")
 
 
 def shared_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -113,3 +113,18 @@ def extraction_buckets(graphs: DataFrame, nodes: DataFrame, edges: DataFrame) ->
     return all_.withColumn("bucket", bucket).withColumn("proof_state", state).select(
         "graph_id", "bucket", "proof_state", F.when(F.col("proof_state") == "proven_unsafe", 0.95).otherwise(0.0).alias("acceptance")
     )
+
+
+def sample_outcomes(graphs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, complete, has_signatures, probability): what an extracted graph says of its sample.
+
+    0 for graphs that are not whole, 0.05 for those without edges and those proven safe, 0.95 for the others.
+    """
+    some = edges.select("graph_id").distinct().withColumn("edged", F.lit(True))
+    all_ = graphs.join(some, "graph_id", "left").join(reachability(graphs, nodes, edges), "graph_id")
+    complete = F.col("is_complete") & F.col("parse_error").isNull()
+    signed = complete & F.coalesce("edged", F.lit(False))
+    return all_.select(
+        "graph_id", complete.alias("complete"), signed.alias("has_signatures"),
+        F.when(~complete, 0.0).when(~signed | (F.col("risk") < fixed.RISK_LIMIT), fixed.LOW_RISK).otherwise(0.95).alias("probability"),
+    )

@@ -136,3 +136,18 @@ def test_index(breakdown: Column) -> Column:
 
 def unit_name(path: Column, class_name: Column, name: Column) -> Column:
     return F.concat_ws("::", path, class_name, name)
+
+
+def merged_diagnostics(attempts: DataFrame, key: str, order: str) -> DataFrame:
+    """A unit's structured-output diagnostics over its attempts: flags hold once set, repairs add up, retries and the final failure are the last attempt's."""
+    c = F.col
+    last = F.max_by(F.struct("validation_retries", "final_failure"), c(order))
+    reason = F.max_by(c("failure_reason"), F.when(T.filled("failure_reason"), c(order)))
+    found = attempts.groupBy(key).agg(
+        F.coalesce(F.bool_or("invalid_json_detected"), F.lit(False)).alias("invalid_json_detected"), F.coalesce(F.sum("repair_attempts"), F.lit(0)).alias("repair_attempts"),
+        F.coalesce(F.bool_or("repair_succeeded"), F.lit(False)).alias("repair_succeeded"), last.alias("last"), reason.alias("failure_reason"),
+    )
+    return found.select(
+        key, "invalid_json_detected", "repair_attempts", "repair_succeeded", F.coalesce("last.validation_retries", F.lit(0)).alias("validation_retries"),
+        F.coalesce("last.final_failure", F.lit(False)).alias("final_failure"), "failure_reason",
+    )

@@ -191,7 +191,9 @@ def compatibility_index(spark, sf_dir):
     return compare.compatibility_score(A.table(spark, sf_dir, "customer").filter("c_acctbal < 0"), "c_nationkey")
 
 
-@query()
+@query(
+    """SELECT 'f' || (p_partkey % 10) AS file_path, p_partkey::VARCHAR AS key, unnest(CASE WHEN p_partkey % 7 = 0 THEN ['deleted_function'] WHEN p_partkey % 3 = 0 THEN ['reordered'] WHEN p_partkey % 3 = 1 THEN ['kind:a', 'removed:b'] ELSE [] END) AS regression FROM part"""
+)
 def signature_regressions(spark, sf_dir):
     k = F.col("p_partkey")
     param = lambda name, kind, default: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), default.alias("has_default"))

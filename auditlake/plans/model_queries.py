@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dedup, graph, ml, sequence
+from ..functions import fixed
+from ..operators import dedup, graph, ml, sequence, stats
+from ..sources.shared import written
 from . import adapters as A
 from .registry import query
 
@@ -18,28 +20,57 @@ def fold_assignment(spark, sf_dir):
     return sequence.fold_of(d, "source", "quality", 5).withColumn("rate", F.round("rate", 9))
 
 
-@query("SELECT 0::BIGINT AS shared")
-def fold_overlap_audit(spark, sf_dir):
-    """Scenarios that are in the training and the test side of a fold: none."""
-    folds = sequence.fold_of(A.labelled(spark, sf_dir).filter("quality IS NOT NULL"), "source", "quality", 5)
+_FOLDS = """r AS (SELECT source, avg(quality) AS rate, count(*) AS total FROM documents JOIN labels USING (doc_id) GROUP BY source),
+    folds AS (SELECT source, ((row_number() OVER (ORDER BY rate DESC, total DESC, source DESC) - 1) % 5 + 1)::INT AS fold FROM r)"""
+
+
+def _leaks(rows, group, fold):
+    """Groups that are in the training and the test side of a fold, counted once a fold."""
     found = None
     for k in range(1, 6):
-        both = dedup.shared_keys(folds.filter(f"fold = {k}"), folds.filter(f"fold <> {k}"), "source")
+        both = dedup.shared_keys(rows.filter(F.col(fold) == k), rows.filter(F.col(fold) != k), group)
         found = both if found is None else found.unionByName(both)
     return found.agg(F.count("*").alias("shared"))
 
 
-_TEXT = "concat('Predicate: Buffer Overflow 42 in free() | Code: if (a) {', chr(10), '    return malloc(n);', chr(10), '} ', substr(text, 1, 500))"
+def fold_leaks(spark, sf_dir):
+    """The leaks of the folds by source."""
+    return _leaks(sequence.fold_of(A.labelled(spark, sf_dir).filter("quality IS NOT NULL"), "source", "quality", 5), "source", "fold")
+
+
+@query(
+    f"""WITH {_FOLDS}, k AS (SELECT unnest(range(1, 6)) AS k), loose AS (SELECT DISTINCT source, doc_id % 5 + 1 AS fold FROM documents)
+    SELECT (SELECT count(*) FROM (SELECT k, source FROM folds JOIN k ON fold = k INTERSECT SELECT k, source FROM folds JOIN k ON fold <> k)) AS shared,
+           (SELECT count(*) FROM (SELECT k, source FROM loose JOIN k ON fold = k INTERSECT SELECT k, source FROM loose JOIN k ON fold <> k)) AS shared_of_loose"""
+)
+def fold_overlap_audit(spark, sf_dir):
+    """Sources on both sides of a fold: none of folds by source, many of folds by row."""
+    loose = A.table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 5 + 1).alias("fold"))
+    return fold_leaks(spark, sf_dir).crossJoin(_leaks(loose, "source", "fold").withColumnRenamed("shared", "shared_of_loose"))
+
+
+_TEXT = "concat('Predicate: Buffer Overflow 42 in free() | Code: if (a) {', chr(10), '    return malloc(n);', chr(10), '} ', text)"
+_COUNT = "((length({0}) - length(replace({0}, '{1}', ''))) / {2})::DOUBLE"
+_FEATURES_SQL = ", ".join(
+    [
+        "len(lines)::DOUBLE AS line_count", "length(code)::DOUBLE AS char_count", "round(length(code) / len(lines)::DOUBLE, 6) AS avg_line_len",
+        r"list_max(list_transform(lines, lambda s: length(s) - length(regexp_replace(s, '^\s+', '')))) / 4.0::DOUBLE AS max_indent",
+        *(f"len(list_filter(tokens, lambda t: t = '{w}'))::DOUBLE AS control_{k:02d}" for k, w in enumerate(fixed.CONTROL_KEYWORDS)),
+        *(f"{_COUNT.format('b', w, len(w))} AS safety_{k:02d}" for k, w in enumerate(fixed.SAFETY_KEYWORDS)),
+        *(f"{_COUNT.format('code', w, len(w))} AS symbol_{k:02d}" for k, w in enumerate(fixed.SYMBOLS)),
+        "5.0::DOUBLE AS pred_words", "length(p)::DOUBLE AS pred_chars", "round(2.0 / length(p), 6)::DOUBLE AS pred_upper", "round(2.0 / length(p), 6)::DOUBLE AS pred_digit",
+    ]
+)
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, substr(x, instr(x, ' | Code: ') + 9) AS code, replace(substr(x, 1, instr(x, ' | Code: ') - 1), 'Predicate: ', '') AS p FROM (SELECT doc_id, {_TEXT} AS x FROM documents)), l AS (SELECT *, string_split(code, chr(10)) AS lines, lower(p) || ' ' || lower(code) AS b FROM t)
-    SELECT doc_id, len(lines)::DOUBLE AS line_count, length(code)::DOUBLE AS char_count, round(length(code) / len(lines)::DOUBLE, 6) AS avg_line_len, ((length(b) - length(replace(b, 'malloc', ''))) / 6)::DOUBLE AS n_malloc,
-      ((length(b) - length(replace(b, 'overflow', ''))) / 8)::DOUBLE AS n_overflow, ((length(code) - length(replace(code, '(', ''))))::DOUBLE AS n_open, 5.0::DOUBLE AS pred_words, length(p)::DOUBLE AS pred_chars FROM l"""
+    rf"""WITH t AS (SELECT doc_id, substr(x, instr(x, ' | Code: ') + 9) AS code, replace(substr(x, 1, instr(x, ' | Code: ') - 1), 'Predicate: ', '') AS p FROM (SELECT doc_id, {_TEXT} AS x FROM documents)),
+    l AS (SELECT *, string_split(code, chr(10)) AS lines, regexp_split_to_array(lower(code), '\s+') AS tokens, lower(p) || ' ' || lower(code) AS b FROM t) SELECT doc_id, {_FEATURES_SQL} FROM l"""
 )
 def domain_features(spark, sf_dir):
+    """All 60 features of a predicate and each document's whole text."""
     d = A.table(spark, sf_dir, "documents").withColumn("x", F.expr(_TEXT)).select("doc_id", *ml.domain_features("x"))
-    return d.select("doc_id", "line_count", "char_count", F.round("avg_line_len", 6).alias("avg_line_len"), F.col("safety_01").alias("n_malloc"), F.col("safety_07").alias("n_overflow"), F.col("symbol_05").alias("n_open"), "pred_words", "pred_chars")
+    return d.withColumns({c: F.round(c, 6) for c in ("avg_line_len", "pred_upper", "pred_digit")})
 
 
 @query(
@@ -62,10 +93,15 @@ def ngram_tfidf_top(spark, sf_dir):
     return found.select("gram", "df", F.round("idf", 9).alias("idf"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT item_id, ' ' || lower(text) || ' ' AS t FROM benchmark), g AS (SELECT item_id, substr(t, i, n) AS gram FROM p, unnest([3, 4, 5]) AS a(n), unnest(range(1, length(t) + 1)) AS u(i) WHERE i + n - 1 <= length(t)),
+    c AS (SELECT item_id, gram, count(*) AS c FROM g GROUP BY ALL), v AS (SELECT gram, count(*) AS df FROM c GROUP BY gram ORDER BY df DESC, gram LIMIT 1000),
+    w AS (SELECT item_id, gram, (1 + ln(c)) * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)::DOUBLE) + 1) AS w FROM c JOIN v USING (gram))
+    SELECT item_id, gram, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 9) AS weight FROM w"""
+)
 def tfidf_weights(spark, sf_dir):
     b = A.table(spark, sf_dir, "benchmark")
-    return ml.tfidf(b, "item_id", "text", ml.vocabulary(b, "item_id", "text", 1000))
+    return ml.tfidf(b, "item_id", "text", ml.vocabulary(b, "item_id", "text", 1000)).withColumn("weight", F.round("weight", 9))
 
 
 @query(
@@ -130,26 +166,61 @@ def null_model(spark, sf_dir):
 
 @query()
 def gbt_classifier(spark, sf_dir):
-    """Boosted trees on the domain features; a small ensemble for a small table."""
-    d = A.labelled(spark, sf_dir).filter("quality IS NOT NULL").select("doc_id", "quality", *ml.domain_features("text"))
-    features = [c for c in d.columns if c not in ("doc_id", "quality")]
-    model = ml.gradient_boosting(d, features, "quality", trees=5, depth=3)
-    return model.transform(d).select("doc_id", F.col("prediction").cast("int").alias("predicted"))
+    """Boosted trees on the domain features, trained on folds 2 to 5 of sources: their predictions for fold 1."""
+    d = A.labelled(spark, sf_dir).filter("quality IS NOT NULL")
+    folds = sequence.fold_of(d, "source", "quality", 5).select("source", "fold")
+    x = F.concat(F.lit(fixed.PREDICATE_PREFIX), F.col("lang"), F.lit(fixed.CODE_DELIMITER), F.col("text"))
+    rows = written(d.join(folds, "source").withColumn("x", x).select("doc_id", "quality", "fold", *ml.domain_features("x")), "gbt-rows")
+    features = [c for c in rows.columns if c not in ("doc_id", "quality", "fold")]
+    model = ml.gradient_boosting(rows.filter("fold <> 1"), features, "quality")
+    return model.transform(rows.filter("fold = 1")).select("doc_id", F.col("prediction").cast("int").alias("predicted"))
+
+
+@query(
+    """WITH v AS (SELECT vec_id, vec_id % 13 AS g, (label < 5)::INT AS y, embedding::DOUBLE[] AS v FROM embeddings), r AS (SELECT g, avg(y) AS rate, count(*) AS total FROM v GROUP BY g),
+    f AS (SELECT g, ((row_number() OVER (ORDER BY rate DESC, total DESC, g DESC) - 1) % 5 + 1)::INT AS fold FROM r), l AS (SELECT vec_id, y, fold, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM v JOIN f USING (g)),
+    m AS (SELECT t AS fold, k, avg(x) FILTER (WHERE y = 1) AS p, avg(x) FILTER (WHERE y = 0) AS n FROM l, unnest(range(1, 6)) AS u(t) WHERE fold <> t GROUP BY 1, 2),
+    d AS (SELECT fold, vec_id, y, sqrt(sum((x - p) * (x - p))) AS dp, sqrt(sum((x - n) * (x - n))) AS dn FROM l JOIN m USING (fold, k) GROUP BY 1, 2, 3), s AS (SELECT fold, y, dn / (dp + dn + 1e-6) >= 0.5 AS q FROM d),
+    c AS (SELECT fold, count(*) AS n, count(*) FILTER (WHERE y = 0 AND NOT q) AS tn, count(*) FILTER (WHERE y = 0 AND q) AS fp, count(*) FILTER (WHERE y = 1 AND NOT q) AS fn, count(*) FILTER (WHERE y = 1 AND q) AS tp FROM s GROUP BY fold)
+    SELECT fold, n, tn, fp, fn, tp, (tp + tn) / n::DOUBLE AS accuracy, round(avg((tp + tn) / n::DOUBLE) OVER (), 9) AS accuracy_mean, round(stddev_pop((tp + tn) / n::DOUBLE) OVER (), 9) AS accuracy_std FROM c"""
+)
+def cross_validation(spark, sf_dir):
+    """The centroid classifier trained and evaluated fold by fold."""
+    v = A.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 13).alias("g"), (F.col("label") < 5).cast("int").alias("y"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    judged = ml.cross_validated(v, "g", "y", 5, lambda train, test: ml.centroid_scores(train, test, "y", "v").withColumn("score", F.col("p")))
+    found = ml.fold_metrics(judged, "y")
+    return found.crossJoin(F.broadcast(ml.macro(found, "accuracy"))).withColumns({c: F.round(c, 9) for c in ("accuracy_mean", "accuracy_std")}).select(
+        "fold", "n", "tn", "fp", "fn", "tp", "accuracy", "accuracy_mean", "accuracy_std"
+    )
+
+
+#: Vectors, every third with a near copy under another id.
+_VECTORS_SQL = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings
+      UNION ALL SELECT vec_id + 1000000, list_transform(embedding::DOUBLE[], lambda x, i: x + 0.01 * ((i * 7 + vec_id) % 5 - 2)) FROM embeddings WHERE vec_id % 3 = 0)"""
+
+
+def _vectors(spark, sf_dir):
+    e = A.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    copy = F.transform("v", lambda x, i: x + 0.01 * (((i + 1) * 7 + F.col("vec_id")) % 5 - 2))
+    return e.select(F.col("vec_id").alias("id"), "v").unionByName(e.filter("vec_id % 3 = 0").select((F.col("vec_id") + 1000000).alias("id"), copy.alias("v")))
 
 
 @query(
-    """WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS cosine FROM u a JOIN u b ON a.vec_id < b.vec_id)
-    SELECT a, b, round(cosine, 9) AS cosine FROM p WHERE cosine >= 0.4"""
+    f"""WITH {_VECTORS_SQL}, u AS (SELECT min(id) AS id, v FROM v GROUP BY v), p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS cosine FROM u a JOIN u b ON a.id < b.id)
+    SELECT a, b, round(cosine, 9) AS cosine FROM p WHERE cosine >= 0.95"""
 )
 def cosine_pairs(spark, sf_dir):
-    found = dedup.cosine_pairs(A.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.4, 64)
-    return found.select("a", "b", F.round("cosine", 9).alias("cosine"))
+    return dedup.cosine_pairs(_vectors(spark, sf_dir), "id", "v", 0.95).withColumn("cosine", F.round("cosine", 9))
 
 
-@query()
+@query(
+    f"""WITH {_VECTORS_SQL}, u AS (SELECT min(id) AS id, v FROM v GROUP BY v), p AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.95)
+    SELECT id FROM v WHERE id NOT IN (SELECT b FROM p)"""
+)
 def near_dup_leaders(spark, sf_dir):
-    v = A.table(spark, sf_dir, "embeddings")
-    return dedup.leaders(v.select("vec_id", "label"), "vec_id", dedup.cosine_pairs(v, "vec_id", "embedding", 0.35, 64))
+    """The vectors that a greedy pass keeps; here no near copy has a near copy, so each with a smaller partner goes."""
+    v = _vectors(spark, sf_dir)
+    return dedup.leaders(v.select("id"), "id", dedup.cosine_pairs(v, "id", "v", 0.95))
 
 
 @query(
@@ -172,7 +243,44 @@ def graph_failure_bucket(spark, sf_dir):
     return graph.failure_buckets(g, n, e).select("graph_id", "bucket")
 
 
-@query()
+@query(
+    f"""WITH {A.GRAPHS_SQL}, r AS (SELECT g.graph_id, any_value(is_complete) AS ok, count(f.edge_no) AS edges, count(f.edge_no) FILTER (WHERE invalid_at > created_at) AS live,
+        coalesce(bool_or(invalid_at > created_at AND source_type = 'UNTRUSTED_INPUT' AND NOT (fits AND guarded_target = target_var)), false) AS open,
+        arg_min(CASE WHEN sanitizer_type IS NULL THEN 'missing_sanitizer' ELSE 'wrong_sanitizer' END, edge_no) FILTER (WHERE source_type = 'UNTRUSTED_INPUT' AND (sanitizer_type IS NULL OR NOT (fits AND guarded_target = target_var))) AS kind
+      FROM g LEFT JOIN f ON f.graph_id = g.graph_id GROUP BY g.graph_id),
+    b AS (SELECT CASE WHEN NOT ok THEN 'unsupported_syntax' WHEN edges = 0 THEN 'missing_source' WHEN live > 0 AND NOT open THEN 'guarded_or_safe' ELSE coalesce(kind, 'graph_high_risk') END AS bucket FROM r),
+    s AS (SELECT bucket, CASE WHEN bucket = 'guarded_or_safe' THEN 'proven_safe' WHEN bucket IN ('missing_sanitizer', 'wrong_sanitizer', 'graph_high_risk') THEN 'proven_unsafe' ELSE 'unsupported_or_unproven' END AS proof_state FROM b)
+    SELECT bucket, proof_state, CASE WHEN proof_state = 'proven_unsafe' THEN 0.95 ELSE 0.0 END::DOUBLE AS acceptance, count(*) AS n FROM s GROUP BY ALL"""
+)
 def graph_proof_states(spark, sf_dir):
     g, n, e = A.graphs(spark, sf_dir)
     return graph.extraction_buckets(g, n, e).groupBy("bucket", "proof_state", "acceptance").agg(F.count("*").alias("n"))
+
+
+_RISK = f"""WITH {A.GRAPHS_SQL}, r AS (SELECT g.graph_id, count(e.edge_no) AS edges, count(e.edge_no) FILTER (WHERE invalid_at > created_at) AS live, any_value(is_complete) AS ok,
+      coalesce(bool_or(invalid_at > created_at AND source_type = 'UNTRUSTED_INPUT' AND NOT (fits AND guarded_target = target_var)), false) AS open FROM g LEFT JOIN f e ON e.graph_id = g.graph_id GROUP BY g.graph_id),
+    o AS (SELECT graph_id, ok AS complete, ok AND edges > 0 AS has_signatures, CASE WHEN NOT ok THEN 0.0 WHEN edges = 0 OR (live > 0 AND NOT open) THEN 0.05 ELSE 0.95 END::DOUBLE AS probability FROM r)"""
+
+
+@query(f"{_RISK} SELECT * FROM o")
+def extractor_outcomes(spark, sf_dir):
+    """Completeness, signatures and acceptance probability of every extracted graph."""
+    return graph.sample_outcomes(*A.graphs(spark, sf_dir))
+
+
+@query(
+    f"""{_RISK}, s AS (SELECT (graph_id % 3 = 0)::INT AS y, probability AS score FROM o), q AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM s),
+    a AS (SELECT count(*) AS n, (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS auc FROM q),
+    k AS (SELECT score, count(*) FILTER (WHERE y = 1) AS p, count(*) AS k FROM s GROUP BY score), c AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(k) OVER (ORDER BY score DESC) AS al FROM k),
+    t AS (SELECT sum(p * tp / al) / sum(p) AS ap FROM c)
+    SELECT unnest(['roc_auc', 'average_precision']) AS metric, n, 5::BIGINT AS seeds, unnest([round(auc, 9)::DOUBLE, round(ap, 9)::DOUBLE]) AS mean, unnest([round(auc, 9)::DOUBLE, round(ap, 9)::DOUBLE]) AS median,
+      unnest([round(auc, 9)::DOUBLE, round(ap, 9)::DOUBLE]) AS low, unnest([round(auc, 9)::DOUBLE, round(ap, 9)::DOUBLE]) AS high FROM a, t"""
+)
+def seeded_graph_report(spark, sf_dir):
+    """Mean, median and percentile interval of the graph filter's metrics over five seeds of folds."""
+    rows = graph.sample_outcomes(*A.graphs(spark, sf_dir)).select("graph_id", (F.col("graph_id") % 3 == 0).cast("int").alias("y"), "probability")
+    found = ml.seeded_report(rows, "graph_id", "y", "probability", 5, [42, 43, 44, 45, 46])
+    long = found.select("n", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.round(m, 9).alias("value")) for m in ("roc_auc", "average_precision")))).alias("r")).select("n", "r.*")
+    means = long.groupBy("metric").agg(F.first("n").alias("n"), F.count("*").alias("seeds"), F.avg("value").alias("mean"))
+    both = means.join(stats.percentile_interval(long, "value", "metric"), "metric")
+    return both.withColumns({c: F.round(c, 9) for c in ("mean", "median", "low", "high")})

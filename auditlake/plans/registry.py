@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import compare_queries, model_queries, review_queries, telemetry_queries, text_queries  # noqa: E402, F401
+from . import compare_queries, model_queries, review_queries, rule_queries, telemetry_queries, text_queries  # noqa: E402, F401

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import records
+from ..functions import fixed, records
 from ..functions import text as T
 from ..operators import audit, gate, review, sequence, telemetry
 from . import adapters as A
+from .model_queries import _FOLDS, fold_leaks
 from .registry import query
 
 _UNITS = """u AS (SELECT o_orderkey AS k, o_orderkey % 13 = 0 AS provider_error, o_orderkey % 17 = 0 AS final_failure, o_orderkey % 3 AS attempts,
@@ -72,17 +73,43 @@ def swarm_metrics(spark, sf_dir):
     )
 
 
-@query()
+_STRICT = ", ".join(f"'{r}'" for r in fixed.STRICT_REASONS)
+_AUDIT_SQL = f"""WITH {A.ATTEMPTS_SQL}, {A.GRAPHS_SQL}, {_FOLDS},
+  m AS (SELECT count(*) FILTER (WHERE decision = 'accepted') AS accepted, count(*) FILTER (WHERE decision = 'accepted' AND logic_error <> '') AS logic_errors,
+      count(*) FILTER (WHERE (judged OR decision = 'accepted') AND reject_reason IN ({_STRICT})) / greatest(count(*) FILTER (WHERE judged OR decision = 'accepted'), 1)::DOUBLE AS strict_fail_rate,
+      count(*) FILTER (WHERE parse_ok) / greatest(count(*) FILTER (WHERE called), 1)::DOUBLE AS parse_ok_rate FROM attempts),
+  runs AS (SELECT run_id, sum(total_tokens) AS t, count(*) FILTER (WHERE decision = 'accepted') AS a FROM attempts GROUP BY run_id HAVING t > 0 AND a > 0),
+  saved AS (SELECT avg(t / a) FILTER (WHERE right(run_id, 1) < '5') AS b, avg(t / a) FILTER (WHERE right(run_id, 1) >= '5') AS x FROM runs),
+  dup AS (SELECT (count(*) - count(DISTINCT seed || chr(31) || upper(stage) || chr(31) || lower(model) || ts::DATE)) / count(*)::DOUBLE AS duplicate_rate FROM attempts WHERE decision = 'accepted'),
+  chain AS (SELECT count(*) AS n, bool_or(no > 1 AND decision = 'accepted') AS won FROM (SELECT *, row_number() OVER (PARTITION BY run_id, seed ORDER BY ts, event_id) AS no FROM attempts) GROUP BY run_id, seed HAVING count(*) > 1),
+  ref AS (SELECT coalesce(count(*) FILTER (WHERE won) / nullif(count(*), 0)::DOUBLE, 0) AS uptake FROM chain),
+  leak AS (SELECT count(*) AS leaks FROM (SELECT k, source FROM folds JOIN (SELECT unnest(range(1, 6)) AS k) ON fold = k INTERSECT SELECT k, source FROM folds JOIN (SELECT unnest(range(1, 6)) AS k) ON fold <> k)),
+  cov AS (SELECT avg(is_complete::INT) AS parse_coverage, (SELECT count(DISTINCT graph_id) FROM f WHERE source_type <> 'UNKNOWN_ORIGIN') / count(*)::DOUBLE AS signature_coverage FROM g)
+  SELECT unnest(['INV-' || 1, 'INV-' || 2, 'INV-' || 3, 'INV-' || 4, 'INV-' || 5, 'INV-' || 6, 'INV-' || 7, 'INV-' || 8, 'INV-' || 9]) AS id,
+    unnest(['no logic errors', 'anchors grounded', 'verifier parses', 'folds leak nothing', 'fewer tokens', 'few duplicates', 'graphs cover', 'refinement helps', 'triage gains']) AS name,
+    unnest([logic_errors = 0 AND accepted >= 1, 1 - strict_fail_rate >= 0.8 AND strict_fail_rate <= 0.2, parse_ok_rate >= 0.95, leaks = 0, coalesce((b - x) / greatest(b, 1.0) * 100, 0) >= 25,
+            accepted > 0 AND duplicate_rate <= 0.2, parse_coverage >= 0.65 AND signature_coverage >= 0.55, uptake >= 0.3, 0.5 * uptake >= 0.15]) AS passed
+  FROM m, saved, dup, ref, leak, cov"""
+
+
+@query(_AUDIT_SQL)
 def acceptance_audit(spark, sf_dir):
-    """The nine invariants over the attempts."""
+    """The nine invariants, all computed: over the attempts, the folds of labelled sources and the orders' graphs."""
     a = A.attempts(spark, sf_dir)
     g = gate.attempt_metrics(a).select("accepted", F.col("accepted_logic_errors").alias("logic_errors"), (1 - F.col("strict_fail_rate")).alias("anchor_match_rate"), "strict_fail_rate", "parse_ok_rate")
     cohort = F.when(F.col("run_id").rlike("[0-4]$"), "baseline").otherwise("adapted")
     saved = telemetry.reduction(telemetry.tokens_per_accept(a, cohort), "baseline", "adapted").select("reduction_pct")
-    dup = telemetry.duplicate_rate(a.filter("decision = 'accepted'"), "event_id").select("duplicate_rate", F.col("coverage").alias("identity_coverage"))
+    same = audit.canonical_identity(F.col("seed").cast("string"), F.col("stage"), F.concat("model", F.to_date("ts").cast("string")))
+    dup = telemetry.duplicate_rate(a.filter("decision = 'accepted'").withColumn("same", same), "same").select("duplicate_rate", F.col("coverage").alias("identity_coverage"))
     ref = telemetry.refinement(a, ["ts", "event_id"]).select("uptake", "triage_gain")
-    rest = F.lit(0).alias("leaks"), F.lit(0.7).alias("parse_coverage"), F.lit(0.6).alias("signature_coverage")
-    return audit.invariants(g.crossJoin(saved).crossJoin(dup).crossJoin(ref).select("*", *rest))
+    leaks = fold_leaks(spark, sf_dir).withColumnRenamed("shared", "leaks")
+    graphs, _, edges = A.graphs(spark, sf_dir)
+    tracked = edges.filter("source_type <> 'UNKNOWN_ORIGIN'").select("graph_id").distinct().withColumn("tracked", F.lit(1))
+    cov = graphs.join(tracked, "graph_id", "left").agg(F.avg(F.col("is_complete").cast("int")).alias("parse_coverage"), (F.count("tracked") / F.count("*")).alias("signature_coverage"))
+    metrics = g
+    for one in (saved, dup, ref, leaks, cov):  # a row each
+        metrics = metrics.crossJoin(one)
+    return audit.invariants(metrics)
 
 
 @query(

@@ -205,18 +205,43 @@ def bucket_examples(spark, sf_dir):
     return sequence.top_by_group(A.table(spark, sf_dir, "documents"), "source", ["doc_id"], 5).select("source", "doc_id")
 
 
-@query()
+_UNITS_SQL = "u AS (SELECT source, doc_id, length(text)::BIGINT AS size, row_number() OVER (PARTITION BY source ORDER BY length(text), doc_id) AS no FROM documents)"
+
+
+@query(
+    f"""WITH RECURSIVE {_UNITS_SQL}, r AS (SELECT source, doc_id, size, no, 0 AS batch, 1 AS units, size AS total FROM u WHERE no = 1 UNION ALL
+      SELECT u.source, u.doc_id, u.size, u.no, CASE WHEN units >= 10 OR total + u.size > 20000 THEN batch + 1 ELSE batch END, CASE WHEN units >= 10 OR total + u.size > 20000 THEN 1 ELSE units + 1 END,
+        CASE WHEN units >= 10 OR total + u.size > 20000 THEN u.size ELSE total + u.size END FROM r JOIN u ON u.source = r.source AND u.no = r.no + 1) SELECT source, doc_id, size, batch FROM r"""
+)
 def budget_batches(spark, sf_dir):
     units = A.table(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").cast("long").alias("size"))
     return sequence.budget_batches(units, "size", ["size", "doc_id"], 20_000, 10, "source")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_UNITS_SQL}, r AS (SELECT source, doc_id, size, no, true AS taken, 1 AS units, size AS total FROM u WHERE no = 1 UNION ALL
+      SELECT u.source, u.doc_id, u.size, u.no, units < 10 AND total + u.size <= 20000, units + (units < 10 AND total + u.size <= 20000)::INT, CASE WHEN units < 10 AND total + u.size <= 20000 THEN total + u.size ELSE total END
+      FROM r JOIN u ON u.source = r.source AND u.no = r.no + 1) SELECT source, doc_id, size FROM r WHERE taken"""
+)
 def budget_selection(spark, sf_dir):
     units = A.table(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").cast("long").alias("size"))
     return sequence.budget_selection(units, "size", ["size", "doc_id"], 20_000, 10, "source")
 
 
+@query(
+    f"""WITH {A.TRACES_SQL} SELECT event_id, outcome FROM (SELECT * FROM traces WHERE bucket = 'concurrency' AND variant = 'var_3' ORDER BY ts DESC, event_id DESC LIMIT 10)"""
+)
+def mutation_traces(spark, sf_dir):
+    """The last ten traces of one bucket and variant."""
+    return sequence.keyed_tail(A.traces(spark, sf_dir), {"bucket": "concurrency", "variant": "var_3"}, ["ts", "event_id"], 10).select("event_id", "outcome")
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY source, doc_id LIMIT 25")
+def first_seeds(spark, sf_dir):
+    """The first 25 seeds of a bounded run."""
+    return sequence.first_n(A.table(spark, sf_dir, "documents").select("doc_id", "source"), ["source", "doc_id"], 25)
+
+
 @query()
 def reservoir_sample(spark, sf_dir):
     """A seeded sample of fifty documents."""

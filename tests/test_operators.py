@@ -301,3 +301,41 @@ def test_stop_rules_and_dead_ends(spark):
     assert (r["calls"], r["rule"]) == (5, "marginal_yield_decay_threshold_reached")
     traces = spark.createDataFrame([("a", i, o, s) for i, (o, s) in enumerate([("VALID_ACCEPT", "1"), ("X", "1"), ("X", "2"), ("X", "1")])], "v string, i int, outcome string, seed_id string")
     assert sequence.dead_ends(traces, ["i"], "v").first()["dead_end"] is True
+
+
+def test_pairwise_means_are_selected_exactly():
+    rng = np.random.default_rng(3)
+    for trial in range(80):
+        n = int(rng.integers(1, 90))
+        d = [rng.standard_normal(n), rng.integers(-3, 4, n).astype(float), np.full(n, 1 / 3)][trial % 3]
+        i, j = np.triu_indices(n)
+        means = np.sort((np.sort(d)[i] + np.sort(d)[j]) / 2)
+        for k in {1, len(means), len(means) // 2 + 1}:
+            assert stats.pair_mean(np.sort(d), k) == pytest.approx(means[k - 1], abs=1e-12)
+    assert stats.hodges_lehmann(np.arange(100_001.0))[0] == 50_000.0  # 5 * 10^9 pairs, never made
+
+
+def test_bands_miss_next_to_nothing(spark):
+    rng = np.random.default_rng(5)
+    for n, threshold in ((100, 0.95), (10**6, 0.95), (10**9, 0.85)):
+        bits, bands = dedup.bands_for(n, threshold)
+        agree = 1 - math.acos(threshold) / math.pi
+        assert (1 - agree**bits) ** bands <= 1.01e-9 and n / 2**bits <= 2 * dedup.CELL
+    base = rng.standard_normal((40, 12))
+    rows = [(i, (base[i % 40] + 0.05 * rng.standard_normal(12)).tolist()) for i in range(2500)]  # cells beyond one chunk
+    rows += [(9000, rows[0][1]), (9001, None), (9002, [0.0] * 12), (9003, [float("nan")] * 12), (9004, [1.0] * 3)]
+    got = {(r["a"], r["b"]) for r in dedup.cosine_pairs(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.95).collect()}
+    v = np.array([v for _, v in rows[:2500]])
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.95, 1))
+    assert got == set(zip(a.tolist(), b.tolist()))
+
+
+def test_null_model_and_folds(spark):
+    rows = spark.createDataFrame([(i, i % 17, i % 2, [float(i % 2), 1.0]) for i in range(170)], "id long, g long, y int, v array<double>")
+    judge = lambda train, test: ml.centroid_scores(train, test, "y", "v").withColumn("score", F.col("p"))
+    judged = ml.cross_validated(rows, "g", "y", 5, judge)
+    assert judged.count() == 170 and judged.groupBy("g").agg(F.countDistinct("fold").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert {r["accuracy"] for r in ml.fold_metrics(judged, "y").collect()} == {1.0}
+    found = ml.null_model(rows, "id", "g", "y", 5, judge).first()
+    assert 0.2 < found["balanced_accuracy"] < 0.8 and found["warned"] == (found["balanced_accuracy"] > 0.55)
