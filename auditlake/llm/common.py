@@ -228,15 +228,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words of texts lying one after another: A-Z lowered, split at the six ASCII white-space bytes.
 
-    Returns starts and ends in data, the text of each word, and the word's hash.
+    Returns starts and ends in data, the text of each word, and the word's hash (none unless `hashed`).
     """
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
-    low = _LOWER[data]
     space = _SPACE[data]
     first = np.empty(len(data), bool)
     first[0] = True
@@ -251,4 +250,4 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     last[ends[ends > 0] - 1] = True
     ends = np.flatnonzero(last & ~space) + 1
     of = np.searchsorted(offsets, starts, side="right") - 1
-    return starts, ends, of, span_hash(prefix_hash(low), starts, ends)
+    return starts, ends, of, span_hash(prefix_hash(_LOWER[data]), starts, ends) if hashed else np.zeros(0, np.uint64)

@@ -40,7 +40,7 @@ LEAST, GRAM = 400, 32
 #: Words in a gram that anchors a window of words.
 WORD_GRAM = 12
 #: Classes of a gram that one task compares; those of a gram with more are anchored again with longer grams.
-MOST_CLASSES = 2_000
+MOST_CLASSES = 20_000
 #: Bits of the bitmap for each gram that is met twice, and its largest size in bits (32 MB).
 FILTER_BITS_A_GRAM, FILTER_LEAST, FILTER_MOST = 8, 1 << 20, 1 << 28
 _CHUNK = 1 << 20
@@ -101,9 +101,11 @@ class Bytes:
         # hashed once more, for least hashes have small high bits
         return np.searchsorted(offsets, first, side="right") - 1, place, first, last + self.least, mix(span_hash(prefix, place, place + self.gram))
 
-    def sides(self, context: bytes, lead: int) -> tuple[bytes, bytes]:
-        """What is left of the anchor, from right to left, and what is right of it, in codes of `unit` bytes."""
-        return context[:lead][::-1], context[lead:]
+    def contexts(self, data: np.ndarray, first: np.ndarray, place: np.ndarray, stop: np.ndarray):
+        """For each anchor what is left of it, from right to left, and what is right of it, in codes of `unit` bytes."""
+        raw = data.tobytes()
+        for a, p, b in zip(first.tolist(), place.tolist(), stop.tolist()):
+            yield raw[a:p][::-1], raw[p:b]
 
     @staticmethod
     def length(side: bytes, codes: int) -> int:
@@ -126,20 +128,21 @@ class Words:
         return self.gram >= self.least
 
     def anchors(self, data: np.ndarray, offsets: np.ndarray):
-        starts, ends, of, _ = words_of(data, offsets)
+        starts, ends, of, _ = words_of(data, offsets, hashed=False)
         if len(starts) < self.least:
             none = np.zeros(0, np.int64)
             return none, none, none, none, np.zeros(0, np.uint64)
-        prefix = prefix_hash(data)
         grams = len(starts) - self.gram + 1
-        own = span_hash(prefix, starts[:grams], ends[self.gram - 1 :])
+        own = span_hash(prefix_hash(data), starts[:grams], ends[self.gram - 1 :])
+        # the least hash of a window, of equal ones the leftmost: places are in the low bits
+        bits = _U(max(1, grams.bit_length()))
+        key = (own >> bits << bits) | np.arange(grams, dtype=np.uint64)
         width, have = self.least - self.gram + 1, 1
-        least, place = own, np.arange(grams)
         while have < width:
             step = min(have, width - have)
-            right = least[step:] < least[:-step]  # of equal ones the leftmost
-            least, place = np.where(right, least[step:], least[:-step]), np.where(right, place[step:], place[:-step])
+            key = np.minimum(key[:-step], key[step:])
             have += step
+        place = (key & ((_U(1) << bits) - _U(1))).astype(np.int64)
         window = np.flatnonzero(of[: len(starts) - self.least + 1] == of[self.least - 1 :])
         place = place[window]
         new = np.ones(len(window), bool)
@@ -151,20 +154,20 @@ class Words:
         tail = np.append(head[1:], len(window)) - 1
         return of[window[head]], starts[place[head]], starts[window[head]], ends[window[tail] + self.least - 1], mix(own[place[head]])
 
-    def sides(self, context: bytes, lead: int) -> tuple[bytes, bytes]:
-        data = np.frombuffer(context, np.uint8)
-        starts, ends, _, _ = words_of(data, np.array([0, len(data)]))
-        prefix, split = prefix_hash(data), int(np.searchsorted(starts, lead))
+    def contexts(self, data: np.ndarray, first: np.ndarray, place: np.ndarray, stop: np.ndarray):
+        starts, ends, _, _ = words_of(data, np.array([0, len(data)]), hashed=False)
+        prefix = prefix_hash(data)
         # left: words with the white space after them, right: the anchor's word, then words with the white space before them
-        left_a, left_b = starts[:split], starts[1 : split + 1]
-        right_a, right_b = np.concatenate([starts[split : split + 1], ends[split:-1]]), ends[split:]
-        return self._codes(prefix, left_a[::-1], left_b[::-1]), self._codes(prefix, right_a, right_b)
+        left, own, right = self._codes(prefix, starts[:-1], starts[1:]), self._codes(prefix, starts, ends), self._codes(prefix, ends[:-1], ends[1:])
+        a, s, b = np.searchsorted(starts, first), np.searchsorted(starts, place), np.searchsorted(ends, stop)
+        for f, k, e in zip(a.tolist(), s.tolist(), b.tolist()):
+            yield left[f:k][::-1].tobytes(), own[k].tobytes() + right[k:e].tobytes()
 
     @staticmethod
-    def _codes(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
+    def _codes(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.empty(len(a), np.dtype([("hash", ">u8"), ("length", ">u4")]))
         out["hash"], out["length"] = span_hash(prefix, a, b), b - a
-        return out.tobytes()
+        return out
 
     @staticmethod
     def length(side: bytes, codes: int) -> int:
@@ -211,51 +214,42 @@ def _survey(batches, rule, bits: np.ndarray):
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], _NAMES)
 
 
-def _held_contexts(batches):
-    """(key, doc_id, the text's bytes, anchor) of each anchor that a text's list `held` has."""
+def _held(batches):
+    """Slices of texts with their anchors: the slice, its bytes, and of each anchor in `held` its text's row, itself, and its context's first, place and stop."""
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
-            for key, doc, text, held in zip(*(part.column(k).to_pylist() for k in range(4))):
-                raw = (text or "").encode()
-                for a in held:
-                    yield key, doc, raw, a
+            data, offsets = text_buffers(part.column(2))
+            lists = part.column(3)
+            row = np.repeat(np.arange(len(part)), np.asarray(lists.value_lengths()))
+            anchors = lists.flatten()
+            of = lambda name: np.asarray(anchors.field(name))  # noqa: E731, B023
+            place = offsets[row] + of("pos")
+            yield part, data, row, anchors, place - of("lead"), place, place + of("tail")
 
 
 def _survey_again(batches, rule):
     """The anchors by a rule with longer grams of the windows that the anchors in `held` have."""
-    def solved(run):
-        offsets = np.concatenate([[0], np.cumsum([len(c) for *_, c in run])])
-        of, gram, context, place, lead, tail = _anchor_rows(np.frombuffer(b"".join(c for *_, c in run), np.uint8), offsets, rule, None)
-        keys, docs, begins = (np.array([r[k] if r[k] is not None else 0 for r in run], np.int64) for k in range(3))
-        no_doc = np.array([r[1] is None for r in run])
-        columns = [gram, context, keys[of], pa.array(docs[of], mask=no_doc[of]), begins[of] + place - offsets[of], lead, tail]
-        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], _NAMES)
-
-    run, weight = [], 0
-    for key, doc, raw, a in _held_contexts(batches):
-        begin = a["pos"] - a["lead"]
-        run.append((key, doc, begin, raw[begin : a["pos"] + a["tail"]]))
-        weight += a["lead"] + a["tail"]
-        if weight > 1 << 20:
-            yield solved(run)
-            run, weight = [], 0
-    if run:
-        yield solved(run)
+    for part, data, row, _, first, place, stop in _held(batches):
+        # contexts one after another, as if they were texts
+        begin = first - np.concatenate([[0], np.cumsum(stop - first)])[:-1]
+        offsets = np.concatenate([[0], np.cumsum(stop - first)])
+        own = data[np.arange(offsets[-1]) + np.repeat(begin, stop - first)]
+        of, gram, context, at, lead, tail = _anchor_rows(own, offsets, rule, None)
+        texts = text_buffers(part.column(2))[1][row]
+        take = pa.array(row[of])
+        columns = [gram, context, part.column(0).take(take), part.column(1).take(take), at + begin[of] - texts[of], lead, tail]
+        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], _NAMES)
 
 
 def _contexts(batches, rule):
-    """(gram, ctx, n, pos, left, right) of each anchor in `held`."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    out, weight = [], 0
-    for _, _, raw, a in _held_contexts(batches):
-        left, right = rule.sides(raw[a["pos"] - a["lead"] : a["pos"] + a["tail"]], a["lead"])
-        out.append((a["gram"], a["ctx"], a["n"], a["pos"], left, right))
-        weight += len(left) + len(right)
-        if weight > 4 << 20:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["gram", "ctx", "n", "pos", "left", "right"])
-            out, weight = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["gram", "ctx", "n", "pos", "left", "right"])
+    """(gram, ctx, n, left, right) of each anchor in `held`."""
+    names = ["gram", "ctx", "n", "left", "right"]
+    for _, data, _, anchors, first, place, stop in _held(batches):
+        for at in range(0, len(first), 4096):
+            some = slice(at, at + 4096)
+            lefts, rights = zip(*rule.contexts(data, first[some], place[some], stop[some]))
+            columns = [*(anchors.field(c).slice(at, 4096) for c in names[:3]), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def common_prefix(a: bytes, b: bytes, unit: int = 1) -> int:
@@ -343,19 +337,23 @@ def _trees(batches, rule, cover: bool):
     """Rows (gram, ctx, n, left, right) sorted by gram -> (gram, ctx, n, repeat, left, right): each maximal repeat and its suffixes, with the bytes to either side.
 
     With `cover` only what suffices to know the covered bytes: a suffix of several
-    members is covered as a whole, so only suffixes of one are put out.
+    members is covered as a whole, so only suffixes of one are put out, with the
+    farthest that any of their repeats, all of which hold the anchor, goes to either side.
     """
     names = ["gram", "ctx", "n", "repeat", "left", "right"]
     out: list[tuple] = []
 
     def solve(run: list[tuple]):
-        seen: set[tuple[int, int, int]] = set()
-        for group, member, left, right in suffix_groups([r[3] for r in run], [r[4] for r in run], rule.least, rule.unit):
+        found = suffix_groups([r[3] for r in run], [r[4] for r in run], rule.least, rule.unit)
+        if cover:
+            far: dict[int, tuple[int, int]] = {}
+            for _, member, left, right in found:
+                if run[member][2] == 1:
+                    before = far.get(member, (0, 0))
+                    far[member] = max(before[0], left), max(before[1], right)
+            found = [(None, member, left, right) for member, (left, right) in far.items()]
+        for group, member, left, right in found:
             gram, ctx, n, own_left, own_right = run[member]
-            if cover:
-                if n > 1 or (member, left, right) in seen:
-                    continue
-                seen.add((member, left, right))
             out.append((gram, ctx, n, group, rule.length(own_left, left), rule.length(own_right, right)))
 
     def flush():
@@ -433,8 +431,8 @@ def repeats(source: DataFrame, rule, scratch: Scratch, most: int = MOST_CLASSES,
             same = (F.col("key") == F.col("key2")) & F.col("doc_id").eqNullSafe(F.col("doc2"))
             return texts.join(lists.hint("merge"), same).select("key", "doc_id", "text", "held")
 
-        contexts = with_texts(several_classes.filter(F.col("classes") <= most)).mapInArrow(lambda b, r=rule: _contexts(b, r), "gram long, ctx long, n long, pos long, left binary, right binary")
-        rows = contexts.select("gram", "ctx", "n", "left", "right").repartition("gram").sortWithinPartitions("gram")
+        contexts = with_texts(several_classes.filter(F.col("classes") <= most)).mapInArrow(lambda b, r=rule: _contexts(b, r), "gram long, ctx long, n long, left binary, right binary")
+        rows = contexts.repartition("gram").sortWithinPartitions("gram")
         trees = rows.mapInArrow(lambda b, r=rule: _trees(b, r, cover), "gram long, ctx long, n long, repeat long, left long, right long")
         trees = scratch.written(trees, "suffix-trees")
         if cover:  # of suffixes of one the representative is the only member
@@ -507,8 +505,6 @@ def suffix_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST_CLASSES,
     same = (F.col("__key") == F.col("__key2")) & F.col(id_col).cast("long").eqNullSafe(F.col("__doc2"))
     spans = found.select(F.col("key").alias("__key2"), F.col("doc_id").alias("__doc2"), F.col("spans").alias("__spans"))
     joined = hit.join(spans.hint("merge"), same, "left").select(*docs.columns, "__spans")
-    if rest is not None:
-        joined = joined.unionByName(rest.select(*docs.columns, F.lit(None).cast(found.schema["spans"].dataType).alias("__spans")))
     names, at = docs.columns, docs.columns.index(text_col)
     added = [("kept", pa.binary(), "binary"), *((c, pa.int64(), "long") for c in _NEW[1:4])]
     if words:
@@ -542,4 +538,12 @@ def suffix_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST_CLASSES,
     schema = docs.select(*docs.columns).schema
     for name, _, kind in added:
         schema = schema.add(name, kind)
-    return joined.mapInArrow(cut, schema)
+    found = joined.mapInArrow(cut, schema)
+    if rest is None:
+        return found
+    # texts without spans stay as they are
+    text, none = F.coalesce(F.col(text_col), F.lit("")), F.lit(0).cast("long")
+    whole = [text.cast("binary").alias("kept"), F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans")]
+    if words:
+        whole += [text.alias("kept_text"), F.char_length(text).cast("long").alias("n_kept_chars"), none.alias("n_text_removed"), none.alias("n_text_spans")]
+    return found.unionByName(rest.select(*docs.columns, *whole))
