@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import corpus_pipeline
@@ -78,3 +79,23 @@ def test_passages_of_over_fifty_words_go(spark):
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeats(spark, docs, SF).collect()}
     want = [f"{words('p', 90)} {fifty} {words('q', 9)} ", f" {words('r', 90)} {fifty}", f" {words('s', 30)}", f"{words('t', 30)} ", f" {words('u', 5)} "]
     assert kept == {**dict(enumerate(want)), None: ""}
+
+
+def test_edges_through_all_stages(spark):
+    """Null, empty, very long and repeated rows, and columns that clash, pass every stage; an empty table stays empty."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40)
+    first = docs.first()
+    odd = [
+        (None, None, None, None, None), (None, "", "en", "web", 0), (None, first["text"], "en", "web", 5), (first["doc_id"], first["text"], first["lang"], first["source"], first["n_chars"]),
+        (900_001, "word " * 60_000, "en", "web", 0), (900_002, " \n\n ", None, None, None),
+    ]
+    rows = docs.select(*corpus_pipeline.COLUMNS).unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long"))
+    rows = rows.withColumn("kept", F.lit(1)).withColumn("score", F.lit("x")).withColumn("n_lines", F.lit(2))
+    none = rows.limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        rows, none = corpus_pipeline.written(stage(spark, rows, SF), f"edge-{k}"), stage(spark, none, SF)
+        if k < 4:
+            assert rows.columns == none.columns == list(corpus_pipeline.COLUMNS)
+        assert none.count() == 0
+        none = corpus_pipeline.written(none, f"none-{k}")
+    assert rows.count() > 0
