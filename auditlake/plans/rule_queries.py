@@ -252,7 +252,7 @@ _KEYED = "lower(regexp_replace(regexp_replace(regexp_replace(text, '//[^\\n]*',
 
 @query(
     f"""WITH d AS (SELECT doc_id, text, {_KEYED} AS k FROM documents UNION ALL SELECT doc_id + 1000000, text || ' one more word', {_KEYED} || 'onemoreword' FROM documents WHERE doc_id % 7 = 0
-        UNION ALL SELECT doc_id + 2000000, upper(text), lower({_KEYED}) FROM documents WHERE doc_id % 10 = 0 AND lang = 'en'),
+        UNION ALL SELECT doc_id + 2000000, replace(text, ' ', '  '), {_KEYED} FROM documents WHERE doc_id % 10 = 0),
     known AS (SELECT * FROM d WHERE doc_id % 2 = 0 AND doc_id < 1000000), r AS (SELECT * FROM d WHERE NOT (doc_id % 2 = 0 AND doc_id < 1000000)),
     t AS (SELECT DISTINCT k, NOT in_known AS is_new FROM (SELECT k, false AS in_known FROM r UNION ALL SELECT k, true FROM known)),
     w AS (SELECT k, is_new, regexp_extract_all(k, '[A-Za-z0-9_]+') AS w FROM t),
@@ -262,11 +262,11 @@ _KEYED = "lower(regexp_replace(regexp_replace(regexp_replace(text, '//[^\\n]*',
     SELECT doc_id, CASE WHEN text IN (SELECT text FROM known) THEN 'exact' WHEN k IN (SELECT k FROM known) THEN 'normalized' WHEN k IN (SELECT new_k FROM near) THEN 'near' END AS tier FROM r"""
 )
 def duplicate_tiers(spark, sf_dir):
-    """Snippets that repeat known ones, and by which tier; some are known texts with words more, or in capitals."""
+    """Snippets that repeat known ones, and by which tier; some are known texts with words more, or with wider spaces."""
     d = A.table(spark, sf_dir, "documents")
     more = d.filter("doc_id % 7 = 0").select((F.col("doc_id") + 1000000).alias("doc_id"), F.concat("text", F.lit(" one more word")).alias("text"))
-    loud = d.filter("doc_id % 10 = 0 AND lang = 'en'").select((F.col("doc_id") + 2000000).alias("doc_id"), F.upper("text").alias("text"))
-    rows = d.select("doc_id", "text").filter("doc_id % 2 <> 0").unionByName(more).unionByName(loud)
+    wide = d.filter("doc_id % 10 = 0").select((F.col("doc_id") + 2000000).alias("doc_id"), F.replace("text", F.lit(" "), F.lit("  ")).alias("text"))
+    rows = d.select("doc_id", "text").filter("doc_id % 2 <> 0").unionByName(more).unionByName(wide)
     return dedup.duplicate_tiers(rows, "doc_id", "text", d.filter("doc_id % 2 = 0"), "text").select("doc_id", "tier")
 
 

@@ -269,15 +269,32 @@ def json_repair(spark, sf_dir):
     return e.select("event_id", F.get_json_object(parsing.repaired_json_col("raw"), "$.k").cast("long").alias("k"))
 
 
-@query()
+@query(
+    """SELECT doc_id, unnest(CASE doc_id % 3 WHEN 0 THEN ['class:C', 'C.m', 'f_' || doc_id] WHEN 1 THEN ['g_' || doc_id] ELSE [] END) AS key,
+      unnest(CASE doc_id % 3 WHEN 0 THEN ['class', 'function', 'function'] WHEN 1 THEN ['function'] ELSE [] END) AS type, unnest(CASE doc_id % 3 WHEN 0 THEN [0, 4, 2] WHEN 1 THEN [5] ELSE [] END) AS n_params FROM documents"""
+)
 def ast_symbols(spark, sf_dir):
-    code = F.concat(F.lit("class C:\n    def m(self, a, b=1, *, c):\n        return a\n\ndef f_"), F.col("doc_id"), F.lit("(x, *rest):\n    return x\n"))
+    """The symbols of a class and a function, of an asynchronous function with parameters of every kind, and of code that does not parse."""
+    k = F.col("doc_id")
+    code = (
+        F.when(k % 3 == 0, F.concat(F.lit("class C:\n    def m(self, a, b=1, *, c):\n        return a\n\ndef f_"), k, F.lit("(x, *rest):\n    return x\n")))
+        .when(k % 3 == 1, F.concat(F.lit("async def g_"), k, F.lit("(a, /, b, *args, c=1, **kw):\n    pass\n"))).otherwise("def broken(:\n")
+    )
     d = A.table(spark, sf_dir, "documents").select("doc_id", F.explode(parsing.api_signatures_col(code)).alias("s"))
     return d.select("doc_id", "s.key", "s.type", F.size("s.params").alias("n_params"))
 
 
-@query()
+@query(
+    """SELECT doc_id, true AS is_complete, [2, 2, 0, 1][doc_id % 4 + 1] AS n_edges, [1, 0, 0, 0][doc_id % 4 + 1] AS n_guarded, ['MEMORY_WRITE', 'MEMORY_WRITE', '', 'SYSTEM_CALL'][doc_id % 4 + 1] AS sinks FROM documents"""
+)
 def flow_extraction(spark, sf_dir):
-    code = F.concat(F.lit("void f(char *src, int n) { char buf[16]; "), F.when(F.col("doc_id") % 2 == 0, "if (n < 16) ").otherwise(""), F.lit("memcpy(buf, src, n); }"))
+    """Flows of a guarded and an unguarded copy, of a function without sinks and of a system call."""
+    k = F.col("doc_id")
+    code = (
+        F.when(k % 4 == 0, "void f(char *src, int n) { char buf[16]; if (n < 16) memcpy(buf, src, n); }").when(k % 4 == 1, "void f(char *src, int n) { char buf[16]; memcpy(buf, src, n); }")
+        .when(k % 4 == 2, "int g(int n) { return n; }").otherwise("import os\ndef h(cmd):\n    os.system(cmd)\n")
+    )
     d = A.table(spark, sf_dir, "documents").select("doc_id", parsing.flow_graph_col(code).alias("g"))
-    return d.select("doc_id", "g.is_complete", F.size("g.nodes").alias("n_nodes"), F.size("g.edges").alias("n_edges"))
+    sinks = F.array_join(F.array_distinct(F.transform("g.edges", lambda e: e["sink_type"])), ",")
+    guarded = F.size(F.filter("g.edges", lambda e: e["sanitizer_type"].isNotNull()))
+    return d.select("doc_id", "g.is_complete", F.size("g.edges").alias("n_edges"), guarded.alias("n_guarded"), sinks.alias("sinks"))
