@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from ..sources.shared import written
 
 
 def valid_sanitizer(sink: Column, sanitizer: Column) -> Column:
@@ -42,8 +43,12 @@ def placed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def reachability(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, as_of: Column | None = None) -> DataFrame:
     """(graph_id, risk): low only for complete graphs with live edges all of whose untrusted ones are proven; else high."""
+    return _risk(graphs, placed_edges(edges, nodes), as_of)
+
+
+def _risk(graphs: DataFrame, placed: DataFrame, as_of: Column | None = None) -> DataFrame:
     at = as_of if as_of is not None else F.col("created_at")
-    joined = placed_edges(edges, nodes).join(graphs.select("graph_id", at.alias("at")), "graph_id")
+    joined = placed.join(graphs.select("graph_id", at.alias("at")), "graph_id")
     limit = F.col("invalid_at")
     broken = ~supported_sink(F.col("sink_type")) | ~F.col("placed") | (limit.isNotNull() & ~finite(limit))
     live = limit.isNull() | (finite(limit) & (limit > F.col("at")))
@@ -96,12 +101,12 @@ def failure_buckets(graphs: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
 
 def extraction_buckets(graphs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, bucket, proof_state, acceptance): how far an extracted graph proves its snippet. nodes also has kind."""
-    e = placed_edges(edges, nodes)
+    e = written(placed_edges(edges, nodes), "placed-edges")
     untrusted = F.col("source_type") == "UNTRUSTED_INPUT"
     kind = F.when(~T.filled("sanitizer_type"), "missing_sanitizer").when(~F.col("proven"), "wrong_sanitizer")
     found = e.groupBy("graph_id").agg(F.count("*").alias("edges"), F.min(F.when(untrusted & kind.isNotNull(), F.struct("edge_no", kind.alias("kind")))).alias("first"))
     sources = nodes.filter("kind = 'source'").select("graph_id").distinct().withColumn("has_source", F.lit(True))
-    all_ = graphs.join(found, "graph_id", "left").join(sources, "graph_id", "left").join(reachability(graphs, nodes, edges), "graph_id")
+    all_ = graphs.join(found, "graph_id", "left").join(sources, "graph_id", "left").join(_risk(graphs, e), "graph_id")
     bucket = (
         F.when(~F.col("is_complete") | F.col("parse_error").isNotNull(), "unsupported_syntax")
         .when(F.col("has_source").isNull(), "missing_source")
