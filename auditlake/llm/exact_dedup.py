@@ -138,7 +138,7 @@ def dedup_batches(batches: dict[str, DataFrame], index: DigestIndex, id_col: str
     return found
 
 
-def falling_batches(docs: DataFrame, parts: int = 3, id_col: str = "doc_id") -> dict[str, DataFrame]:
+def falling_batches(docs: DataFrame, parts: int = 2, id_col: str = "doc_id") -> dict[str, DataFrame]:
     """docs cut by id into batches of about equal size, the largest ids first and rows without id last.
 
     Sent through an index in this order, the row with the largest id of all stays.

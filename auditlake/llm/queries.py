@@ -74,8 +74,9 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in batches of falling id through one index, so that of equal texts the row with the largest id is met first."""
-    index = exact_dedup.DigestIndex(spark, new_path(spark, "digest-index"))
-    found = exact_dedup.dedup_batches(exact_dedup.falling_batches(documents(spark, sf_dir)), index)
+    docs = documents(spark, sf_dir)
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "digest-index"), max(16, -(-docs.count() // exact_dedup.DIGESTS_A_BUCKET)))
+    found = exact_dedup.dedup_batches(exact_dedup.falling_batches(docs), index)
     index.close()
     return found
 
