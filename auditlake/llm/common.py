@@ -26,6 +26,17 @@ _LIBC = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(Non
 _MULT = 0x9E3779B97F4A7C15
 
 
+#: Rows that a Python worker gets at once: a text can be long.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS at most, which bounds memory beside the executor's heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (spark.checkpoint.dir).
 

@@ -30,6 +30,8 @@ CONTENT, SHAPES, DIM, NONZERO, SPAN = 1 << 15, 256, 64, 8, 2
 TRAIN_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 60, 256, 3e-3, 1e-4, 5
 PARTS = 16
+#: Words of which vectors are summed at once.
+PIECE = 1 << 15
 THRESHOLD = 0.3
 
 
@@ -86,12 +88,15 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def with_context(of: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """For each word its index vector and those of the words up to SPAN places away in its text, summed."""
-    own = index_vectors(hashes)
+    distinct, place = np.unique(hashes, return_inverse=True)
+    own = index_vectors(distinct)[place]
     total = own.astype(np.int16)
     for step in range(1, SPAN + 1):
-        near = (of[step:] == of[:-step])[:, None]
-        total[:-step] += own[step:] * near
-        total[step:] += own[:-step] * near
+        apart = np.flatnonzero(of[step:] != of[:-step])
+        total[:-step] += own[step:]
+        total[step:] += own[:-step]
+        total[apart] -= own[apart + step]
+        total[apart + step] -= own[apart]
     return total
 
 
@@ -102,8 +107,8 @@ def _context_sums(batches):
         for part in slices(batch, "text", 1 << 20):
             of, hashes, _ = words(part.column(0))
             row = (hashes % np.uint64(CONTENT)).astype(np.int64)
-            for a in range(0, len(row), 1 << 17):  # a bounded piece of the matrix at a time, with its neighbours
-                first, b = max(0, a - SPAN), min(len(row), a + (1 << 17))
+            for a in range(0, len(row), PIECE):  # a bounded piece of the matrix at a time, with its neighbours
+                first, b = max(0, a - SPAN), min(len(row), a + PIECE)
                 sums = with_context(of[first : b + SPAN], hashes[first : b + SPAN])[a - first : b - first]
                 order = np.argsort(row[a:b], kind="stable")
                 ranked = row[a:b][order]
@@ -154,11 +159,11 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
         shares = np.bincount((np.repeat(np.arange(len(some)), words[some]) * SHAPES + form[a:b]), minlength=len(some) * SHAPES)
         shares = shares.reshape(len(some), SHAPES) / words[some][:, None]
         sums = np.zeros((len(some), DIM))
-        for c in range(a, b, 1 << 16):
-            d = min(b, c + (1 << 16))
+        for c in range(a, b, 1 << 13):  # short sums in single precision, their totals in double
+            d = min(b, c + (1 << 13))
             own = of[c:d]
             edge = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            sums[np.searchsorted(some, own[edge])] += np.add.reduceat(vectors[content[c:d]], edge, axis=0, dtype=np.float64)
+            sums[np.searchsorted(some, own[edge])] += np.add.reduceat(vectors[content[c:d]], edge, axis=0)
         out[some, :DIM] = sums / words[some][:, None]
         out[some, DIM : 2 * DIM] = shares @ vectors[CONTENT:]
         out[some, 2 * DIM : 3 * DIM] = np.sqrt(shares) @ vectors[CONTENT:]

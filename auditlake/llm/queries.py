@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, exact_dedup, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup, warc
-from .common import new_path
+from .common import new_path, small_batches
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,6 +24,7 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
