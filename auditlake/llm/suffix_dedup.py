@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_keyed, mix, parted, prefix_hash, slices, span_hash, text_buffers, words_of, written
+from .common import KEYS_SENT, Scratch, join_keyed, mix, parted, prefix_hash, slices, span_hash, text_buffers, words_of, written
 
 LEAST, GRAM = 400, 32
 #: Words in a gram that anchors a window of words.
@@ -134,8 +134,8 @@ class Words:
             return none, none, none, none, np.zeros(0, np.uint64)
         grams = len(starts) - self.gram + 1
         own = span_hash(prefix_hash(data), starts[:grams], ends[self.gram - 1 :])
-        # the least hash of a window, of equal ones the leftmost: places are in the low bits
-        bits = _U(max(1, grams.bit_length()))
+        # the least hash of a window, of equal ones the leftmost: places are in the low bits, as many in every slice
+        bits = _U(max(24, grams.bit_length()))
         key = (own >> bits << bits) | np.arange(grams, dtype=np.uint64)
         width, have = self.least - self.gram + 1, 1
         while have < width:
@@ -386,6 +386,31 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _pair_keys(gram: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """64-bit keys of grams and contexts; equal keys of equal grams are of equal contexts."""
+    return mix(gram.view(np.uint64)) ^ ctx.view(np.uint64)
+
+
+def _covered(batches, keys: np.ndarray, grams: np.ndarray):
+    """(key, doc_id, start, stop): the contexts of anchors that are among the given suffixes, overlapping ones of a text as one."""
+    for batch in batches:
+        gram, ctx, key = (batch.column(k).to_numpy() for k in range(3))
+        own = _pair_keys(gram, ctx)
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        hit = np.flatnonzero((keys[at] == own) & (grams[at] == gram)) if len(keys) else np.zeros(0, np.int64)
+        if not len(hit):
+            continue
+        key, pos = key[hit], batch.column(4).to_numpy()[hit]
+        start, stop = pos - batch.column(5).to_numpy()[hit], pos + batch.column(6).to_numpy()[hit]
+        # a text's contexts follow one another; a smaller start begins another row of the same text
+        new = np.ones(len(hit), bool)
+        new[1:] = (key[1:] != key[:-1]) | (start[1:] < start[:-1]) | (start[1:] > stop[:-1])
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(hit)) - 1
+        columns = [pa.array(key[head]), batch.column(3).take(pa.array(hit[head])), pa.array(start[head]), pa.array(stop[last])]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "start", "stop"])
+
+
 def _bitmap(grams: DataFrame, scratch: Scratch) -> np.ndarray:
     """A bitmap, by their high bits, of the 64-bit keys in `gram`; of bounded size, whatever their number."""
     bits = FILTER_LEAST
@@ -399,6 +424,27 @@ def _bitmap(grams: DataFrame, scratch: Scratch) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _whole(found: DataFrame, several: DataFrame, n_found: int, cover: bool) -> DataFrame:
+    """The contexts of suffixes of several members, which repeat as they stand: (gram, repeat, key, doc_id, start, stop).
+
+    For covered bytes only, up to KEYS_SENT suffixes go to all tasks, which put a
+    text's overlapping contexts together; nothing is shuffled for that. With more,
+    or for groups, anchors are joined with their suffixes.
+    """
+    if cover and several.count() <= KEYS_SENT:
+        table = several.select("gram", "ctx").toArrow()
+        gram, ctx = (np.concatenate([np.zeros(0, np.int64), c.to_numpy()]) for c in table.columns)
+        keys = _pair_keys(gram, ctx)
+        order = np.argsort(keys)
+        keys, grams = keys[order], gram[order]
+        if not (keys[1:] == keys[:-1]).any():
+            shared = found.sparkSession.sparkContext.broadcast((keys, grams))
+            own = found.mapInArrow(lambda b: _covered(b, *shared.value), "key long, doc_id long, start long, stop long")
+            return own.selectExpr("CAST(NULL AS long) AS gram", "CAST(NULL AS long) AS repeat", "key", "doc_id", "start", "stop")
+    whole = join_keyed(found, several, ["gram", "ctx"], "n", n_found)
+    return whole.selectExpr("gram", "CAST(NULL AS long) AS repeat", "key", "doc_id", "pos - lead AS start", "pos + tail AS stop")
+
+
 def repeats(source: DataFrame, rule, scratch: Scratch, most: int = MOST_CLASSES, cover: bool = True) -> DataFrame:
     """Of source (key, doc_id, text): (gram, repeat, key, doc_id, start, stop), the maximal repeats with all their occurrences in bytes.
 
@@ -418,8 +464,7 @@ def repeats(source: DataFrame, rule, scratch: Scratch, most: int = MOST_CLASSES,
         rep = F.min(F.struct("key", "doc_id", "pos", "lead", "tail")).alias("rep")
         classes = scratch.written(found.groupBy(*suffix).agg(F.count("*").alias("n"), rep), "suffix-classes")
         several = classes.filter("n > 1").select(*suffix, "n")
-        whole = join_keyed(found, several, suffix, "n", n_found)
-        spans.append(whole.selectExpr("gram", "CAST(NULL AS long) AS repeat", "key", "doc_id", "pos - lead AS start", "pos + tail AS stop"))
+        spans.append(_whole(found, several, n_found, cover))
         of_gram = classes.groupBy("gram").agg(F.count("*").alias("classes"), F.min("n").alias("fewest")).filter("classes > 1")
         of_gram = scratch.written(of_gram.filter("fewest = 1" if cover else "true").select("gram", "classes"), "suffix-grams")
         several_classes = scratch.written(join_keyed(classes, of_gram, "gram", "classes", classes.count()).select("gram", "ctx", "n", "classes", "rep.*"), "suffix-open")

@@ -157,3 +157,11 @@ def test_groups_have_all_occurrences(spark, most):
             assert any(where <= held for held in spans.values()), text
     covered = set().union(*spans.values()) if spans else set()
     assert covered == {x for where in places.values() if len(where) > 1 for x in where}
+
+
+def test_more_suffixes_than_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "KEYS_SENT", 0)
+    rows = corpus(6)[:90]
+    docs = spark.createDataFrame([(d, t, "x", 1, "k") for d, t in rows], SCHEMA)
+    got = suffix_dedup.suffix_dedup(docs, 40, gram=8).select("doc_id", "kept", "n_bytes", "n_removed", "n_spans").collect()
+    assert sorted(((r[0], bytes(r[1]), *r[2:]) for r in got), key=repr) == brute(rows, 40)
