@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import line_dedup, ngram_join, packing, quality, suffix_dedup
-from auditlake.llm.common import written
+from auditlake.llm.common import small_batches, written
 from auditlake.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _columns(docs: DataFrame) -> DataFrame:
+    """The columns of documents, handed to Python in small batches."""
+    small_batches(docs.sparkSession)
+    return docs.select(*COLUMNS)
+
+
 def _with_text(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*COLUMNS)
 
@@ -23,12 +29,12 @@ def _with_text(docs: DataFrame) -> DataFrame:
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.score(docs.select(*COLUMNS), labels).filter(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
+    return quality.score(_columns(docs), labels).filter(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that another document with a smaller id holds go."""
-    return _with_text(line_dedup.line_dedup(docs.select(*COLUMNS)))
+    return _with_text(line_dedup.line_dedup(_columns(docs)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Where some rows repeat an id or have none, rows are labelled by a number of their own, so that each counts by its text.
     """
-    docs = docs.select(*COLUMNS)
+    docs = _columns(docs)
     if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
         rows = docs.withColumn("row", F.col("doc_id"))
     else:
@@ -50,13 +56,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by a string of 400 bytes or of 51 words that starts elsewhere too go; a character cut in two goes whole."""
-    found = suffix_dedup.suffix_dedup(docs.select(*COLUMNS), least=400, words=51)
+    found = suffix_dedup.suffix_dedup(_columns(docs), least=400, words=51)
     return _with_text(found.withColumn("text", F.col("kept_text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 4096 tokens."""
-    return packing.pack(docs, tokenizer(), capacity=4096)
+    return packing.pack(_columns(docs), tokenizer(), capacity=4096)
 
 
 STAGES = [
