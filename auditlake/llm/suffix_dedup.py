@@ -101,7 +101,7 @@ class Bytes:
         # hashed once more, for least hashes have small high bits
         return np.searchsorted(offsets, first, side="right") - 1, place, first, last + self.least, mix(span_hash(prefix, place, place + self.gram))
 
-    def contexts(self, data: np.ndarray, first: np.ndarray, place: np.ndarray, stop: np.ndarray):
+    def contexts(self, data: np.ndarray, offsets: np.ndarray, first: np.ndarray, place: np.ndarray, stop: np.ndarray):
         """For each anchor what is left of it, from right to left, and what is right of it, in codes of `unit` bytes."""
         raw = data.tobytes()
         for a, p, b in zip(first.tolist(), place.tolist(), stop.tolist()):
@@ -154,8 +154,8 @@ class Words:
         tail = np.append(head[1:], len(window)) - 1
         return of[window[head]], starts[place[head]], starts[window[head]], ends[window[tail] + self.least - 1], mix(own[place[head]])
 
-    def contexts(self, data: np.ndarray, first: np.ndarray, place: np.ndarray, stop: np.ndarray):
-        starts, ends, _, _ = words_of(data, np.array([0, len(data)]), hashed=False)
+    def contexts(self, data: np.ndarray, offsets: np.ndarray, first: np.ndarray, place: np.ndarray, stop: np.ndarray):
+        starts, ends, _, _ = words_of(data, offsets, hashed=False)
         prefix = prefix_hash(data)
         # left: words with the white space after them, right: the anchor's word, then words with the white space before them
         left, own, right = self._codes(prefix, starts[:-1], starts[1:]), self._codes(prefix, starts, ends), self._codes(prefix, ends[:-1], ends[1:])
@@ -215,7 +215,7 @@ def _survey(batches, rule, bits: np.ndarray):
 
 
 def _held(batches):
-    """Slices of texts with their anchors: the slice, its bytes, and of each anchor in `held` its text's row, itself, and its context's first, place and stop."""
+    """Slices of texts with their anchors: the slice, its bytes and where texts begin in them, and of each anchor in `held` its text's row, itself, and its context's first, place and stop."""
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             data, offsets = text_buffers(part.column(2))
@@ -224,30 +224,29 @@ def _held(batches):
             anchors = lists.flatten()
             of = lambda name: np.asarray(anchors.field(name))  # noqa: E731, B023
             place = offsets[row] + of("pos")
-            yield part, data, row, anchors, place - of("lead"), place, place + of("tail")
+            yield part, (data, offsets), row, anchors, place - of("lead"), place, place + of("tail")
 
 
 def _survey_again(batches, rule):
     """The anchors by a rule with longer grams of the windows that the anchors in `held` have."""
-    for part, data, row, _, first, place, stop in _held(batches):
+    for part, (data, texts), row, _, first, place, stop in _held(batches):
         # contexts one after another, as if they were texts
         begin = first - np.concatenate([[0], np.cumsum(stop - first)])[:-1]
         offsets = np.concatenate([[0], np.cumsum(stop - first)])
         own = data[np.arange(offsets[-1]) + np.repeat(begin, stop - first)]
         of, gram, context, at, lead, tail = _anchor_rows(own, offsets, rule, None)
-        texts = text_buffers(part.column(2))[1][row]
         take = pa.array(row[of])
-        columns = [gram, context, part.column(0).take(take), part.column(1).take(take), at + begin[of] - texts[of], lead, tail]
+        columns = [gram, context, part.column(0).take(take), part.column(1).take(take), at + begin[of] - texts[row[of]], lead, tail]
         yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], _NAMES)
 
 
 def _contexts(batches, rule):
     """(gram, ctx, n, left, right) of each anchor in `held`."""
     names = ["gram", "ctx", "n", "left", "right"]
-    for _, data, _, anchors, first, place, stop in _held(batches):
+    for _, texts, _, anchors, first, place, stop in _held(batches):
         for at in range(0, len(first), 4096):
             some = slice(at, at + 4096)
-            lefts, rights = zip(*rule.contexts(data, first[some], place[some], stop[some]))
+            lefts, rights = zip(*rule.contexts(*texts, first[some], place[some], stop[some]))
             columns = [*(anchors.field(c).slice(at, 4096) for c in names[:3]), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
