@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup, warc
+from . import ann, bpe, exact_dedup, fill_middle, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup, toxicity, vector_codes, warc
 from .common import new_path, small_batches
 
 QUERIES: dict = {}
@@ -140,6 +140,26 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return fill_middle.fill_middle(docs).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query
+def op13_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 ORACLE_SQL["op10_warc_revisits"] = r"""
 WITH plain AS (
   SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages
@@ -210,3 +230,58 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, scale: int = 1024, rounds: int = 4) -> str:
+    """All rounds one after another; doubles hold these whole numbers exactly."""
+    nearest = """
+a{k} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(x) AS x,
+         min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'e': e}}) AS best
+  FROM part JOIN b{k} USING (p) GROUP BY vec_id, p
+)"""
+    update = """
+s{k} AS (
+  SELECT p, best.e AS e, i, floor(sum(x[i]) / count(*)) AS v FROM a{j}, unnest(range(1, len(x) + 1)) AS t(i) GROUP BY p, best.e, i
+), b{k} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.c, o.c) AS c FROM b{j} o LEFT JOIN (SELECT p, e, list(v ORDER BY i) AS c FROM s{k} GROUP BY p, e) m USING (p, e)
+)"""
+    steps = [nearest.format(k=0)] + [x for k in range(1, rounds + 1) for x in (update.format(k=k, j=k - 1), nearest.format(k=k))]
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) AS t(p)
+), b0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM part WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})
+), {", ".join(steps)}, whole AS (
+  SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id
+), books AS (
+  SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS h FROM (SELECT p, e, i, c[i] AS v FROM b{rounds}, unnest(range(1, len(c) + 1)) AS t(i))
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM whole JOIN kept USING (vec_id), books
+"""
+
+
+ORACLE_SQL["op11_vector_codes"] = _codes_sql()
+
+
+ORACLE_SQL["op12_fill_in_middle"] = """
+WITH seeded AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents
+), numbers AS (
+  SELECT doc_id, t, n, ('0x' || s[1:8])::UBIGINT AS h1, ('0x' || s[9:16])::UBIGINT AS h2, ('0x' || s[17:24])::UBIGINT AS h3, ('0x' || s[25:32])::UBIGINT AS h4 FROM seeded
+), placed AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS a, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+                        WHEN 'psm' THEN '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a)
+                        ELSE '<S>' || substring(t, b + 1) || '<P>' || substring(t, 1, a) || '<M>' || substring(t, a + 1, b - a) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM placed
+"""
