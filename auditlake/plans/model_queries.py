@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import dedup, graph, ml, sequence, stats
+from ..operators import crossfit, dedup, graph, ml, sequence, stats
 from ..sources.shared import written
 from . import adapters as A
 from .registry import query
@@ -159,21 +159,54 @@ def macro_metrics(spark, sf_dir):
     return found.select(*(F.round(c, 9).alias(c) for c in found.columns))
 
 
+def _stage_features(spark, sf_dir, size=1000):
+    """The labelled documents in stratified folds by source, with what each fold's model sees of them."""
+    d = A.labelled(spark, sf_dir).filter("quality IS NOT NULL")
+    folds = crossfit.stratified_group_folds(d, "source", "quality", 5, [42]).select("source", "fold")
+    x = F.concat(F.lit(fixed.PREDICATE_PREFIX), F.col("lang"), F.lit(fixed.CODE_DELIMITER), F.col("text"))
+    placed = written(d.join(folds, "source").select("doc_id", "quality", "fold", x.alias("x")), "placed")
+    return crossfit.stage_features(placed, "doc_id", "x", "quality", "fold", size)
+
+
 @query()
 def null_model(spark, sf_dir):
-    return ml.permuted(_scored(spark, sf_dir), "doc_id", "quality").select("doc_id", "quality")
+    """The control: trees fitted to labels dealt out anew among each fold's training rows, judged by true ones."""
+    return crossfit.null_check(_stage_features(spark, sf_dir), "doc_id", "quality").withColumn("balanced_accuracy", F.round("balanced_accuracy", 9))
 
 
 @query()
 def gbt_classifier(spark, sf_dir):
-    """Boosted trees on the domain features, trained on folds 2 to 5 of sources: their predictions for fold 1."""
+    """Boosted trees on n-gram weights and domain features: every labelled row scored by the model that its fold had no part in."""
+    judged = crossfit.out_of_fold(_stage_features(spark, sf_dir), "doc_id", "quality")
+    return judged.select("doc_id", "fold", F.round("score", 9).alias("score"), "predicted")
+
+
+@query()
+def gbt_fold_report(spark, sf_dir):
+    """One row a fold of the boosted trees' cross-validation, with the spread over folds and the pooled areas."""
+    found = crossfit.fold_report(crossfit.out_of_fold(_stage_features(spark, sf_dir), "doc_id", "quality"), "quality")
+    return found.withColumns({c: F.round(c, 9) for c, kind in found.dtypes if kind == "double"})
+
+
+#: Folds of groups (table h: grp, n0, n1) by seed; the folds of what is left over come one after another.
+_STRATIFIED = """seeds AS (SELECT unnest([42, 43, 44, 45, 46]) AS seed),
+    ranked AS (SELECT seed, grp, n0, n1, count(*) OVER (PARTITION BY seed, n0, n1) AS m, row_number() OVER (PARTITION BY seed, n0, n1 ORDER BY md5(seed || ':' || grp), grp::VARCHAR) AS r FROM h, seeds),
+    items AS (SELECT n0, n1, j, row_number() OVER (ORDER BY n0 + n1 DESC, n1 DESC, j) AS i FROM (SELECT n0, n1, count(*) % 5 AS m FROM h GROUP BY ALL), unnest(range(1, m + 1)) AS t(j)),
+    whole AS (SELECT sum(n0)::BIGINT AS w0, sum(n1)::BIGINT AS w1 FROM items),
+    dealt(i, n0, n1, j, fold, l0, l1) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], [0, 0, 0, 0, 0]::BIGINT[]
+      UNION ALL SELECT i, n0, n1, j, f, list_transform(l0, lambda x, p: x + CASE WHEN p = f THEN n0 ELSE 0 END), list_transform(l1, lambda x, p: x + CASE WHEN p = f THEN n1 ELSE 0 END)
+      FROM (SELECT x.i, x.n0, x.n1, x.j, l0, l1, list_sort(list_transform(range(1, 6), lambda f: {'c': l0[f] * x.n0 * w1 * w1 + l1[f] * x.n1 * w0 * w0, 'n': l0[f] + l1[f], 'f': f}))[1].f AS f FROM dealt d JOIN items x ON x.i = d.i + 1, whole)),
+    placed AS (SELECT seed, grp, (CASE WHEN r <= m - m % 5 THEN (r - 1) % 5 + 1 ELSE d.fold END)::INT AS fold FROM ranked k LEFT JOIN dealt d ON d.n0 = k.n0 AND d.n1 = k.n1 AND d.j = r - (m - m % 5) AND d.i > 0)"""
+
+
+@query(
+    f"""WITH RECURSIVE h AS (SELECT source AS grp, count(*) FILTER (WHERE quality = 0) AS n0, count(*) FILTER (WHERE quality = 1) AS n1 FROM documents JOIN labels USING (doc_id) GROUP BY source), {_STRATIFIED}
+    SELECT seed, grp AS source, fold FROM placed"""
+)
+def stratified_folds(spark, sf_dir):
+    """Whole sources in five folds that even out both classes, for five seeds."""
     d = A.labelled(spark, sf_dir).filter("quality IS NOT NULL")
-    folds = sequence.fold_of(d, "source", "quality", 5).select("source", "fold")
-    x = F.concat(F.lit(fixed.PREDICATE_PREFIX), F.col("lang"), F.lit(fixed.CODE_DELIMITER), F.col("text"))
-    rows = written(d.join(folds, "source").withColumn("x", x).select("doc_id", "quality", "fold", *ml.domain_features("x")), "gbt-rows")
-    features = [c for c in rows.columns if c not in ("doc_id", "quality", "fold")]
-    model = ml.gradient_boosting(rows.filter("fold <> 1"), features, "quality")
-    return model.transform(rows.filter("fold = 1")).select("doc_id", F.col("prediction").cast("int").alias("predicted"))
+    return crossfit.stratified_group_folds(d, "source", "quality", 5, [42, 43, 44, 45, 46])
 
 
 @query(
@@ -268,19 +301,34 @@ def extractor_outcomes(spark, sf_dir):
     return graph.sample_outcomes(*A.graphs(spark, sf_dir))
 
 
+_SEEDED = f"""WITH RECURSIVE {A.GRAPHS_SQL}, r AS (SELECT g.graph_id, any_value(is_complete) AS ok, count(f.edge_no) AS edges, count(f.edge_no) FILTER (WHERE invalid_at > created_at) AS live,
+        coalesce(bool_or(invalid_at > created_at AND source_type = 'UNTRUSTED_INPUT' AND NOT (fits AND guarded_target = target_var)), false) AS open,
+        arg_min(CASE WHEN sanitizer_type IS NULL THEN 'missing_sanitizer' ELSE 'wrong_sanitizer' END, edge_no) FILTER (WHERE source_type = 'UNTRUSTED_INPUT' AND (sanitizer_type IS NULL OR NOT (fits AND guarded_target = target_var))) AS kind
+      FROM g LEFT JOIN f ON f.graph_id = g.graph_id GROUP BY g.graph_id),
+    b AS (SELECT graph_id, CASE WHEN NOT ok THEN 'unsupported_syntax' WHEN edges = 0 THEN 'missing_source' WHEN live > 0 AND NOT open THEN 'guarded_or_safe' ELSE coalesce(kind, 'graph_high_risk') END AS bucket FROM r),
+    y AS (SELECT o_custkey AS grp, bucket, (o_totalprice > 150000)::INT AS y FROM b JOIN orders ON o_orderkey = graph_id),
+    h AS (SELECT grp, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1 FROM y GROUP BY grp), {_STRATIFIED},
+    x AS (SELECT seed, fold, bucket, y FROM y JOIN placed USING (grp)), own AS (SELECT seed, fold, bucket, sum(y) AS p, count(*) AS n FROM x GROUP BY ALL),
+    rate AS (SELECT seed, fold, bucket, (sum(p) OVER (PARTITION BY seed, bucket) - p + 1)::DOUBLE / (sum(n) OVER (PARTITION BY seed, bucket) - n + 2)::DOUBLE AS score FROM own),
+    s AS (SELECT seed, fold, y, score FROM x JOIN rate USING (seed, fold, bucket)),"""
+
+
 @query(
-    f"""{_RISK}, s AS (SELECT (graph_id % 3 = 0)::INT AS y, probability AS score FROM o), q AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM s),
-    a AS (SELECT count(*) AS n, (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS auc FROM q),
-    k AS (SELECT score, count(*) FILTER (WHERE y = 1) AS p, count(*) AS k FROM s GROUP BY score), c AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(k) OVER (ORDER BY score DESC) AS al FROM k),
-    t AS (SELECT sum(p * tp / al) / sum(p) AS ap FROM c)
-    SELECT unnest(['roc_auc', 'average_precision']) AS metric, n, 5::BIGINT AS seeds, unnest([round(auc, 9)::DOUBLE, round(ap, 9)::DOUBLE]) AS mean, unnest([round(auc, 9)::DOUBLE, round(ap, 9)::DOUBLE]) AS median,
-      unnest([round(auc, 9)::DOUBLE, round(ap, 9)::DOUBLE]) AS low, unnest([round(auc, 9)::DOUBLE, round(ap, 9)::DOUBLE]) AS high FROM a, t"""
+    f"""{_SEEDED} q AS (SELECT seed, y, rank() OVER (PARTITION BY seed ORDER BY score) + (count(*) OVER (PARTITION BY seed, score) - 1) / 2.0 AS r FROM s),
+    a AS (SELECT seed, count(*) AS n, (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS roc_auc FROM q GROUP BY seed),
+    k AS (SELECT seed, score, sum(y) AS p, count(*) AS k FROM s GROUP BY seed, score), c AS (SELECT seed, p, sum(p) OVER w AS tp, sum(k) OVER w AS al FROM k WINDOW w AS (PARTITION BY seed ORDER BY score DESC)),
+    t AS (SELECT seed, sum(p * tp / al) / sum(p) AS average_precision FROM c GROUP BY seed),
+    acc AS (SELECT seed, fold, avg((y = (score >= 0.5)::INT)::INT) AS v FROM s GROUP BY ALL), dev AS (SELECT seed, stddev_pop(v) AS accuracy_std FROM acc GROUP BY seed),
+    l AS (SELECT n, unnest(['roc_auc', 'average_precision', 'accuracy_std']) AS metric, unnest([round(roc_auc, 9)::DOUBLE, round(average_precision, 9)::DOUBLE, round(accuracy_std, 9)::DOUBLE]) AS v FROM a JOIN t USING (seed) JOIN dev USING (seed))
+    SELECT metric, any_value(n) AS n, count(*) AS seeds, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std, round(quantile_cont(v, 0.5), 9) AS median, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high FROM l GROUP BY metric"""
 )
 def seeded_graph_report(spark, sf_dir):
-    """Mean, median and percentile interval of the graph filter's metrics over five seeds of folds."""
-    rows = graph.sample_outcomes(*A.graphs(spark, sf_dir)).select("graph_id", (F.col("graph_id") % 3 == 0).cast("int").alias("y"), "probability")
-    found = ml.seeded_report(rows, "graph_id", "y", "probability", 5, [42, 43, 44, 45, 46])
-    long = found.select("n", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.round(m, 9).alias("value")) for m in ("roc_auc", "average_precision")))).alias("r")).select("n", "r.*")
-    means = long.groupBy("metric").agg(F.first("n").alias("n"), F.count("*").alias("seeds"), F.avg("value").alias("mean"))
+    """Mean, deviation, median and percentile interval, over five seeds of stratified customer folds, of the acceptance rates of graph buckets as the other folds have them."""
+    orders = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("graph_id"), F.col("o_custkey").alias("grp"), (F.col("o_totalprice") > 150000).cast("int").alias("y"))
+    rows = written(graph.extraction_buckets(*A.graphs(spark, sf_dir)).select("graph_id", "bucket").join(orders, "graph_id"), "graph-buckets")
+    found = ml.seeded_report(rows, "grp", "y", "bucket", 5, [42, 43, 44, 45, 46])
+    names = ("roc_auc", "average_precision", "accuracy_std")
+    long = found.select("n", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.round(m, 9).alias("value")) for m in names))).alias("r")).select("n", "r.*")
+    means = long.groupBy("metric").agg(F.first("n").alias("n"), F.count("*").alias("seeds"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     both = means.join(stats.percentile_interval(long, "value", "metric"), "metric")
-    return both.withColumns({c: F.round(c, 9) for c in ("mean", "median", "low", "high")})
+    return both.withColumns({c: F.round(c, 9) for c in ("mean", "std", "median", "low", "high")})

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A new path under spark.checkpoint.dir (the warehouse where that is unset)."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, written under spark.checkpoint.dir (the warehouse where that is unset) and read again; its lineage ends there."""
+    """df, written under the shared folder and read again; its lineage ends there."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
