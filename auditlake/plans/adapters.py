@@ -51,10 +51,14 @@ corpus AS (
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts_of(table(spark, sf_dir, "events"))
+
+
+def attempts_of(events: DataFrame) -> DataFrame:
     """Attempts with verifier and judge fields, one for each event."""
     k = F.get_json_object("props", "$.k").cast("long")
     kind = F.col("event_type")
-    e = table(spark, sf_dir, "events").withColumn("k", k)
+    e = events.withColumn("k", k)
     called = kind.isin("purchase", "view")
     parsed = called & (F.col("k") % 9 != 0)
     reason = F.when(kind == "error", F.element_at(F.array(*map(F.lit, ["anchors_no_match", "anchors_too_few_after_normalization", "mechanism_evidence_failed", "verifier_failed"])), (F.col("k") % 4 + 1).cast("int")))

@@ -23,3 +23,4 @@ def query(sql: str | None = None):
 
 
 from . import compare_queries, model_queries, review_queries, rule_queries, telemetry_queries, text_queries  # noqa: E402, F401
+from . import stream_queries  # noqa: E402, F401
