@@ -86,21 +86,24 @@ class Filters:
 
 
 def _merge(batches, span: int):
-    """Both filters of the blocks of a partition; yields the second, a bitmap for each block that has any bit."""
-    once: dict[int, np.ndarray] = {}
-    twice: dict[int, np.ndarray] = {}
+    """Both filters, block after block as they come sorted; yields the second as a bitmap, for each block that has any bit. Memory is that of one block."""
+    block, once, twice = None, np.zeros(span, bool), np.zeros(span, bool)
+
+    def packed():
+        if block is not None and twice.any():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bits": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
+
     for batch in batches:
         for b, first, second in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if b not in once:
-                once[b], twice[b] = np.zeros(span, bool), np.zeros(span, bool)
+            if b != block:
+                yield from packed()
+                block = b
+                once[:] = twice[:] = False
             bits = np.frombuffer(first, "<u4")
-            seen = once[b][bits]
-            twice[b][bits[seen]] = True
-            once[b][bits] = True
-            twice[b][np.frombuffer(second, "<u4")] = True
-    for b, bits in twice.items():
-        if bits.any():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+            twice[bits[once[bits]]] = True
+            once[bits] = True
+            twice[np.frombuffer(second, "<u4")] = True
+    yield from packed()
 
 
 def _column(found: list[bytes]) -> np.ndarray:
@@ -142,7 +145,7 @@ def suspects(source: DataFrame, least: int = LEAST_CHARS, broadcast_bytes: int =
             yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int64()), "once": pa.array([once], pa.binary()), "again": pa.array([again], pa.binary())})
 
     parts = source.mapInArrow(set_bits, "block long, once binary, again binary")
-    twice = written(parts.repartition("block").mapInArrow(lambda batches: _merge(batches, span), "block long, bits binary"), "lines-twice")
+    twice = written(parts.repartition("block").sortWithinPartitions("block").mapInArrow(lambda batches: _merge(batches, span), "block long, bits binary"), "lines-twice")
 
     def probe(shared):
         def run(batches):
