@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
 
 from ..functions import fixed
 from ..functions import text as T
@@ -63,67 +59,6 @@ def fold_of(rows: DataFrame, group: str, label: str, k: int) -> DataFrame:
     return up.withColumn("fold", ((F.col("__n") - F.col("__place")) % k + 1).cast("int")).drop("__place", "__n")
 
 
-def _in_order(units: DataFrame, size: str, order: list, by: str, rule: Callable, numbered_as: str | None = None) -> DataFrame:
-    """units by a rule that goes over each group in order: rule() makes a function of sizes, which gives a number, or None for a row that goes.
-
-    Sequential within a group by its nature, so a group is one task; but it streams
-    in sorted batches and holds no more than the rule's own state.
-    """
-    key, weight = units.columns.index(by), units.columns.index(size)
-
-    def run(batches):
-        last, own = None, None
-        for batch in batches:
-            found = []
-            for k, n in zip(batch.column(key).to_pylist(), batch.column(weight).to_pylist()):
-                if own is None or k != last:
-                    last, own = k, rule()
-                found.append(own(n))
-            kept = [i for i, x in enumerate(found) if x is not None]
-            part = batch.take(pa.array(kept, pa.int64()))
-            numbers = [pa.array([found[i] for i in kept], pa.int32())] if numbered_as else []
-            yield pa.RecordBatch.from_arrays([*part.columns, *numbers], names=[*batch.schema.names, *([numbered_as] if numbered_as else [])])
-
-    schema = StructType([*units.schema.fields])
-    return units.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema.add(numbered_as, IntegerType()) if numbered_as else schema)
-
-
-def budget_batches(units: DataFrame, size: str, order: list, max_size: int, max_units: int, by: str) -> DataFrame:
-    """units with batch: next-fit in order under both budgets; a unit above the size budget stands alone."""
-
-    def rule():
-        batch, count, total = 0, 0, 0
-
-        def number(n):
-            nonlocal batch, count, total
-            if count and (count >= max_units or total + n > max_size):
-                batch, count, total = batch + 1, 0, 0
-            count, total = count + 1, total + n
-            return batch
-
-        return number
-
-    return _in_order(units, size, order, by, rule, "batch")
-
-
-def budget_selection(units: DataFrame, size: str, order: list, max_size: int, max_units: int, by: str) -> DataFrame:
-    """The units that a greedy pass in order takes: those that do not fit are passed over, but for the first of all."""
-
-    def rule():
-        count, total = 0, 0
-
-        def take(n):
-            nonlocal count, total
-            if count < max_units and (total + n <= max_size or not count):
-                count, total = count + 1, total + n
-                return 1
-            return None
-
-        return take
-
-    return _in_order(units, size, order, by, rule)
-
-
 def hashed_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows by a seeded hash of their key: uniform, and the same on every run."""
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)

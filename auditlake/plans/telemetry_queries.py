@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gate, sequence, telemetry
+from ..operators import budgets, gate, sequence, telemetry
 from . import adapters as A
 from .registry import query
 
@@ -215,7 +215,7 @@ _UNITS_SQL = "u AS (SELECT source, doc_id, length(text)::BIGINT AS size, row_num
 )
 def budget_batches(spark, sf_dir):
     units = A.table(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").cast("long").alias("size"))
-    return sequence.budget_batches(units, "size", ["size", "doc_id"], 20_000, 10, "source")
+    return budgets.budget_batches(units, "size", ["size", "doc_id"], 20_000, 10, "source")
 
 
 @query(
@@ -225,7 +225,7 @@ def budget_batches(spark, sf_dir):
 )
 def budget_selection(spark, sf_dir):
     units = A.table(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").cast("long").alias("size"))
-    return sequence.budget_selection(units, "size", ["size", "doc_id"], 20_000, 10, "source")
+    return budgets.budget_selection(units, "size", ["size", "doc_id"], 20_000, 10, "source")
 
 
 @query(

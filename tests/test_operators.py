@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import parsing
 from auditlake.functions import text as T
-from auditlake.operators import compare, dedup, gate, graph, ml, sequence, stats, telemetry
+from auditlake.operators import budgets, compare, dedup, gate, graph, ml, sequence, stats, telemetry
 
 
 def one(spark, column, schema="x int", row=(1,)):
@@ -249,10 +249,10 @@ def test_nearest_rank(spark):
 def test_budgets(spark):
     sizes = [5, 30, 4, 4, 4, 50, 1]
     units = spark.createDataFrame([(1, i, s) for i, s in enumerate(sizes)], "g int, i int, s int")
-    got = {r["i"]: r["batch"] for r in sequence.budget_batches(units, "s", ["i"], 12, 3, "g").collect()}
+    got = {r["i"]: r["batch"] for r in budgets.budget_batches(units, "s", ["i"], 12, 3, "g").collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 2, 4: 2, 5: 3, 6: 4}
-    assert sorted(r["i"] for r in sequence.budget_selection(units, "s", ["i"], 12, 3, "g").collect()) == [0, 2, 6]
-    assert sorted(r["i"] for r in sequence.budget_selection(units.filter("i in (1, 2)"), "s", ["i"], 12, 3, "g").collect()) == [1]
+    assert sorted(r["i"] for r in budgets.budget_selection(units, "s", ["i"], 12, 3, "g").collect()) == [0, 2, 6]
+    assert sorted(r["i"] for r in budgets.budget_selection(units.filter("i in (1, 2)"), "s", ["i"], 12, 3, "g").collect()) == [1]
 
 
 def test_gate_with_attempts(spark):
