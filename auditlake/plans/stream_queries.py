@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import fresh_path
 from ..streaming import stateful
+from ..streaming.versions import KeysOnce, LatestStatus
 from . import adapters as A
 from .registry import ORACLE_SQL, query
 
@@ -42,3 +43,28 @@ def stream_duplicate_tiers(spark, sf_dir):
     rows = d.select(F.explode(F.array_compact(kinds)).alias("r")).select("r.*")
     found = stateful.tier_evidence(rows, "doc_id", "text", "known", 0.85)
     return _result(spark, found, "tiers", stateful.settled).select(F.col("row_id").cast("long").alias("doc_id"), "tier")
+
+
+def _epochs(spark, sf_dir):
+    """The events in four batches, the third of which runs twice."""
+    e = A.table(spark, sf_dir, "events")
+    return [(k, e.filter(F.col("event_id") % 4 == k)) for k in (0, 1, 2, 2, 3)]
+
+
+@query("SELECT user_id, min(event_id % 4)::INT AS epoch FROM events GROUP BY user_id")
+def keys_once_sink(spark, sf_dir):
+    """The users of the events, each written once, by the first batch that has it."""
+    out = fresh_path(spark, "keys-once")
+    sink = KeysOnce(spark, out, "user_id", rows_a_bucket=100_000, every=2)
+    for epoch, batch in _epochs(spark, sf_dir):
+        sink(batch.select("user_id"), epoch)
+    return spark.read.parquet(out).select("user_id", F.col("epoch").cast("int").alias("epoch"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def latest_status_sink(spark, sf_dir):
+    """Each user's latest event, upserted batch after batch."""
+    sink = LatestStatus(spark, fresh_path(spark, "latest-status"), "user_id", "event_id", rows_a_bucket=100_000, every=2)
+    for epoch, batch in _epochs(spark, sf_dir):
+        sink(batch.select("user_id", "event_id", "event_type"), epoch)
+    return sink.statuses().select("user_id", "event_id", "event_type")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from auditlake.sources import io
 from auditlake.streaming import jobs
+from auditlake.streaming.versions import KeysOnce, LatestStatus
 
 
 def _lines(path, rows):
@@ -99,13 +100,13 @@ def test_streams(spark, tmp_path):
     jobs.started(jobs.stop_rule_state(tail(), "k", 100, 4, 1000, 3, 0.0), "stops", str(tmp_path / "c2"), "update").awaitTermination(90)
     assert spark.table("stops").agg(F.max("calls")).first()[0] == 4
 
-    query = tail().writeStream.foreachBatch(jobs.append_new(spark, str(tmp_path / "out"), "name")).option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
+    query = tail().writeStream.foreachBatch(KeysOnce(spark, str(tmp_path / "out"), "name")).option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     query.awaitTermination(90)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
-    query = tail().writeStream.foreachBatch(jobs.latest_status(str(tmp_path / "status"), "name", "id")).option("checkpointLocation", str(tmp_path / "c4")).trigger(availableNow=True).start()
+    query = tail().writeStream.foreachBatch(LatestStatus(spark, str(tmp_path / "status"), "name", "id")).option("checkpointLocation", str(tmp_path / "c4")).trigger(availableNow=True).start()
     query.awaitTermination(90)
-    assert {r["id"] for r in spark.read.parquet(str(tmp_path / "status" / "v=1")).collect()} == {9, 10, 11}
+    assert {r["id"] for r in LatestStatus(spark, str(tmp_path / "status"), "name", "id").statuses().collect()} == {9, 10, 11}
 
     jobs.started(jobs.stage_windows(tail(), "ts", "k", "tokens"), "windows", str(tmp_path / "c5")).awaitTermination(90)
     assert spark.table("windows").count() >= 5
@@ -151,18 +152,6 @@ def test_markdown_shows_all_rows_or_says_what_it_leaves_out(spark):
     assert io.markdown("t", rows, most=3).endswith("1497 rows more\n")
 
 
-def test_batches_that_run_again(spark, tmp_path):
-    batch = lambda *rows: spark.createDataFrame(rows, "name string, id int")
-    write = jobs.append_new(spark, str(tmp_path / "out"), "name")
-    for epoch, rows in [(0, [("a", 1), ("b", 1)]), (1, [("a", 2), ("c", 2)]), (1, [("a", 2), ("c", 2)])]:
-        write(batch(*rows), epoch)
-    assert sorted(r["name"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
-    status = jobs.latest_status(str(tmp_path / "status"), "name", "id")
-    for epoch, rows in [(0, [("a", 1), ("b", 3)]), (1, [("a", 2), ("a", 4)]), (1, [("a", 2), ("a", 4)])]:
-        status(batch(*rows), epoch)
-    assert {r["name"]: r["id"] for r in jobs.statuses(spark, str(tmp_path / "status"), "name", "id").collect()} == {"a": 4, "b": 3}
-
-
 def test_logs_spans_and_manifests(spark, tmp_path):
     a, b = spark.createDataFrame([(1, "x")], "a int, b string"), spark.createDataFrame([(2, 0.5)], "a int, c double")
     assert [tuple(r) for r in io.union_logs(a, b).orderBy("a").collect()] == [(1, "x", None), (2, None, 0.5)]
