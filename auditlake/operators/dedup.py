@@ -46,10 +46,9 @@ def duplicate_tiers(rows: DataFrame, id_col: str, text: str, known: DataFrame, k
     marked = rows.withColumn("__e", F.sha2(F.col(text), 256)).withColumn("__n", F.sha2(norm(text), 256))
     marked = written(marked.join(exact, "__e", "left").join(same, "__n", "left"), "tiers")
     # one row a normalised text, known ones and such as no tier has taken yet
-    open_texts = marked.filter("__exact IS NULL AND __same IS NULL").select(F.concat(F.lit("r"), "__n").alias("id"), norm(text).alias("t"))
-    known_texts = seen.select(F.concat(F.lit("k"), F.sha2(norm("__t"), 256)).alias("id"), norm("__t").alias("t"))
-    pairs = shingle_pairs(known_texts.unionByName(open_texts), "id", "t", threshold)
-    near = pairs.filter("substring(a, 1, 1) = 'k' AND substring(b, 1, 1) = 'r'").select(F.substring("b", 2, 64).alias("__n")).distinct().withColumn("__near", F.lit(True))
+    open_texts = marked.filter("__exact IS NULL AND __same IS NULL").select(F.col("__n").alias("id"), norm(text).alias("t"))
+    known_texts = seen.select(F.sha2(norm("__t"), 256).alias("id"), norm("__t").alias("t"))
+    near = shingle_matches(open_texts, known_texts, "id", "t", threshold).select(F.col("a").alias("__n")).distinct().withColumn("__near", F.lit(True))
     tier = F.when(F.col("__exact"), "exact").when(F.col("__same"), "normalized").when(F.col("__near"), "near")
     return marked.join(near, "__n", "left").select(*rows.columns, tier.alias("tier"))
 
@@ -58,6 +57,20 @@ def unseen(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
+def _shingle_sets(rows: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
+    """(id, s, n): the hashed shingles of each distinct text, under the smallest of its ids."""
+    texts = rows.groupBy(F.col(text).alias("t")).agg(F.min(id_col).alias("id"))
+    hashed = F.array_distinct(F.transform(T.word_shingles("t", k), lambda g: F.xxhash64(g)))
+    return texts.select("id", hashed.alias("s")).select("id", "s", F.size("s").alias("n")).filter("n > 0")
+
+
+def _alike(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of candidate pairs (id, id2) whose sets are more alike than threshold."""
+    full = pairs.join(left.select("id", "s", "n"), "id").join(right.select(F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("n").alias("n2")), "id2")
+    both = F.size(F.array_intersect("s", "s2"))
+    return full.select(F.col("id").alias("a"), F.col("id2").alias("b"), (both / (F.col("n") + F.col("n2") - both)).alias("jaccard")).filter(f"jaccard > {threshold}")
+
+
 def shingle_pairs(rows: DataFrame, id_col: str, text: str, threshold: float = 0.85, k: int = 5) -> DataFrame:
     """(a, b, jaccard) of rows whose shingle sets are more alike than threshold; equal texts are one, named by the smallest id.
 
@@ -65,9 +78,7 @@ def shingle_pairs(rows: DataFrame, id_col: str, text: str, threshold: float = 0.
     share one with every set that is alike enough. Shingles are 64-bit hashes; one
     that more than POSTINGS rows have is spread over as many parts as it needs.
     """
-    texts = rows.groupBy(F.col(text).alias("t")).agg(F.min(id_col).alias("id"))
-    hashed = F.array_distinct(F.transform(T.word_shingles("t", k), lambda g: F.xxhash64(g)))
-    sets = written(texts.select("id", hashed.alias("s")).select("id", "s", F.size("s").alias("n")).filter("n > 0"), "shingle-sets")
+    sets = written(_shingle_sets(rows, id_col, text, k), "shingle-sets")
     long = sets.select("id", "n", F.explode("s").alias("g"))
     frequency = long.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
     rare = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
@@ -78,9 +89,29 @@ def shingle_pairs(rows: DataFrame, id_col: str, text: str, threshold: float = 0.
     left = prefix.select("id", "n", "g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     right = prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "g", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
     pairs = left.join(right, ["g", "part"]).filter(f"id < id2 AND least(n, n2) >= {threshold} * greatest(n, n2)").select("id", "id2").distinct()
-    full = pairs.join(sets.select("id", "s", "n"), "id").join(sets.select(F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("n").alias("n2")), "id2")
-    both = F.size(F.array_intersect("s", "s2"))
-    return full.select(F.col("id").alias("a"), F.col("id2").alias("b"), (both / (F.col("n") + F.col("n2") - both)).alias("jaccard")).filter(f"jaccard > {threshold}")
+    return _alike(pairs, sets, sets, threshold)
+
+
+def shingle_matches(rows: DataFrame, known: DataFrame, id_col: str, text: str, threshold: float = 0.85, k: int = 5) -> DataFrame:
+    """(a, b, jaccard) of a row and a known text whose shingle sets are more alike than threshold; equal texts of a side are one.
+
+    As `shingle_pairs`, but candidates are of one row and one known text only: a shingle
+    that one side alone has leads nowhere, however often it stands there, and no pair
+    within a side is made.
+    """
+    sides = [written(_shingle_sets(x, id_col, text, k).withColumn("known", F.lit(is_known)), "shingle-sets") for x, is_known in ((rows, False), (known, True))]
+    sets = sides[0].unionByName(sides[1])
+    long = sets.select("id", "n", "known", F.explode("s").alias("g"))
+    frequency = long.groupBy("g").agg(F.count_if(F.col("known")).alias("dk"), F.count_if(~F.col("known")).alias("dr")).filter("dk > 0 AND dr > 0")
+    rare = F.row_number().over(Window.partitionBy("known", "id").orderBy("df", "g"))
+    ranked = long.join(frequency, "g", "left").withColumn("df", F.coalesce(F.col("dk") * F.col("dr"), F.lit(0))).withColumn("r", rare)
+    prefix = written(ranked.filter(f"df > 0 AND r <= n - ceil(n * {threshold}) + 1").select("id", "n", "known", "g", "dk"), "shingle-prefixes")
+    # the rows of a shingle meet its known texts in as many parts as these need
+    parts = F.ceil(F.col("dk") / F.lit(POSTINGS)).cast("int")
+    left = prefix.filter("NOT known").select("id", "n", "g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = prefix.filter("known").select(F.col("id").alias("id2"), F.col("n").alias("n2"), "g", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    pairs = left.join(right, ["g", "part"]).filter(f"least(n, n2) >= {threshold} * greatest(n, n2)").select("id", "id2").distinct()
+    return _alike(pairs, *sides, threshold)
 
 
 def bands_for(n: int, threshold: float) -> tuple[int, int]:
