@@ -36,6 +36,8 @@ WORDS, PERCENT = 5, 80
 SKETCH, SKETCH_PARTS = 1 << 18, 16
 #: Signatures for which one reduce task is planned.
 TASK_SIGNATURES = 1_500_000
+#: Reduce partitions at most; with more tasks than that, a partition's tasks come sorted and are worked off one after another.
+MOST_PARTITIONS = 1 << 14
 #: Members of a signature that one task pairs with as many others.
 CHUNK = 2048
 #: Nearest partners that a set is verified against before all that is still apart is paired.
@@ -246,10 +248,9 @@ def _add_up(batches):
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), _binary([counts.astype("<i8").tobytes()])], ["part", "counts"])
 
 
-def _emit(batches, words: int, percent: int, keys: list[int], counts: np.ndarray):
+def _emit(batches, words: int, percent: int, keys: list[int], tasks: int, counts: np.ndarray):
     """Packed signatures: for each reduce task their low 48 bits, the sets they come from with flags, and those sets' nodes and sizes."""
     cost = lambda sig: counts[_slot(sig)]
-    tasks = len(keys)
     for batch in batches:
         for big in slices(batch, "text"):
             for at in range(0, len(big), 1 << 14):
@@ -270,40 +271,62 @@ def _emit(batches, words: int, percent: int, keys: list[int], counts: np.ndarray
                 task = (((sig >> _U(32)) * _U(tasks)) >> _U(32)).astype(np.int64)
                 order = np.argsort(task * len(n) + of, kind="stable")
                 sig, of, flag, task = sig[order], of[order], flag[order], task[order]
-                ends = np.searchsorted(task, np.arange(tasks + 1))
+                met, starts = np.unique(task, return_index=True)
                 rows = []
-                for t in range(tasks):
-                    a, b = int(ends[t]), int(ends[t + 1])
-                    if a < b:
-                        used, place = np.unique(of[a:b], return_inverse=True)
-                        low = sig[a:b]
-                        rows.append((
-                            keys[t], t, (low & _U(0xFFFFFFFF)).astype("<u4").tobytes() + ((low >> _U(32)) & _U(0xFFFF)).astype("<u2").tobytes(),
-                            ((place << 2) | flag[a:b]).astype("<u2").tobytes(), nodes[used].tobytes() + n[used].astype("<u4").tobytes(),
-                        ))
+                for t, a, b in zip(met.tolist(), starts.tolist(), np.append(starts[1:], len(task)).tolist()):
+                    used, place = np.unique(of[a:b], return_inverse=True)
+                    low = sig[a:b]
+                    rows.append((
+                        keys[t * len(keys) // tasks], t, (low & _U(0xFFFFFFFF)).astype("<u4").tobytes() + ((low >> _U(32)) & _U(0xFFFF)).astype("<u2").tobytes(),
+                        ((place << 2) | flag[a:b]).astype("<u2").tobytes(), nodes[used].tobytes() + n[used].astype("<u4").tobytes(),
+                    ))
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(_binary(list(c)) for c in columns[2:])], ["key", "task", "sigs", "sets", "nodes"])
 
 
-def _runs(batches):
-    """(sig, node, n, flag, hub) of all signatures that two sets or more have and that one of them probes and one indexes."""
-    sigs, refs, flags, nodes, sizes, base = [], [], [], [], [], 0
+class _Gathered:
+    """The signatures of one task or more, unpacked as they come."""
+
+    def __init__(self):
+        self.sigs, self.refs, self.flags, self.nodes, self.sizes, self.base = [], [], [], [], [], 0
+
+    def add(self, t: int, packed: bytes, places: bytes, held: bytes) -> None:
+        count = len(places) // 2
+        low, high = np.frombuffer(packed, "<u4", count), np.frombuffer(packed, "<u2", count, 4 * count)
+        place = np.frombuffer(places, "<u2")
+        own = len(held) // 12
+        # a task's number takes 16 bits beside the 48 that are sent; of more tasks, a scrambled one takes all 64
+        above = np.int64(t) << 48 if t < 1 << 15 else mix(np.array([t], np.uint64)).view(np.int64)[0]
+        self.sigs.append(above ^ ((high.astype(np.int64) << 32) | low))
+        self.refs.append((place >> 2).astype(np.int32) + np.int32(self.base))
+        self.flags.append((place & 3).astype(np.uint8))
+        self.nodes.append(np.frombuffer(held, "<i8", own))
+        self.sizes.append(np.frombuffer(held, "<u4", own, 8 * own))
+        self.base += own
+
+
+def _runs(batches, by_task: bool = False):
+    """(sig, node, n, flag, hub) of all signatures that two sets or more have and that one of them probes and one indexes.
+
+    by_task: rows come sorted by task, and each task is worked off before the next.
+    """
+    own, last = _Gathered(), None
     for batch in batches:
-        for t, packed, places, held in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
-            count = len(places) // 2
-            low, high = np.frombuffer(packed, "<u4", count), np.frombuffer(packed, "<u2", count, 4 * count)
-            place = np.frombuffer(places, "<u2")
-            own = len(held) // 12
-            sigs.append((np.int64(t) << 48) | (high.astype(np.int64) << 32) | low)
-            refs.append((place >> 2).astype(np.int32) + np.int32(base))
-            flags.append((place & 3).astype(np.uint8))
-            nodes.append(np.frombuffer(held, "<i8", own))
-            sizes.append(np.frombuffer(held, "<u4", own, 8 * own))
-            base += own
+        for row in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+            if by_task and last is not None and row[0] != last:
+                yield from _runs_of(own)
+                own = _Gathered()
+            last = row[0]
+            own.add(*row)
+    yield from _runs_of(own)
+
+
+def _runs_of(own: _Gathered):
+    sigs, refs, flags, nodes, sizes = own.sigs, own.refs, own.flags, own.nodes, own.sizes
     if not sigs:
         return
     sig, ref, flag = np.concatenate(sigs), np.concatenate(refs), np.concatenate(flags)
-    del sigs, refs, flags
+    own.sigs = own.refs = own.flags = sigs = refs = flags = None
     order = np.argsort(sig)
     ranked = sig[order]
     same = ranked[1:] == ranked[:-1]
@@ -430,7 +453,7 @@ def _pairs(batches, percent: int, nearest: int = 0):
 
 
 def jaccard_components(
-    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", task_signatures: int = TASK_SIGNATURES
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", task_signatures: int = TASK_SIGNATURES, most_partitions: int = MOST_PARTITIONS
 ) -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id (the smallest id reachable by links, its own included).
 
@@ -455,12 +478,15 @@ def jaccard_components(
         counts[r["part"]] = np.frombuffer(bytes(r["counts"]), "<i8")
     shared = spark.sparkContext.broadcast(counts.reshape(-1))
     n_rows, n_shingles = thin.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    tasks = max(1, min(1 << 14, -(-int(n_shingles * 0.6) // task_signatures)))
+    tasks = max(1, -(-int(n_shingles * 0.6) // task_signatures))
+    partitions = min(tasks, most_partitions)
 
     keyed = source.filter("doc_id IS NOT NULL")
-    keys = even_keys(spark, tasks)
-    packed = keyed.mapInArrow(lambda b: _emit(b, words, percent, keys, shared.value), "key int, task int, sigs binary, sets binary, nodes binary")
-    runs = written(packed.repartition(tasks, "key").mapInArrow(_runs, "sig long, node long, n long, flag int, hub long, hub_n long"), "ngram-runs")
+    keys = even_keys(spark, partitions)
+    packed = keyed.mapInArrow(lambda b: _emit(b, words, percent, keys, tasks, shared.value), "key int, task int, sigs binary, sets binary, nodes binary")
+    packed, by_task = packed.repartition(partitions, "key"), partitions < tasks
+    packed = packed.sortWithinPartitions("task") if by_task else packed
+    runs = written(packed.mapInArrow(lambda b: _runs(b, by_task), "sig long, node long, n long, flag int, hub long, hub_n long"), "ngram-runs")
 
     known = thin.filter("doc_id IS NOT NULL AND n > 0")
     sketched = survey.filter("kind = 0 AND doc_id IS NOT NULL AND n > 0").groupBy("node").agg(

@@ -68,6 +68,29 @@ def test_as_brute_force(spark, seed):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
 
 
+@pytest.mark.parametrize("tasks", [300, 100_000])
+def test_more_tasks_than_partitions(spark, tasks):
+    """Tasks without a cap share a few partitions and are worked off one after another; components are the same."""
+    rows = corpus(3)
+    docs = spark.createDataFrame([(d, t, 0, 0, 0) for d, t in rows], SCHEMA)
+    most = sum(len(shingles(t)) for _, t in rows)
+    got = ngram_join.jaccard_components(docs, task_signatures=max(1, int(most * 0.6 / tasks)), most_partitions=3).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+
+
+def test_task_numbers_of_any_size():
+    """Two rows with one signature meet in a task beyond 2**15 too, and others do not."""
+    low = np.array([5, 9], "<u4").tobytes() + np.array([1, 1], "<u2").tobytes()
+    both = np.array([(0 << 2) | 1, (0 << 2) | 3], "<u2").tobytes()
+    held = [np.array([n], "<i8").tobytes() + np.array([7], "<u4").tobytes() for n in (11, 12)]
+    for t in (3, 40_000, 5_000_000):
+        rows = [(0, t, low, np.array([3, 3], "<u2").tobytes(), h) for h in held] + [(0, t + 1, low, both, held[0])]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["key", "task", "sigs", "sets", "nodes"])
+        for by_task in (False, True):
+            found = pa.Table.from_batches(list(ngram_join._runs([batch], by_task))).to_pydict()
+            assert len(set(found["sig"])) == 2 and sorted(found["node"]) == [11, 11, 12, 12]
+
+
 def test_pigeonhole_never_misses():
     """Sets that reach the similarity share a signature that one indexes and the other probes, whatever the costs."""
     rng = np.random.default_rng(7)
