@@ -444,6 +444,16 @@ def _whole(found: DataFrame, several: DataFrame, n_found: int, cover: bool) -> D
     return whole.selectExpr("gram", "CAST(NULL AS long) AS repeat", "key", "doc_id", "pos - lead AS start", "pos + tail AS stop")
 
 
+def each_once(source: DataFrame, scratch: Scratch) -> DataFrame:
+    """source (key, doc_id, text) with one row for each key and doc_id, however often it is repeated; rows that stand alone are not shuffled."""
+    again = scratch.written(source.groupBy("key", "doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "suffix-repeated-rows")
+    if again.isEmpty():
+        return source
+    hit, rest = parted(source, "key", again)
+    single = hit.dropDuplicates(["key", "doc_id"])
+    return single if rest is None else single.unionByName(rest)
+
+
 def repeats(source: DataFrame, rule, scratch: Scratch, most: int = MOST_CLASSES, cover: bool = True) -> DataFrame:
     """Of source (key, doc_id, text): (gram, repeat, key, doc_id, start, stop), the maximal repeats with all their occurrences in bytes.
 
@@ -456,6 +466,7 @@ def repeats(source: DataFrame, rule, scratch: Scratch, most: int = MOST_CLASSES,
     met = scratch.written(counted.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram"), "suffix-met")
     bits = spark.sparkContext.broadcast(_bitmap(met, scratch))
     found = scratch.written(source.mapInArrow(lambda b, r=rule: _survey(b, r, bits.value), _ANCHORS), "suffix-anchors")
+    once = each_once(source, scratch)  # equal rows have their contexts taken once
     suffix = ["gram", "ctx"]
     spans = []
     while True:
@@ -471,7 +482,7 @@ def repeats(source: DataFrame, rule, scratch: Scratch, most: int = MOST_CLASSES,
 
         def with_texts(some: DataFrame) -> DataFrame:
             lists = some.groupBy("key", "doc_id").agg(held).withColumnRenamed("doc_id", "doc2").withColumnRenamed("key", "key2")
-            texts, _ = parted(source, "key", some.select("key"))
+            texts, _ = parted(once, "key", some.select("key"))
             same = (F.col("key") == F.col("key2")) & F.col("doc_id").eqNullSafe(F.col("doc2"))
             return texts.join(lists.hint("merge"), same).select("key", "doc_id", "text", "held")
 

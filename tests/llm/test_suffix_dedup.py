@@ -165,3 +165,18 @@ def test_more_suffixes_than_are_sent(spark, monkeypatch):
     docs = spark.createDataFrame([(d, t, "x", 1, "k") for d, t in rows], SCHEMA)
     got = suffix_dedup.suffix_dedup(docs, 40, gram=8).select("doc_id", "kept", "n_bytes", "n_removed", "n_spans").collect()
     assert sorted(((r[0], bytes(r[1]), *r[2:]) for r in got), key=repr) == brute(rows, 40)
+
+
+def test_equal_rows_give_their_contexts_once(spark):
+    """However often a row is repeated, what goes on to the trees is that of one row; the spans are those of all."""
+    rows = corpus(7)[:7]
+    docs = [(d, t, "x", 1, "k") for d, t in rows] + [(None, rows[0][1], "x", 1, "k")] * 3000 + [(3, rows[1][1], "x", 1, "k")] * 50
+    df = spark.createDataFrame(docs, SCHEMA).repartition(4)
+    _, source = suffix_dedup._keyed(df, "doc_id", "text")
+    scratch = suffix_dedup.Scratch(spark)
+    assert suffix_dedup.each_once(source, scratch).count() == source.select("key", "doc_id").distinct().count() <= 9
+    assert suffix_dedup.each_once(source.filter("doc_id IS NOT NULL AND doc_id <> 3"), scratch).count() == source.filter("doc_id IS NOT NULL AND doc_id <> 3").count()
+    few = docs[:7] + [docs[7]] * 2 + [docs[-1]] * 2
+    got = {(r["doc_id"], r["text"], bytes(r["kept"])) for r in suffix_dedup.suffix_dedup(df, 40, gram=8).select("doc_id", "text", "kept").collect()}
+    want = {(r["doc_id"], r["text"], bytes(r["kept"])) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(few, SCHEMA), 40, gram=8).select("doc_id", "text", "kept").collect()}
+    assert got == want
