@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import KEPT, slices
 
 #: Chunks that a worker keeps in each of two generations. A bound of memory only.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 450_000
 _NONE = np.iinfo(np.int64).max
 #: Fewer words than this of one tree size, or longer ones, go one at a time.
 _ROWS, _WIDE = 6, 512
