@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from .ranges import numbered
 
 
 def invariants(metrics: DataFrame) -> DataFrame:
@@ -95,8 +96,8 @@ def with_constraint(known: Column, constraint: Column) -> Column:
 
 
 def item_seeds(items: DataFrame, order: str, base: int) -> DataFrame:
-    """items with item_seed, base and the place in order; one batch's items, so few."""
-    return items.withColumn("item_seed", F.row_number().over(Window.orderBy(order)) - 1 + base)
+    """items with item_seed, base and the place in order, numbered in parallel; no two items share their order."""
+    return numbered(items, "__place", order).withColumn("item_seed", (F.col("__place") - 1 + base).cast("int")).drop("__place")
 
 
 def batch_failures(manifest: DataFrame) -> DataFrame:

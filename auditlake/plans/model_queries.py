@@ -176,14 +176,14 @@ def null_model(spark, sf_dir):
 
 @query()
 def gbt_classifier(spark, sf_dir):
-    """Boosted trees on n-gram weights and domain features: every labelled row scored by the model that its fold had no part in."""
-    judged = crossfit.out_of_fold(_stage_features(spark, sf_dir), "doc_id", "quality")
+    """Boosted trees on the domain features: every labelled row scored by the model that its fold had no part in."""
+    judged = crossfit.out_of_fold(_stage_features(spark, sf_dir, 0), "doc_id", "quality")
     return judged.select("doc_id", "fold", F.round("score", 9).alias("score"), "predicted")
 
 
 @query()
 def gbt_fold_report(spark, sf_dir):
-    """One row a fold of the boosted trees' cross-validation, with the spread over folds and the pooled areas."""
+    """One row a fold of the cross-validation of boosted trees on n-gram weights and domain features, with the spread over folds and the pooled areas."""
     found = crossfit.fold_report(crossfit.out_of_fold(_stage_features(spark, sf_dir), "doc_id", "quality"), "quality")
     return found.withColumns({c: F.round(c, 9) for c, kind in found.dtypes if kind == "double"})
 
