@@ -114,3 +114,18 @@ def test_known_texts_are_forgotten(spark, tmp_path):
         query.stop()
     assert query.exception() is None
     assert {r["row_id"]: r["tier"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"exact": None, "wide": None}
+
+
+def test_tiers_take_as_many_keys_as_there_are_buckets(spark, tmp_path):
+    known, asking = texts()
+    rows, base = spark.createDataFrame(asking, SCHEMA), spark.createDataFrame(known, SCHEMA)
+    fill = lambda df: df.withColumn("text", F.coalesce("text", F.lit("")))
+    want = {r["id"]: r["tier"] for r in dedup.duplicate_tiers(fill(rows), "id", "text", fill(base), "text").collect()}
+    stream = feed(spark, str(tmp_path / "in"), [known[:7], known[:9] + asking[:9], known[7:] + asking[9:]], SCHEMA)
+    found = stateful.tier_evidence(stream, "id", "text", "known", 0.85, buckets=2)
+    query = stateful.started(found, str(tmp_path / "out"), str(tmp_path / "c"), stateful.settled)
+    query.awaitTermination()
+    got = {r["row_id"]: r["tier"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert all(got[k] == want[k] for k, _, _ in asking[9:])
+    kept = sorted(op["numRowsTotal"] for op in query.lastProgress["stateOperators"])
+    assert kept[-1] <= 13 and kept[0] == 0  # known texts' shingles at most; the index has lists, not entries
