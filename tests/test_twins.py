@@ -32,3 +32,10 @@ def test_edges_of_many_parts_keep_numbers_of_their_own(spark, tmp_path):
     got = same(spark, tmp_path, "graph_failure_bucket", **tables)
     assert got == [(1, "B_SANITIZER_TARGET_MISMATCH"), (2, "B_SANITIZER_MISMATCH")]
     assert {r[0]: r[3] for r in same(spark, tmp_path, "graph_proof_states", **tables)} == {"wrong_sanitizer": 2}
+
+
+def test_folds_of_sources_alike_in_three_digits(spark, tmp_path):
+    sizes = {"a": 1001, "b": 1009, "c": 1003, "d": 1007, "e": 1005, "f": 30, "g": 12}
+    docs = [(k, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    tables = {"documents": (docs, "doc_id long, source string"), "labels": ([(k, int(s < "f")) for k, s in docs], "doc_id long, quality int")}
+    assert len(same(spark, tmp_path, "stratified_folds", **tables)) == 35
