@@ -16,6 +16,8 @@ from ..sources.shared import written
 
 #: Rows of a shingle that one part of a join takes.
 POSTINGS = 1000
+#: Hash buckets whose counts put shingles in order.
+COUNTERS = 1 << 20
 #: Vectors of a cell that one task compares with as many others.
 CELL = 1024
 
@@ -57,16 +59,61 @@ def unseen(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
-def _shingle_sets(rows: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
-    """(id, s, n): the hashed shingles of each distinct text, under the smallest of its ids."""
+def _shingle_texts(rows: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(u, id, t): each distinct text with a number of its own, under the smallest of its ids."""
     texts = rows.groupBy(F.col(text).alias("t")).agg(F.min(id_col).alias("id"))
+    return written(texts.withColumn("u", F.monotonically_increasing_id()), "shingle-texts")
+
+
+def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """texts with, for t, its hashed shingles s and their number n."""
     hashed = F.array_distinct(F.transform(T.word_shingles("t", k), lambda g: F.xxhash64(g)))
-    return texts.select("id", hashed.alias("s")).select("id", "s", F.size("s").alias("n")).filter("n > 0")
+    return texts.withColumn("s", hashed).drop("t").withColumn("n", F.size("s")).filter("n > 0")
+
 
+def _shingle_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(u, known, n, g): of each set the n - ceil(threshold * n) + 1 shingles that come first in one order of all shingles.
 
-def _alike(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of candidate pairs (id, id2) whose sets are more alike than threshold."""
-    full = pairs.join(left.select("id", "s", "n"), "id").join(right.select(F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("n").alias("n2")), "id2")
+    Every pair of sets that are alike enough shares one. The order is that of counts
+    in COUNTERS hash buckets, then of the hashes: any order finds all pairs, and this
+    one has the frequent shingles last without a shuffle of all of them.
+    """
+    found = sets.select(F.explode("s").alias("g")).groupBy(F.pmod("g", F.lit(COUNTERS)).alias("k")).agg(F.count("*").alias("c")).toArrow()
+    counts = np.zeros(COUNTERS, np.uint32)
+    counts[found.column("k").to_numpy()] = np.minimum(found.column("c").to_numpy(), np.iinfo(np.uint32).max)
+    cut = F.expr(f"cast(n - ceil(n * {threshold}) + 1 as int)")
+
+    def run(batches):
+        for batch in batches:
+            upto = np.cumsum(batch.column(2).to_numpy().astype(np.int64))
+            at = 0
+            while at < len(batch):  # some rows at a time, about a million shingles
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 20), "right")))
+                part = batch.slice(at, end - at)
+                at = end
+                n, take = part.column(2).to_numpy().astype(np.int64), part.column(3).to_numpy()
+                g = part.column(4).flatten().to_numpy()
+                row = np.repeat(np.arange(len(part)), n)
+                order = np.lexsort((g, counts[g % COUNTERS], row))
+                keep = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n) < take[row]
+                own = pa.array(row[keep])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), part.column(2).take(own), pa.array(g[order][keep])], ["u", "known", "n", "g"])
+
+    taken = sets.select("u", "known", "n", cut.alias("p"), "s").mapInArrow(run, "u long, known boolean, n int, g long")
+    return written(taken, "shingle-prefixes")
+
+
+def _alike(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(a, b, jaccard) of candidate pairs (u, u2) of texts whose sets are more alike than threshold; only these texts' sets are made again."""
+    pairs = written(pairs, "shingle-candidates")
+    if left is right:
+        used = pairs.select("u").unionByName(pairs.select(F.col("u2").alias("u"))).distinct()
+        one = two = written(_shingle_sets(left.join(used, "u", "left_semi"), k), "shingle-sets")
+    else:
+        one = written(_shingle_sets(left.join(pairs.select("u").distinct(), "u", "left_semi"), k), "shingle-sets")
+        two = written(_shingle_sets(right.join(pairs.select(F.col("u2").alias("u")).distinct(), "u", "left_semi"), k), "shingle-sets")
+    other = two.select(F.col("u").alias("u2"), F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("n").alias("n2"))
+    full = pairs.join(one.select("u", "id", "s", "n"), "u").join(other, "u2")
     both = F.size(F.array_intersect("s", "s2"))
     return full.select(F.col("id").alias("a"), F.col("id2").alias("b"), (both / (F.col("n") + F.col("n2") - both)).alias("jaccard")).filter(f"jaccard > {threshold}")
 
@@ -74,22 +121,18 @@ def _alike(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float
 def shingle_pairs(rows: DataFrame, id_col: str, text: str, threshold: float = 0.85, k: int = 5) -> DataFrame:
     """(a, b, jaccard) of rows whose shingle sets are more alike than threshold; equal texts are one, named by the smallest id.
 
-    An exact join on prefixes: a set's rarest n - ceil(threshold * n) + 1 shingles
-    share one with every set that is alike enough. Shingles are 64-bit hashes; one
-    that more than POSTINGS rows have is spread over as many parts as it needs.
+    An exact join on prefixes. Shingles are 64-bit hashes; one that more than POSTINGS
+    prefixes have is spread over as many parts as it needs.
     """
-    sets = written(_shingle_sets(rows, id_col, text, k), "shingle-sets")
-    long = sets.select("id", "n", F.explode("s").alias("g"))
-    frequency = long.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
-    rare = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
-    # a shingle of one set only leads nowhere, but takes its place among the rarest
-    ranked = long.join(frequency, "g", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("r", rare)
-    prefix = written(ranked.filter(f"df > 1 AND r <= n - ceil(n * {threshold}) + 1").select("id", "n", "g", "df"), "shingle-prefixes")
+    texts = _shingle_texts(rows, id_col, text)
+    prefix = _shingle_prefixes(_shingle_sets(texts, k).withColumn("known", F.lit(False)), threshold).drop("known")
+    frequency = prefix.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
+    held = prefix.join(frequency, "g")
     parts = F.ceil(F.col("df") / F.lit(POSTINGS)).cast("int")
-    left = prefix.select("id", "n", "g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    right = prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "g", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-    pairs = left.join(right, ["g", "part"]).filter(f"id < id2 AND least(n, n2) >= {threshold} * greatest(n, n2)").select("id", "id2").distinct()
-    return _alike(pairs, sets, sets, threshold)
+    left = held.select("u", "n", "g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = held.select(F.col("u").alias("u2"), F.col("n").alias("n2"), "g", F.pmod(F.xxhash64("u"), parts).cast("int").alias("part"))
+    pairs = left.join(right, ["g", "part"]).filter(f"u < u2 AND least(n, n2) >= {threshold} * greatest(n, n2)").select("u", "u2").distinct()
+    return _alike(pairs, texts, texts, threshold, k).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
 
 
 def shingle_matches(rows: DataFrame, known: DataFrame, id_col: str, text: str, threshold: float = 0.85, k: int = 5) -> DataFrame:
@@ -99,19 +142,17 @@ def shingle_matches(rows: DataFrame, known: DataFrame, id_col: str, text: str, t
     that one side alone has leads nowhere, however often it stands there, and no pair
     within a side is made.
     """
-    sides = [written(_shingle_sets(x, id_col, text, k).withColumn("known", F.lit(is_known)), "shingle-sets") for x, is_known in ((rows, False), (known, True))]
-    sets = sides[0].unionByName(sides[1])
-    long = sets.select("id", "n", "known", F.explode("s").alias("g"))
-    frequency = long.groupBy("g").agg(F.count_if(F.col("known")).alias("dk"), F.count_if(~F.col("known")).alias("dr")).filter("dk > 0 AND dr > 0")
-    rare = F.row_number().over(Window.partitionBy("known", "id").orderBy("df", "g"))
-    ranked = long.join(frequency, "g", "left").withColumn("df", F.coalesce(F.col("dk") * F.col("dr"), F.lit(0))).withColumn("r", rare)
-    prefix = written(ranked.filter(f"df > 0 AND r <= n - ceil(n * {threshold}) + 1").select("id", "n", "known", "g", "dk"), "shingle-prefixes")
+    sides = [_shingle_texts(x, id_col, text) for x in (rows, known)]
+    sets = [_shingle_sets(x, k).withColumn("known", F.lit(is_known)) for x, is_known in zip(sides, (False, True))]
+    prefix = _shingle_prefixes(sets[0].unionByName(sets[1]), threshold)
+    frequency = prefix.groupBy("g").agg(F.count_if(F.col("known")).alias("dk"), F.count_if(~F.col("known")).alias("dr")).filter("dk > 0 AND dr > 0")
+    held = prefix.join(frequency, "g")
     # the rows of a shingle meet its known texts in as many parts as these need
     parts = F.ceil(F.col("dk") / F.lit(POSTINGS)).cast("int")
-    left = prefix.filter("NOT known").select("id", "n", "g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    right = prefix.filter("known").select(F.col("id").alias("id2"), F.col("n").alias("n2"), "g", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-    pairs = left.join(right, ["g", "part"]).filter(f"least(n, n2) >= {threshold} * greatest(n, n2)").select("id", "id2").distinct()
-    return _alike(pairs, *sides, threshold)
+    left = held.filter("NOT known").select("u", "n", "g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = held.filter("known").select(F.col("u").alias("u2"), F.col("n").alias("n2"), "g", F.pmod(F.xxhash64("u"), parts).cast("int").alias("part"))
+    pairs = left.join(right, ["g", "part"]).filter(f"least(n, n2) >= {threshold} * greatest(n, n2)").select("u", "u2").distinct()
+    return _alike(pairs, *sides, threshold, k)
 
 
 def bands_for(n: int, threshold: float) -> tuple[int, int]:

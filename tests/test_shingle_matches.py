@@ -37,3 +37,20 @@ def test_what_one_side_alone_repeats_makes_no_candidates(spark):
     rows = spark.range(3000).selectExpr("cast(id as string) as id", "concat('the same boilerplate text on every page here ', id) as t")
     known = spark.createDataFrame([("k", "nothing of that kind stands here at all")], "id string, t string")
     assert dedup.shingle_matches(rows, known, "id", "t").count() == 0
+
+
+def test_sets_are_kept_of_candidates_only(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(80)]
+    rows = [(k + 10, t) for k, t in enumerate(texts)] + [(5, texts[0] + " more"), (7, texts[1])]
+    sizes, written = {}, dedup.written
+
+    def counted(df, tag):
+        out = written(df, tag)
+        sizes[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(dedup, "written", counted)
+    got = sorted((r["a"], r["b"]) for r in dedup.shingle_pairs(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect())
+    assert got == [(5, 10)]
+    assert sizes["shingle-sets"] == 2 and sizes["shingle-prefixes"] < 81 * 60 / 4
