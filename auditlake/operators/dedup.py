@@ -41,18 +41,21 @@ def duplicate_tiers(rows: DataFrame, id_col: str, text: str, known: DataFrame, k
 
     near: the shingle sets of the normalised texts are more alike than threshold.
     """
-    norm = lambda t: T.normalized_code(t)
-    seen = known.select(F.col(known_text).alias("__t")).distinct()
-    exact = seen.select(F.sha2("__t", 256).alias("__e")).distinct().withColumn("__exact", F.lit(True))
-    same = seen.select(F.sha2(norm("__t"), 256).alias("__n")).distinct().withColumn("__same", F.lit(True))
-    marked = rows.withColumn("__e", F.sha2(F.col(text), 256)).withColumn("__n", F.sha2(norm(text), 256))
-    marked = written(marked.join(exact, "__e", "left").join(same, "__n", "left"), "tiers")
+    exact_key = lambda t: F.unhex(F.sha2(t, 256))
+    same_key = lambda t: F.unhex(F.sha2(T.normalized_code(t), 256))
+    exact = known.select(exact_key(F.col(known_text)).alias("__e")).distinct().withColumn("__exact", F.lit(True))
+    same = known.select(same_key(F.col(known_text)).alias("__n")).distinct().withColumn("__same", F.lit(True))
+    # one row a text, without the text
+    keys = rows.select(exact_key(F.col(text)).alias("__e"), same_key(F.col(text)).alias("__n")).distinct()
+    marked = written(keys.join(exact, "__e", "left").join(same, "__n", "left"), "tiers")
     # one row a normalised text, known ones and such as no tier has taken yet
-    open_texts = marked.filter("__exact IS NULL AND __same IS NULL").select(F.col("__n").alias("id"), norm(text).alias("t"))
-    known_texts = seen.select(F.sha2(norm("__t"), 256).alias("id"), norm("__t").alias("t"))
+    left = marked.filter("__exact IS NULL AND __same IS NULL").select("__n").distinct()
+    open_texts = rows.select(same_key(F.col(text)).alias("__n"), F.col(text).alias("t")).join(left, "__n", "left_semi").select(F.col("__n").alias("id"), T.normalized_code("t").alias("t"))
+    known_texts = known.select(same_key(F.col(known_text)).alias("id"), T.normalized_code(known_text).alias("t"))
     near = shingle_matches(open_texts, known_texts, "id", "t", threshold).select(F.col("a").alias("__n")).distinct().withColumn("__near", F.lit(True))
     tier = F.when(F.col("__exact"), "exact").when(F.col("__same"), "normalized").when(F.col("__near"), "near")
-    return marked.join(near, "__n", "left").select(*rows.columns, tier.alias("tier"))
+    tiers = marked.join(near, "__n", "left").select("__e", tier.alias("tier"))
+    return rows.withColumn("__e", exact_key(F.col(text))).join(tiers, "__e", "left").select(*rows.columns, "tier")
 
 
 def unseen(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -54,3 +54,18 @@ def test_sets_are_kept_of_candidates_only(spark, monkeypatch):
     got = sorted((r["a"], r["b"]) for r in dedup.shingle_pairs(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect())
     assert got == [(5, 10)]
     assert sizes["shingle-sets"] == 2 and sizes["shingle-prefixes"] < 81 * 60 / 4
+
+
+def test_tiers_are_kept_once_a_text_and_without_it(spark, monkeypatch):
+    kept, written = {}, dedup.written
+
+    def seen(df, tag):
+        kept[tag] = written(df, tag)
+        return kept[tag]
+
+    monkeypatch.setattr(dedup, "written", seen)
+    rows = spark.createDataFrame([(k, "a b c") for k in range(50)] + [(50, "A  b c"), (51, "else"), (52, None)], "id long, t string")
+    known = spark.createDataFrame([("a b c",)], "t string")
+    got = {r["id"]: r["tier"] for r in dedup.duplicate_tiers(rows, "id", "t", known, "t").collect()}
+    assert got == {k: "exact" for k in range(50)} | {50: "normalized", 51: None, 52: None}
+    assert kept["tiers"].count() == 4 and "t" not in kept["tiers"].columns
