@@ -12,8 +12,10 @@ hardly nearer than the others, as among random directions, a good part is.
 
 Directions are normalised vectors' cosines in Euclidean terms: for unit vectors,
 distance^2 = 2 - 2 cos. A block holds any number of equal vectors. Blocks stream: a
-task builds a block from its vectors, then takes its queries batch by batch. No vector
-is copied; a query goes to each block in either pass, which is the cost that grows
+task builds a block from its vectors, then takes its queries batch by batch. Collisions
+are counted along the windows of the sorted arrays while these hold little of a block;
+where they hold much of it, every vector's places in the arrays are compared with the
+windows' ends instead, which gives the same counts. No vector is copied; a query goes to each block in either pass, which is the cost that grows
 with queries times rows: larger blocks make it smaller.
 """
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import even_keys, written
 
 PROJECTIONS = 64
 #: Share of the projections in which a vector has to collide to be verified.
@@ -36,6 +38,8 @@ WIDTH, GROWTH = 0.2, 1.25
 REACH = 0.95
 #: Vectors of a block, and the fewest for which a small table is cut further so that all cores have a block.
 BLOCK_ROWS, LEAST_ROWS = 32768, 2048
+#: Windows that hold one in so many of a block's places, or more, are counted by places.
+SCANNED = 16
 SEED = 20_11
 
 
@@ -74,16 +78,26 @@ class Block:
         if len(np.unique(ids)) < len(ids):  # the same places on every run
             order = np.lexsort((*rows.T[::-1], ids))
         self.ids, self.rows = ids[order], rows[order]
-        self.unit = self.rows / np.sqrt((self.rows * self.rows).sum(axis=1))[:, None]
+        unit = self.rows / np.sqrt((self.rows * self.rows).sum(axis=1))[:, None]
         self.directions = directions
-        values = self.unit @ directions.T
+        values = unit @ directions.T
         self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
         self.sorted = np.take_along_axis(values.T, self.order, axis=1)
-        self.verified = 0
+        # each vector's place in each sorted array
+        self.place = np.empty(self.order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, self.order, np.arange(len(ids), dtype=self.place.dtype)[None], axis=1)
+        self.need = max(1, int(np.ceil(COLLISIONS * len(directions))))
+        self.rough = unit.astype(np.float32)
+        #: By how much a rough cosine may be off.
+        self.off = 4 * (rows.shape[1] + 8) * float(np.finfo(np.float32).eps)
+        self.step, self.verified = 0, 0
 
     def _verify(self, query: np.ndarray, new: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-        """(place in the block, id, score) of the k best: by score, then id."""
+        """(place in the block, id, score) of the k best: by score, then id. Many are first scored in single precision, which leaves those that may be among the best."""
         self.verified += len(new)
+        if len(new) > 32 * k:
+            rough = self.rough.take(new, axis=0) @ (query / np.sqrt((query * query).sum())).astype(np.float32)
+            new = new[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 2 * self.off]
         score = cosine(query, self.rows[new])
         if len(new) > k:
             good = score >= np.partition(score, len(score) - k)[len(score) - k]
@@ -91,35 +105,53 @@ class Block:
         best = np.lexsort((new, self.ids[new], -score))[:k]
         return list(zip(new[best].tolist(), self.ids[new[best]].tolist(), score[best].tolist()))
 
+    def _met(self, at: np.ndarray, width: float) -> tuple[np.ndarray, bool]:
+        """Which vectors collide often enough in windows of this half-width around at, and whether the windows hold all."""
+        m, n = self.order.shape
+        low = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at - width)])
+        high = np.array([np.searchsorted(s, x, side="right") for s, x in zip(self.sorted, at + width)])
+        held = int((high - low).sum())
+        if held == m * n:
+            return np.ones(n, bool), True
+        if held * SCANNED < m * n:
+            counts = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, low, high)]), minlength=n)
+        else:  # places before the window wrap around to numbers beyond it; a window that holds all counts for all
+            whole = high - low == n
+            kind = self.place.dtype
+            inside = self.place[~whole] - low[~whole].astype(kind)[:, None] < (high - low)[~whole].astype(kind)[:, None]
+            counts = inside.sum(axis=0, dtype=np.uint8 if m < 256 else np.int32) + int(whole.sum())
+        return counts >= self.need, False
+
     def first(self, query_id: int, query: np.ndarray, least: int, k: int) -> list[tuple[int, int, float]]:
-        """The best of the vectors that collide first while the windows grow, `least` or more; of all of a smaller block."""
+        """The best of the vectors that collide first while the windows grow, `least` or more; of all of a smaller block.
+
+        The search for that width begins at the last query's, for those of a block are alike.
+        """
         at = self.directions @ (query / np.sqrt((query * query).sum()))
-        m, n = len(at), len(self.ids)
-        need = max(1, int(np.ceil(COLLISIONS * m)))
-        counts = np.zeros(n, np.int16)
-        low = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at)])
-        high = low.copy()
-        own = self.ids == query_id
-        width = WIDTH
-        while True:
-            for j in range(m):
-                a, b = np.searchsorted(self.sorted[j], at[j] - width), np.searchsorted(self.sorted[j], at[j] + width, side="right")
-                counts[self.order[j, a : low[j]]] += 1
-                counts[self.order[j, high[j] : b]] += 1
-                low[j], high[j] = a, b
-            met = np.flatnonzero((counts >= need) & ~own)
-            if len(met) >= least or ((low == 0).all() and (high == n).all()):
+        others = self.ids != query_id
+
+        def tried(step: int) -> tuple[np.ndarray, bool]:
+            met, all_held = self._met(at, WIDTH * GROWTH**step)
+            met = np.flatnonzero(met & others)
+            return met, len(met) >= least or all_held
+
+        met, enough = tried(self.step)
+        while not enough:
+            self.step += 1
+            met, enough = tried(self.step)
+            if enough:
                 return self._verify(query, met, k)
-            width *= GROWTH
+        while self.step:
+            fewer, enough = tried(self.step - 1)
+            if not enough:
+                break
+            self.step, met = self.step - 1, fewer
+        return self._verify(query, met, k)
 
     def within(self, query_id: int, query: np.ndarray, width: float, k: int) -> list[tuple[int, int, float]]:
         """The best of the vectors that collide often enough in windows of this half-width."""
-        at = self.directions @ (query / np.sqrt((query * query).sum()))
-        counts = np.zeros(len(self.ids), np.int16)
-        for j in range(len(at)):
-            a, b = np.searchsorted(self.sorted[j], at[j] - width), np.searchsorted(self.sorted[j], at[j] + width, side="right")
-            counts[self.order[j, a:b]] += 1
-        return self._verify(query, np.flatnonzero((counts >= max(1, int(np.ceil(COLLISIONS * len(at))))) & (self.ids != query_id)), k)
+        met, _ = self._met(self.directions @ (query / np.sqrt((query * query).sum())), width)
+        return self._verify(query, np.flatnonzero(met & (self.ids != query_id)), k)
 
 
 def reach(kth: float) -> float:
@@ -178,12 +210,13 @@ def nearest(
     dims = data.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim, n = dims["d"] if dims else 1, data.count()
     blocks = max(1, -(-n // block_rows), min(spark.sparkContext.defaultParallelism, n // LEAST_ROWS))
+    own = spark.createDataFrame(list(enumerate(even_keys(spark, blocks))), "block int, dealt int")  # a partition a block
     dealt = data.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "v", F.lit(None).cast("double").alias("kth"))
 
     def answers(some: DataFrame) -> DataFrame:
         """The nearest of each block to queries (id, v, kth)."""
         sent = some.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "id", "v", "kth")
-        rows = dealt.unionByName(sent).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+        rows = dealt.unionByName(sent).join(F.broadcast(own), "block").repartition(blocks, "dealt").sortWithinPartitions("block", "asks").drop("dealt")
         return rows.mapInArrow(lambda b: _answers(b, k, k + 1, projections, dim), "query_id long, block int, place long, vec_id long, score double")
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "block", "place")

@@ -70,3 +70,43 @@ def test_squares_that_overflow(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = ann.nearest(df, df.filter("vec_id = 0"), 5).orderBy("rank").collect()
     assert [(r["vec_id"], round(r["score"], 6)) for r in got] == [(1, 1.0), (2, 0.707107), (3, 0.707107), (3, 0.707107)]
+
+
+def test_collisions_count_the_same_by_places_and_along_windows(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = rng.standard_normal((3000, 32))
+    rows[2000:] = rows[2000]
+    block = ann.Block(np.arange(3000), rows, np.random.default_rng(ann.SEED).standard_normal((ann.PROJECTIONS, 32)))
+    at = block.directions @ (rows[5] / np.sqrt((rows[5] ** 2).sum()))
+    near = np.abs(block.directions @ (rows / np.sqrt((rows**2).sum(axis=1))[:, None]).T - at[:, None])
+    for width in (0.1, 0.5, 1.0, 3.0, 4.5, 100.0):
+        want = ((near <= width).sum(axis=0) >= block.need).tolist()
+        for scanned in (0, 10**9):  # always along windows, always by places
+            monkeypatch.setattr(ann, "SCANNED", scanned)
+            assert block._met(at, width)[0].tolist() == want
+    block.step = 30  # a far too wide start changes nothing
+    wide = block.first(5, rows[5], 6, 5)
+    block.step = 0
+    assert block.first(5, rows[5], 6, 5) == wide
+
+
+def test_each_block_has_a_task_of_its_own(spark, tmp_path, monkeypatch):
+    """Blocks that share a task wait for one another."""
+    seen, real = str(tmp_path), ann._answers
+
+    def answers(batches, *settings):
+        import uuid
+
+        def noted():
+            for batch in batches:
+                blocks = sorted(set(batch.column(0).to_pylist()))
+                open(f"{seen}/{uuid.uuid4().hex}", "w").write(f"{len(blocks)}")
+                yield batch
+
+        yield from real(noted(), *settings)
+
+    monkeypatch.setattr(ann, "_answers", answers)
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((1300, 8)))], "vec_id long, embedding array<double>")
+    ann.nearest(df, df.filter("vec_id % 50 = 0"), 5, block_rows=100).collect()
+    assert {p.read_text() for p in tmp_path.iterdir()} == {"1"}
