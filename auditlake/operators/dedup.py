@@ -81,29 +81,40 @@ def _shingle_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     in COUNTERS hash buckets, then of the hashes: any order finds all pairs, and this
     one has the frequent shingles last without a shuffle of all of them.
     """
+    cut = F.expr(f"cast(n - ceil(n * {threshold}) + 1 as int)")
+    taken = sets.select("u", "known", "n", cut.alias("p"), "s").mapInArrow(first_shingles(shingle_counts(sets), ["u", "known"]), "u long, known boolean, n int, g long")
+    return written(taken, "shingle-prefixes")
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many of the sets s have a shingle of each of COUNTERS hash buckets."""
     found = sets.select(F.explode("s").alias("g")).groupBy(F.pmod("g", F.lit(COUNTERS)).alias("k")).agg(F.count("*").alias("c")).toArrow()
     counts = np.zeros(COUNTERS, np.uint32)
     counts[found.column("k").to_numpy()] = np.minimum(found.column("c").to_numpy(), np.iinfo(np.uint32).max)
-    cut = F.expr(f"cast(n - ceil(n * {threshold}) + 1 as int)")
+    return counts
+
+
+def first_shingles(counts: np.ndarray, names: list[str]):
+    """The function of batches (*names, n, p, s) that gives (*names, n, g) for the p shingles g of each set s of n that come first in the order of counts."""
+    at_n = len(names)
 
     def run(batches):
         for batch in batches:
-            upto = np.cumsum(batch.column(2).to_numpy().astype(np.int64))
+            upto = np.cumsum(batch.column(at_n).to_numpy().astype(np.int64))
             at = 0
             while at < len(batch):  # some rows at a time, about a million shingles
                 end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 20), "right")))
                 part = batch.slice(at, end - at)
                 at = end
-                n, take = part.column(2).to_numpy().astype(np.int64), part.column(3).to_numpy()
-                g = part.column(4).flatten().to_numpy()
+                n, take = part.column(at_n).to_numpy().astype(np.int64), part.column(at_n + 1).to_numpy()
+                g = part.column(at_n + 2).flatten().to_numpy()
                 row = np.repeat(np.arange(len(part)), n)
-                order = np.lexsort((g, counts[g % COUNTERS], row))
+                order = np.lexsort((g, counts[g % len(counts)], row))
                 keep = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n) < take[row]
                 own = pa.array(row[keep])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), part.column(2).take(own), pa.array(g[order][keep])], ["u", "known", "n", "g"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(own) for k in range(at_n + 1)), pa.array(g[order][keep])], [*names, "n", "g"])
 
-    taken = sets.select("u", "known", "n", cut.alias("p"), "s").mapInArrow(run, "u long, known boolean, n int, g long")
-    return written(taken, "shingle-prefixes")
+    return run
 
 
 def _alike(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, k: int) -> DataFrame:

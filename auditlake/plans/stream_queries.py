@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import dedup
 from ..sources.shared import fresh_path
 from ..streaming import stateful
 from ..streaming.versions import KeysOnce, LatestStatus
@@ -41,7 +42,10 @@ def stream_duplicate_tiers(spark, sf_dir):
         F.when(F.col("doc_id") % 10 == 0, F.struct((F.col("doc_id") + 2000000).alias("doc_id"), F.replace("text", F.lit(" "), F.lit("  ")).alias("text"), F.lit(False).alias("known"))),
     )
     rows = d.select(F.explode(F.array_compact(kinds)).alias("r")).select("r.*")
-    found = stateful.tier_evidence(rows, "doc_id", "text", "known", 0.85)
+    path = fresh_path(spark, "fingerprints")
+    texts = stateful.filed(stateful.fingerprints(rows, "doc_id", "text", "known"), path, fresh_path(spark, "fingerprints-checkpoint"))
+    counts = dedup.shingle_counts(spark.read.schema(texts.schema).parquet(path).select(F.col("shingles").alias("s")))
+    found = stateful.evidence(texts, 0.85, counts=counts)
     return _result(spark, found, "tiers", stateful.settled).select(F.col("row_id").cast("long").alias("doc_id"), "tier")
 
 

@@ -129,3 +129,37 @@ def test_tiers_take_as_many_keys_as_there_are_buckets(spark, tmp_path):
     assert all(got[k] == want[k] for k, _, _ in asking[9:])
     kept = sorted(op["numRowsTotal"] for op in query.lastProgress["stateOperators"])
     assert kept[-1] <= 13 and kept[0] == 0  # known texts' shingles at most; the index has lists, not entries
+
+
+def test_frequent_shingles_bring_few_pairs_together(spark, tmp_path):
+    """In an order by counts texts do not meet by a shingle that most of them have, and find the same tiers."""
+    rng = random.Random(8)
+    stock = [f"call{k}" for k in range(6)]
+    rows = []
+    for k in range(120):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+        rows.append((f"k{k}", True, ", ".join([*stock, *own])))
+        if k % 10 == 0:
+            rows.append((f"a{k}", False, ", ".join([*stock, *own, "more"])))
+        rows.append((f"b{k}", False, ", ".join([*stock, *(f"v{rng.randrange(10**6)}" for _ in range(30))])))
+    stream = lambda name: feed(spark, str(tmp_path / name), [rows[:150], rows[150:]], SCHEMA)
+    texts = stateful.filed(stateful.fingerprints(stream("in"), "id", "text", "known"), str(tmp_path / "f"), str(tmp_path / "fc"))
+    counts = dedup.shingle_counts(spark.read.schema(texts.schema).parquet(str(tmp_path / "f")).select(F.col("shingles").alias("s")))
+    got = {}
+    for name, found in (("counts", stateful.evidence(texts, counts=counts)), ("hashes", stateful.tier_evidence(stream("again"), "id", "text", "known"))):
+        query = stateful.started(found, str(tmp_path / name), str(tmp_path / f"{name}-c"), stateful.settled)
+        query.awaitTermination()
+        got[name] = {r["row_id"]: r["tier"] for r in spark.read.parquet(str(tmp_path / name)).collect()}
+    assert got["counts"] == got["hashes"] == {i: "near" if i.startswith("a") else None for i, known, _ in rows if not known}
+    sets = spark.read.schema(texts.schema).parquet(str(tmp_path / "f")).filter("known OR row_id LIKE 'b%'")
+    taken = sets.select("known", "text_key", F.size("shingles").alias("n"), F.expr("cast(size(shingles) - ceil(size(shingles) * 0.85) + 1 as int)").alias("p"), F.col("shingles").alias("s"))
+    first = taken.mapInArrow(dedup.first_shingles(counts, ["known", "text_key"]), "known boolean, text_key string, n int, g long")
+    assert first.filter("known").join(first.filter("NOT known"), "g").count() == 0
+
+
+def test_each_stage_of_the_tiers_runs_once(spark, tmp_path):
+    known, asking = texts()
+    found = stateful.tier_evidence(feed(spark, str(tmp_path / "in"), [known + asking], SCHEMA), "id", "text", "known", 0.85, buckets=2)
+    query = stateful.started(found, str(tmp_path / "out"), str(tmp_path / "c"), stateful.settled)
+    query.awaitTermination()
+    assert len(query.lastProgress["stateOperators"]) == 3
